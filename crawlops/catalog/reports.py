@@ -489,9 +489,9 @@ def _(t):
 
 
 @query("text_search", """
-SELECT id, name, org, email FROM contacts WHERE list_has_all(regexp_split_to_array(lower(concat_ws(' ', name, org, email)), '[^\\p{L}\\p{N}@._-]+'), ['consulting', 'france'])""")
+SELECT id, name, org, email FROM contacts WHERE list_has_all(regexp_split_to_array(lower(concat_ws(' ', name, org, email)), '[^\\p{L}\\p{N}@._-]+'), ['consulting', 'nation_3'])""")
 def _(t):
-    return filters.text_search(t.contacts, ["consulting", "FRANCE"]).select("id", "name", "org", "email")
+    return filters.text_search(t.contacts, ["consulting", "NATION_3"]).select("id", "name", "org", "email")
 
 
 # ------------------------------------------------------------------ retention, quality
@@ -563,9 +563,9 @@ def _(t):
     return quality.dq_duplicates(t.contacts, {"email": "email"}, F.col("deleted_at").isNull())
 
 
-@query("dq_orphans", "SELECT id, query_id FROM contacts WHERE query_id IS NOT NULL AND query_id NOT IN (SELECT id FROM queue )")
+@query("dq_orphans", "SELECT id, query_id FROM contacts WHERE query_id IS NOT NULL AND query_id NOT IN (SELECT id FROM queue WHERE deleted_at IS NULL)")
 def _(t):
-    return quality.dq_orphans(t.contacts, t.queue, "query_id", "id").select("id", "query_id")
+    return quality.dq_orphans(t.contacts, filters.live(t.queue), "query_id", "id").select("id", "query_id")
 
 
 @query("schema_evolve", """

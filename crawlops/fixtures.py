@@ -110,6 +110,23 @@ SELECT c_custkey AS id, concat('site', CAST(c_custkey % 60 AS STRING), '.acme.or
     "metrics": """
 SELECT event_id, ts, event_type, user_id AS instance, user_id % 25 AS country_key, value,
   CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'pending' ELSE 'in_progress' END AS status FROM {events}""",
+    "samples": """
+SELECT event_id, ts, metric, CASE WHEN metric = 'dashboard_requests' THEN CASE user_id % 3 WHEN 0 THEN '10.0.0.1' WHEN 1 THEN '8.8.8.8' ELSE '172.20.1.1' END
+    ELSE concat('n', CAST(user_id % 3 AS STRING)) END AS instance,
+  CASE WHEN metric IN ('up', 'db_up', 'dashboard_up') THEN CAST(CASE WHEN floor(event_id / 280) % 3 = 0 THEN 0 ELSE 1 END AS DOUBLE)
+    WHEN metric = 'cpu_idle_seconds' THEN CAST(event_id * 2 AS DOUBLE) WHEN metric = 'db_size_bytes' THEN CAST(event_id % 3000 AS DOUBLE) * 10000000
+    WHEN metric IN ('jobs_failed', 'jobs_done') THEN floor(event_id / 560) * 100 WHEN metric IN ('jobs_total', 'contacts_extracted') THEN floor(event_id / 56) * 56
+    WHEN metric IN ('db_query_seconds', 'contacts_duplicated', 'logins_failed') THEN CAST(event_id % 2800 AS DOUBLE) * 30
+    WHEN metric IN ('job_start_time', 'worker_heartbeat') THEN CAST(1704067200 + event_id * 250 AS DOUBLE)
+    WHEN metric IN ('mem_total', 'disk_total') THEN CAST(1000 AS DOUBLE) WHEN metric IN ('worker_memory_bytes') THEN CAST(event_id % 4000 AS DOUBLE) * 1000000
+    WHEN metric IN ('job_duration_seconds', 'jobs_pending') THEN CAST(event_id % 2500 AS DOUBLE) WHEN metric = 'proxy_success_rate' THEN CAST(event_id % 101 AS DOUBLE) / 100
+    ELSE CAST(event_id % 180 AS DOUBLE) END AS value
+FROM (SELECT *, CASE event_id % 28 WHEN 0 THEN 'up' WHEN 1 THEN 'cpu_idle_seconds' WHEN 2 THEN 'mem_available' WHEN 3 THEN 'mem_total' WHEN 4 THEN 'disk_available'
+  WHEN 5 THEN 'disk_total' WHEN 6 THEN 'db_up' WHEN 7 THEN 'db_connections' WHEN 8 THEN 'db_query_seconds' WHEN 9 THEN 'db_size_bytes' WHEN 10 THEN 'jobs_failed'
+  WHEN 11 THEN 'jobs_total' WHEN 12 THEN 'job_start_time' WHEN 13 THEN 'jobs_pending' WHEN 14 THEN 'jobs_done' WHEN 15 THEN 'job_retries' WHEN 16 THEN 'worker_heartbeat'
+  WHEN 17 THEN 'worker_memory_bytes' WHEN 18 THEN 'job_duration_seconds' WHEN 19 THEN 'proxies_active' WHEN 20 THEN 'proxy_success_rate' WHEN 21 THEN 'proxy_response_seconds'
+  WHEN 22 THEN 'dashboard_up' WHEN 23 THEN 'page_load_seconds' WHEN 24 THEN 'dashboard_users' WHEN 25 THEN 'contacts_extracted' WHEN 26 THEN
+  CASE WHEN event_id % 3 = 0 THEN 'contacts_duplicated' ELSE 'logins_failed' END ELSE 'dashboard_requests' END AS metric FROM {events}) e""",
     "seen_urls": """
 SELECT p.page_id * 3 + v.visit AS visit_id, p.url AS url, p.page_id AS page_id,
   TIMESTAMP '2024-01-01 00:00:00' + v.visit * INTERVAL '7' DAY + (p.page_id % 48) * INTERVAL '1' HOUR AS visited_at,
@@ -126,6 +143,16 @@ SELECT o_orderkey AS id, o_custkey AS job_id, o_orderdate AS started_at,
   CASE o_orderkey % 4 WHEN 0 THEN 'crawl' WHEN 1 THEN 'extract' WHEN 2 THEN 'clean' ELSE 'merge' END AS phase,
   o_orderdate + (o_orderkey % 500) * INTERVAL '1' DAY AS valid_until, o_orderkey % 3 <> 0 AS is_active
 FROM {orders}""",
+    "raw_urls": """
+SELECT page_id, url, CASE page_id % 12 WHEN 0 THEN concat('HTTP', substring(url, instr(url, ':'), 400)) WHEN 1 THEN concat(url, '&z=%41%2f+b&a=1&c=&b=~*')
+  WHEN 2 THEN concat(url, '?b=2&&a=1&a=0&c') WHEN 3 THEN substring(url, 1, instr(url, '.'))
+  WHEN 4 THEN '' WHEN 5 THEN substring(url, instr(url, ':') + 3, 400) WHEN 6 THEN concat('//', 'Host', CAST(page_id AS STRING), '.org/x;p=1?é=ü')
+  WHEN 7 THEN NULL WHEN 8 THEN 'https://localhost:8080/x y' WHEN 9 THEN concat('http://10.0.0.', CAST(page_id AS STRING), '/a.PDF')
+  WHEN 10 THEN concat('https://Shop', CAST(page_id AS STRING), '.acme.org?q=a b') ELSE url END AS raw,
+  CASE page_id % 15 WHEN 0 THEN '../x/./y' WHEN 1 THEN 'z?q=1' WHEN 2 THEN '//h.org/p' WHEN 3 THEN '#f' WHEN 4 THEN '?q=2#g' WHEN 5 THEN 'http://o.org/x'
+    WHEN 6 THEN '' WHEN 7 THEN '/a/../b/c.pdf' WHEN 8 THEN './' WHEN 9 THEN 'mailto:a@acme.org' WHEN 10 THEN '/contact' WHEN 11 THEN '../../..'
+    WHEN 12 THEN 'a/b/../../c?x=1#y' WHEN 13 THEN '..' ELSE concat('/p', CAST(page_id AS STRING)) END AS href
+FROM {pages}""",
     "corpus": """
 SELECT d.doc_id AS doc_id, concat(p.url, '') AS url,
   concat(d.text, ' Contact: Marie Dubois, Dubois Consulting, ', 'Ada.', CAST(d.doc_id % 300 AS STRING), '@mail',

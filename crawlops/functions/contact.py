@@ -31,6 +31,11 @@ STOP_WORDS = (
 NAME_IN_TEXT = r"\b([A-Z][a-z]{2,})\s+([A-Z][a-z]{2,})\b"
 
 
+def unicode(pattern: str) -> str:
+    """Word boundaries, spaces and digits of all scripts."""
+    return "(?U)" + pattern
+
+
 def email_valid(c: Column | str) -> Column:
     """Well-formed address that is not one of the usual placeholders."""
     c = col(c)
@@ -56,7 +61,7 @@ def name_from_email(c: Column | str) -> Column:
 
 def emails(c: Column | str) -> Column:
     """Distinct addresses of a page, in page order."""
-    return F.array_distinct(F.regexp_extract_all(col(c), F.lit(EMAIL_IN_PAGE), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(col(c), F.lit(unicode(EMAIL_IN_PAGE)), F.lit(0)))
 
 
 def emails_util(c: Column | str) -> Column:
@@ -65,29 +70,29 @@ def emails_util(c: Column | str) -> Column:
 
 def phones(c: Column | str) -> Column:
     """Distinct phone-like runs with 8 to 15 digits, in page order."""
-    runs = F.transform(F.regexp_extract_all(col(c), F.lit(PHONE_IN_PAGE), F.lit(0)), strip)
+    runs = F.transform(F.regexp_extract_all(col(c), F.lit(unicode(PHONE_IN_PAGE)), F.lit(0)), strip)
     return F.array_distinct(
-        F.filter(runs, lambda p: F.length(F.regexp_replace(p, "[^0-9]", "")).between(8, 15))
+        F.filter(runs, lambda p: F.length(F.regexp_replace(p, "[^\\p{Nd}]", "")).between(8, 15))
     )
 
 
 def phones_util(c: Column | str) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.coalesce(col(c), F.lit("")), F.lit(PHONE_INTERNATIONAL), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(col(c), F.lit("")), F.lit(unicode(PHONE_INTERNATIONAL)), F.lit(0)))
 
 
 def name_guess(c: Column | str) -> Column:
     """First two capitalised words in a row."""
     c = col(c)
-    first, second = F.regexp_extract(c, NAME_IN_TEXT, 1), F.regexp_extract(c, NAME_IN_TEXT, 2)
+    first, second = F.regexp_extract(c, unicode(NAME_IN_TEXT), 1), F.regexp_extract(c, unicode(NAME_IN_TEXT), 2)
     return F.when(first != "", F.concat_ws(" ", first, second))
 
 
 def name_valid(c: Column | str) -> Column:
     """At least three characters, no stop word, no digit."""
     c = col(c)
-    words = F.split(F.lower(c), "\\s+")
+    words = F.split(F.lower(c), "(?U)\\s+")
     stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.coalesce((F.length(c) >= 3) & ~F.arrays_overlap(words, stop) & ~c.rlike("\\d"), F.lit(False))
+    return F.coalesce((F.length(c) >= 3) & ~F.arrays_overlap(words, stop) & ~c.rlike("(?U)\\d"), F.lit(False))
 
 
 def around(needle: Column, text: Column, text_lower: Column, radius: int) -> Column:
@@ -103,7 +108,7 @@ def around(needle: Column, text: Column, text_lower: Column, radius: int) -> Col
 
 
 def _first_match(context: Column, patterns: list[str], accept) -> Column:
-    found = [strip(F.regexp_extract(context, p, 1)) for p in patterns]
+    found = [strip(F.regexp_extract(context, unicode(p), 1)) for p in patterns]
     return F.coalesce(*[F.when(accept(f), f) for f in found])
 
 

@@ -205,3 +205,13 @@ def typed_settings(df: DataFrame) -> DataFrame:
         when_kind("boolean", value.try_cast("boolean")).alias("boolean_value"),
         when_kind("json", F.when(F.try_parse_json(value).isNotNull(), value)).alias("json_value"),
     )
+
+
+def stamp_updated(df: DataFrame, changes: dict[str, str], as_of) -> DataFrame:
+    """Take over new values and stamp ``updated_at`` on the rows where one differs."""
+    differs = F.lit(False)
+    for old, new in changes.items():
+        differs = differs | ~F.col(old).eqNullSafe(F.col(new))
+    return df.withColumn("updated_at", F.when(differs, at(as_of)).otherwise(F.col("updated_at"))).withColumns(
+        {old: F.col(new) for old, new in changes.items()}
+    ).drop(*changes.values())

@@ -389,7 +389,7 @@ def assign_sticky(requests: DataFrame, indexed: DataFrame, ttl: int = 300, seed:
     return _by_index(blocks, indexed, F.pmod(draw("job_id", "block_us", seed=seed), F.lit(n)))
 
 
-def parse_proxy_lines(df: DataFrame) -> DataFrame:
+def parse_proxy_lines(df: DataFrame, *keep: str) -> DataFrame:
     """Proxy lines: host:port, host:port:user:pass, scheme://host:port and scheme://user:pass@host:port."""
     line = F.trim(F.col("value"))
     shape = r"^(?:([A-Za-z0-9]+)://(?:([^:@/\s]+):([^@/\s]*)@)?)?([^:@/\s]+):([0-9]{1,5})(?::([^:@/\s]+):([^@/\s]*))?$"
@@ -402,7 +402,7 @@ def parse_proxy_lines(df: DataFrame) -> DataFrame:
     tail_login_only = part(1).isNull() | part(6).isNull()
     valid = part(4).isNotNull() & port.between(1, 65535) & scheme.isin("http", "https", "socks5") & tail_login_only
     return df.select(
-        line.alias("line"), scheme.alias("scheme"), part(4).alias("host"), port.alias("port"),
+        *keep, line.alias("line"), scheme.alias("scheme"), part(4).alias("host"), port.alias("port"),
         F.coalesce(part(2), part(6)).alias("username"), F.coalesce(part(3), part(7)).alias("password"),
         F.coalesce(valid, F.lit(False)).alias("valid"),
     )
