@@ -78,10 +78,9 @@ def windowed_growth(keys: list[str], seconds: int) -> Column:
     return F.sum("delta").over(w) - F.first("first_delta", ignorenulls=True).over(w)
 
 
-def on_grid(steps: DataFrame, step: int, keys: list[str]) -> DataFrame:
-    """Every step of each series from its first one to the last of all; empty steps grow by nothing."""
-    last = steps.agg(F.max("ts").alias("_end")).select("_end")
-    spans = steps.groupBy(*keys).agg(F.min("ts").alias("_start")).withColumn("_end", last.scalar())
+def on_grid(steps: DataFrame, step: int, keys: list[str], end: DataFrame) -> DataFrame:
+    """Every step of each series from its first one to the common ``end``; empty steps grow by nothing."""
+    spans = steps.groupBy(*keys).agg(F.min("ts").alias("_start")).withColumn("_end", end.scalar())
     grid = spans.select(*keys, F.explode(F.sequence("_start", "_end", F.make_dt_interval(secs=F.lit(step)))).alias("ts"))
     grown = steps.select(*keys, "ts", "delta", "first_delta")
     return grid.join(grown, [*keys, "ts"], "left").withColumn("delta", F.coalesce("delta", F.lit(0.0)))
@@ -138,7 +137,7 @@ INHIBITIONS = [
 EVERYWHERE = "all"
 
 
-def _measure(kind: str, window: int, own: DataFrame, step: int) -> DataFrame:
+def _measure(kind: str, window: int, own: DataFrame, step: int, end: DataFrame) -> DataFrame:
     """Rows (alert, instance, ts, measure) of the rules of one kind and window."""
     series = ["alert", "part", "severity", "op", "threshold", "hold", "instance"]
     per_instance, everywhere = [c for c in series if c != "part"], [c for c in series if c not in ("part", "instance")]
@@ -154,7 +153,7 @@ def _measure(kind: str, window: int, own: DataFrame, step: int) -> DataFrame:
         part, whole = (F.max(F.when(F.col("part") == i, F.col("last"))) for i in (0, 1))
         return own.groupBy(*per_instance, "ts").agg(((1 - F.try_divide(part, whole)) * 100).alias("measure"))
     if kind.endswith("_on_grid"):
-        own, kind = on_grid(own, step, series), kind.removesuffix("_on_grid")
+        own, kind = on_grid(own, step, series, end), kind.removesuffix("_on_grid")
     grown = windowed_growth(series, window)
     if kind == "busy":
         return own.withColumn("measure", 100 - grown / window * 100)
@@ -177,12 +176,13 @@ def evaluate(steps: DataFrame, step: int, rules: list[Rule] = RULES) -> DataFram
             row = (metric, part, r.name, r.severity, r.op, float(r.threshold), r.hold)
             groups.setdefault((r.kind, r.window), []).append(row)
     schema = "metric string, part int, alert string, severity string, op string, threshold double, hold int"
+    end = steps.agg(F.max("ts").alias("_end"))  # one row
     parts = []
     for (kind, window), rows in groups.items():
         table = steps.sparkSession.createDataFrame(rows, schema)  # one row per rule and metric
         own = steps.join(F.broadcast(table), "metric")
         parts.append(
-            _measure(kind, window, own, step).select(
+            _measure(kind, window, own, step, end).select(
                 "alert", "severity", "op", "threshold", "hold", "instance", "ts",
                 F.round(F.col("measure").cast("double"), 6).alias("measure"),
             )
@@ -203,7 +203,7 @@ def sustained(df: DataFrame, keys: list[str], hold: Column, hot_rows: int = HOT_
     lasted = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("active_since").cast("timestamp"))
     return (
         done(pieces.df).drop("_before").where("cond")
-        .withColumn("state", F.when(lasted >= hold * 1_000_000, "firing").otherwise("pending"))
+        .withColumn("state", F.when(lasted >= hold.cast("bigint") * 1_000_000, "firing").otherwise("pending"))
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from crawlops.functions.lang import DEFAULT_MARKERS
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None, fmt: str = "parquet") -> DataFrame:
+def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None, fmt: str = "parquet") -> DataFrame:
     """Stored table with its declared schema."""
     reader = spark.read.format(fmt)
     return (reader.schema(schema) if schema else reader).load(path)
