@@ -107,7 +107,7 @@ CANDIDATES = "SELECT page_id, url, CASE WHEN page_id % 4 = 0 THEN NULL WHEN page
 
 
 def candidates(t):
-    return t.spark.sql(CANDIDATES, pages=t.pages)
+    return t.spark.sql(CANDIDATES, pages=t.scan("pages"))
 
 
 SCOPE = "CASE WHEN coalesce(job_id, 0) = 0 THEN 'global' ELSE CAST(job_id AS VARCHAR) END"
@@ -242,7 +242,7 @@ l AS (SELECT form_id, unnest(generate_series(1, len(u))) AS i, u FROM g)
 SELECT form_id, CAST(i - 1 AS INTEGER) AS line, u[i] AS url, c.country_filter, '["lawyer","Expat","visa"]' AS custom_keywords, 'pending' AS status, {JT} AS created_at, 'fr' AS lang_filter
 FROM l, (SELECT unnest(['FRANCE', 'ITALY']) AS country_filter) c""")
 def _(t):
-    forms = t.spark.sql(FORMS, pages=t.pages)
+    forms = t.spark.sql(FORMS, pages=t.scan("pages"))
     return jobs.expand_jobs(forms, ["FRANCE", "ITALY"], t.proxies, JOBS_AS_OF, "fr")
 
 
@@ -479,7 +479,7 @@ CAP = 5
 
 
 def seed_jobs(t):
-    return t.spark.sql(SEED_JOBS, pages=t.pages)
+    return t.spark.sql(SEED_JOBS, pages=t.scan("pages"))
 
 
 def corpus_pages(t):
@@ -518,7 +518,7 @@ SELECT query_id, page_id, CAST(place AS INTEGER) AS place, email, {SPIDER_SQL} A
 
 
 def extracted(t):
-    return extract.extract_contacts(jobs.job_pages(seed_jobs(t), corpus_pages(t), CAP))
+    return extract.extract_contacts(seed_jobs(t), corpus_pages(t), CAP)
 
 
 @query("extract_contacts", EXTRACT)
@@ -551,6 +551,6 @@ EDGES = "SELECT page_id AS src, (page_id * 7 + k * 13) % (SELECT count(*) FROM {
 
 @query("crawl_expand")
 def _(t):
-    edges = t.spark.sql(EDGES, pages=t.pages)
+    edges = t.spark.sql(EDGES, pages=t.scan("pages"))
     seeds = t.pages.where("page_id % 10 = 0").select(F.col("page_id").alias("job_id"), F.col("page_id").alias("node"))
     return frontier.crawl_expand(seeds, edges, max_pages=25, max_depth=6)

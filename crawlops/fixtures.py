@@ -9,6 +9,11 @@ import functools
 
 from pyspark.sql import DataFrame, SparkSession
 
+from crawlops.session import spread_rows
+
+# Tables and projections whose rows carry costly text work.
+TEXTS = {"documents", "pages", "conversations", "contact_items", "corpus"}
+
 # Reference times of the projected tables.
 JOBS_AS_OF = "2001-08-01 12:00:00"
 AS_OF = "2024-01-31 00:00:00"
@@ -176,12 +181,19 @@ class Tables:
     @functools.cache
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE:
-            return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            rows = self.scan(name)
+            return spread_rows(rows) if name in TEXTS else rows
         if name not in SQL:
             raise AttributeError(name)
-        used = {t: getattr(self, t) for t in BASE if "{" + t + "}" in SQL[name]}
+        used = {t: self.scan(t) for t in BASE if "{" + t + "}" in SQL[name]}
+        if name in TEXTS:  # the table that leads the projection
+            lead = "documents" if "documents" in used else "orders"
+            used[lead] = spread_rows(used[lead])
         return self.spark.sql(SQL[name], **used)
 
+    def scan(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
 
 def oracle(sql: str) -> str:
     """Put the projections a statement names in front of it as common table expressions."""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -109,7 +112,7 @@ def around(needle: Column, text: Column, text_lower: Column, radius: int) -> Col
 
 def _first_match(context: Column, patterns: list[str], accept) -> Column:
     found = [strip(F.regexp_extract(context, unicode(p), 1)) for p in patterns]
-    return F.coalesce(*[F.when(accept(f), f) for f in found])
+    return F.coalesce(*[let(f, lambda m: F.when(accept(m), m)) for f in found])
 
 
 def name_in(context: Column) -> Column:
@@ -168,7 +171,7 @@ def contact_context(c: Column | str) -> Column:
     text = F.lower(F.coalesce(col(c), F.lit("")))
 
     def has(words: list[str]) -> Column:
-        return text.rlike("|".join(words))
+        return functools.reduce(operator.or_, [text.contains(w) for w in words])
 
     flags = {
         "contact_page": has(CONTACT_WORDS), "team_page": has(TEAM_WORDS),

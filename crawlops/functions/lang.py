@@ -49,8 +49,8 @@ def lang_spider(text: Column | str) -> Column:
 
 def marker_count(lower: Column, marker: str) -> Column:
     """Occurrences of the marker that do not overlap."""
-    gone = F.length(lower) - F.length(F.replace(lower, F.lit(marker), F.lit("")))
-    return (gone / len(marker)).cast("int")
+    gone = F.octet_length(lower) - F.octet_length(F.replace(lower, F.lit(marker), F.lit("")))
+    return (gone / len(marker.encode())).cast("int")
 
 
 def lang_markers(text: Column | str, markers: dict[str, list[str]] | None = None) -> Column:

@@ -45,12 +45,13 @@ def cap_pages(df: DataFrame, key: str, order: Sequence[str], most: int = 25) ->
     return df.withColumn("visit_number", F.row_number().over(w)).where(F.col("visit_number") <= most)
 
 
-def job_pages(queue: DataFrame, pages: DataFrame, max_pages: int = 25, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Pages on the host of each job's start URL, at most ``max_pages`` per job.
+def cap_by_host(pages: DataFrame, max_pages: int = 25) -> DataFrame:
+    """First pages of every host in visit order."""
+    return cap_pages(pages.withColumn("netloc", url_domain("url")).where("netloc <> ''"), "netloc", ["page_id"], max_pages)
 
-    The cap is taken per host before the join, so no host meets its jobs with all its pages.
-    """
-    capped = cap_pages(pages.withColumn("netloc", url_domain("url")).where("netloc <> ''"), "netloc", ["page_id"], max_pages)
+
+def on_host(queue: DataFrame, capped: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Jobs with the capped pages of their start URL's host."""
     jobs = queue.select(
         F.col("id").alias("query_id"), F.col("url").alias("seed_url"), "custom_keywords", "match_mode", "min_matches",
         "country_filter", url_domain("url").alias("netloc"),
@@ -58,6 +59,14 @@ def job_pages(queue: DataFrame, pages: DataFrame, max_pages: int = 25, hot_rows:
     return skew_join(jobs, capped, ["netloc"], "inner", hot_rows)
 
 
+def job_pages(queue: DataFrame, pages: DataFrame, max_pages: int = 25, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Pages on the host of each job's start URL, at most ``max_pages`` per job.
+
+    The cap is taken per host before the join, so no host meets its jobs with all its pages.
+    """
+    return on_host(queue, cap_by_host(pages, max_pages), hot_rows)
+
+
 def stuck_jobs(queue: DataFrame, starts: DataFrame, as_of, seconds: int = 3600) -> DataFrame:
     """Jobs in progress that started more than ``seconds`` ago; ``starts`` has id and started_at."""
     old = starts.where(seconds_between(at(as_of), F.col("started_at")) > seconds)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlops.operators.filters import EPOCH
-from crawlops.operators.skew import HOT_ROWS, cut_hot, done, running
+from crawlops.operators.skew import HOT_ROWS, Pieces, cut_hot, done, running
 from crawlops.session import at, cut, micros
 
 
@@ -169,14 +169,19 @@ def probe_update(proxies: DataFrame, probes: DataFrame, expected: int = 5) -> Da
     )
 
 
-def failure_runs(results: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Failures in a row at every result of a proxy; a success ends the run."""
+def _with_runs(pieces: Pieces) -> Pieces:
+    """Add ``failure_run`` and the number of the result within its proxy."""
     failed = F.when(F.col("success"), 0).otherwise(1)
-    pieces = cut_hot(results, ["proxy_id"], ["ts", "event_id"], hot_rows)
-    pieces = running(pieces, sums={"_fails": failed})
+    pieces = running(pieces, sums={"_fails": failed, "_nth": F.lit(1)})
     pieces = running(pieces, maxes={"_cleared": F.when(F.col("success"), F.col("_fails"))})
     run = F.col("_fails") - F.coalesce("_cleared", F.lit(0))
-    return done(pieces.df.withColumn("failure_run", run).drop("_fails", "_cleared"))
+    pieces.df = pieces.df.withColumn("failure_run", run).drop("_fails", "_cleared")
+    return pieces
+
+
+def failure_runs(results: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Failures in a row at every result of a proxy; a success ends the run."""
+    return done(_with_runs(cut_hot(results, ["proxy_id"], ["ts", "event_id"], hot_rows)).df).drop("_nth")
 
 
 def apply_results(
@@ -190,12 +195,11 @@ def apply_results(
     """
     order = F.struct("ts", "event_id")
     ok = F.col("success")
-    runs = failure_runs(results, hot_rows)
-    # the run before this failure; an unbroken run from the start extends the stored one
+    runs = _with_runs(cut_hot(results, ["proxy_id"], ["ts", "event_id"], hot_rows))
+    # a run that reaches back to the first result extends the stored one
     begins_log = F.col("failure_run") == F.col("_nth")
-    pieces = running(cut_hot(runs, ["proxy_id"], ["ts", "event_id"], hot_rows), sums={"_nth": F.lit(1)})
     known = (
-        done(pieces.df)
+        done(runs.df)
         .withColumn("_unbroken", ~ok & begins_log)
         .groupBy("proxy_id")
         .agg(

@@ -137,56 +137,67 @@ INHIBITIONS = [
 EVERYWHERE = "all"
 
 
-def _measure(kind: str, window: int, own: DataFrame, step: int, end: DataFrame) -> DataFrame:
-    """Rows (alert, instance, ts, measure) of the rules of one kind and window."""
-    series = ["alert", "part", "severity", "op", "threshold", "hold", "instance"]
-    per_instance, everywhere = [c for c in series if c != "part"], [c for c in series if c not in ("part", "instance")]
-    if kind == "last":
-        return own.withColumn("measure", F.col("last"))
-    if kind == "last_public":
-        return own.where(~private_ip("instance")).withColumn("measure", F.col("last"))
-    if kind == "age":
-        return own.withColumn("measure", F.unix_seconds(F.col("ts").cast("timestamp")) - F.col("last"))
-    if kind == "mean":
-        return own.groupBy(*everywhere, "ts").agg(F.avg("last").alias("measure")).withColumn("instance", F.lit(EVERYWHERE))
-    if kind == "used":
-        part, whole = (F.max(F.when(F.col("part") == i, F.col("last"))) for i in (0, 1))
-        return own.groupBy(*per_instance, "ts").agg(((1 - F.try_divide(part, whole)) * 100).alias("measure"))
-    if kind.endswith("_on_grid"):
-        own, kind = on_grid(own, step, series, end), kind.removesuffix("_on_grid")
-    grown = windowed_growth(series, window)
-    if kind == "busy":
-        return own.withColumn("measure", 100 - grown / window * 100)
-    if kind == "rate":
-        return own.withColumn("measure", grown / window)
-    if kind == "growth":
-        return own.withColumn("measure", grown)
-    if kind == "ratio":
-        part, whole = (F.sum(F.when(F.col("part") == i, F.col("grown"))) for i in (0, 1))
-        summed = own.withColumn("grown", grown).groupBy(*everywhere, "ts").agg(F.try_divide(part, whole).alias("measure"))
-        return summed.withColumn("instance", F.lit(EVERYWHERE))
-    raise ValueError(kind)
+def _grown(windows: set[int], keys: list[str]) -> dict[str, Column]:
+    return {f"grown_{w}": windowed_growth(keys, w) for w in sorted(windows)}
+
+
+def _pick(windows: set[int]) -> Column:
+    """Growth over the window of the row's rule."""
+    out = F.lit(None).cast("double")
+    for w in windows:
+        out = F.when(F.col("window") == w, F.col(f"grown_{w}")).otherwise(out)
+    return out
 
 
 def evaluate(steps: DataFrame, step: int, rules: list[Rule] = RULES) -> DataFrame:
-    """Measure and condition of every rule at every step with data; one pass per kind of rule."""
-    groups: dict[tuple[str, int], list[tuple]] = {}
-    for r in rules:
-        for part, metric in enumerate(r.metrics):
-            row = (metric, part, r.name, r.severity, r.op, float(r.threshold), r.hold)
-            groups.setdefault((r.kind, r.window), []).append(row)
-    schema = "metric string, part int, alert string, severity string, op string, threshold double, hold int"
-    end = steps.agg(F.max("ts").alias("_end"))  # one row
+    """Measure and condition of every rule at every step with data.
+
+    All windows share one pass over the series; the rules then split into those
+    per series, over all instances, over a pair of series, and on a full grid.
+    """
+    grid = [r for r in rules if r.kind.endswith("_on_grid")]
+    plain = [r for r in rules if r not in grid]
+    rule_cols = ["alert", "kind", "window", "severity", "op", "threshold", "hold"]
+    schema = "metric string, part int, alert string, kind string, window int, severity string, op string, threshold double, hold int"
+
+    def table(chosen: list[Rule]) -> DataFrame:  # one row per rule and metric
+        rows = [
+            (m, i, r.name, r.kind.removesuffix("_on_grid"), r.window, r.severity, r.op, float(r.threshold), r.hold)
+            for r in chosen for i, m in enumerate(r.metrics)
+        ]
+        return F.broadcast(steps.sparkSession.createDataFrame(rows, schema))
+
+    def measured(df: DataFrame, measure: Column) -> DataFrame:
+        return df.select(*rule_cols, "instance", "ts", F.round(measure.cast("double"), 6).alias("measure"))
+
+    kind, last, grown, window = F.col("kind"), F.col("last"), F.col("grown"), F.col("window")
     parts = []
-    for (kind, window), rows in groups.items():
-        table = steps.sparkSession.createDataFrame(rows, schema)  # one row per rule and metric
-        own = steps.join(F.broadcast(table), "metric")
-        parts.append(
-            _measure(kind, window, own, step, end).select(
-                "alert", "severity", "op", "threshold", "hold", "instance", "ts",
-                F.round(F.col("measure").cast("double"), 6).alias("measure"),
-            )
+    if plain:
+        spans = {r.window for r in plain if r.window}
+        rows = steps.withColumns(_grown(spans, SERIES)).join(table(plain), "metric").withColumn("grown", _pick(spans))
+        public = (kind != "last_public") | ~private_ip("instance")
+        single = (
+            F.when(kind.isin("last", "last_public"), last)
+            .when(kind == "age", F.unix_seconds(F.col("ts").cast("timestamp")) - last)
+            .when(kind == "busy", 100 - grown / window * 100)
+            .when(kind == "rate", grown / window)
+            .otherwise(grown)
+        )
+        parts.append(measured(rows.where(~kind.isin("mean", "ratio", "used") & public), single))
+        of_part = [F.sum(F.when(F.col("part") == i, grown)) for i in (0, 1)]
+        overall = rows.where(kind.isin("mean", "ratio")).groupBy(*rule_cols, "ts").agg(
+            F.avg(last).alias("mean"), F.try_divide(*of_part).alias("ratio")
         )
+        parts.append(measured(overall.withColumn("instance", F.lit(EVERYWHERE)), F.when(kind == "mean", F.col("mean")).otherwise(F.col("ratio"))))
+        level = [F.max(F.when(F.col("part") == i, last)) for i in (0, 1)]
+        used = rows.where(kind == "used").groupBy(*rule_cols, "instance", "ts").agg(F.try_divide(*level).alias("free"))
+        parts.append(measured(used, (1 - F.col("free")) * 100))
+    if grid:
+        spans = {r.window for r in grid}
+        own = steps.join(table(grid).select("metric").distinct(), "metric", "left_semi")
+        full = on_grid(own, step, SERIES, steps.agg(F.max("ts").alias("_end")))
+        rows = full.withColumns(_grown(spans, SERIES)).join(table(grid), "metric").withColumn("grown", _pick(spans))
+        parts.append(measured(rows, F.when(kind == "rate", grown / window).otherwise(grown)))
     measure, op, limit = F.col("measure"), F.col("op"), F.col("threshold")
     cond = F.when(op == ">", measure > limit).when(op == "<", measure < limit).otherwise(measure == limit)
     return functools.reduce(DataFrame.unionByName, parts).where(measure.isNotNull()).withColumn("cond", cond)
@@ -224,7 +235,7 @@ def inhibit(alerts: DataFrame, rules=None) -> DataFrame:
 def alerts(samples: DataFrame, step: int = 300, rules: list[Rule] = RULES, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Pending and firing alerts after inhibition."""
     measured = evaluate(cut(by_step(samples, step, hot_rows)), step, rules)
-    held = sustained(measured, ["alert", "instance"], F.col("hold"), hot_rows)
+    held = cut(sustained(measured, ["alert", "instance"], F.col("hold"), hot_rows))
     return inhibit(held).select("alert", "severity", "instance", "ts", "measure", "active_since", "state")
 
 
