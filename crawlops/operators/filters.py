@@ -168,19 +168,23 @@ def topk_country(contacts: DataFrame, as_of, hours: int = 24, k: int = 10) -> Da
     )
 
 
+def days_before(as_of, days: int) -> Column:
+    return at(as_of) - F.make_dt_interval(days=F.lit(days))
+
+
 def retain(df: DataFrame, ts: str, days: int, as_of) -> DataFrame:
     """Rows that are not older than ``days``."""
-    return df.where(~F.coalesce(F.col(ts) < at(as_of) - F.make_dt_interval(days=F.lit(days)), F.lit(False)))
+    return df.where(F.col(ts).isNull() | (F.col(ts) >= days_before(as_of, days)))
 
 
 def expired_rows(df: DataFrame, ts: str, days: int, as_of) -> DataFrame:
-    return df.where(F.col(ts) < at(as_of) - F.make_dt_interval(days=F.lit(days)))
+    return df.where(F.col(ts) < days_before(as_of, days))
 
 
 def finished_before(days: int, as_of) -> Column:
     return F.coalesce(
         F.col("status").isin("done", "failed")
-        & (F.col("updated_at") < at(as_of) - F.make_dt_interval(days=F.lit(days)))
+        & (F.col("updated_at") < days_before(as_of, days))
         & F.col("deleted_at").isNull(),
         F.lit(False),
     )
