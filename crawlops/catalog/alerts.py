@@ -81,7 +81,8 @@ INHIBITED = """SELECT h.* FROM h WHERE NOT (alert IN ('HighCPUUsage', 'HighMemor
 
 def held(t):
     steps = alerts.by_step(t.samples, STEP)
-    return alerts.sustained(alerts.evaluate(alerts.cut(steps), STEP, RULES), ["alert", "instance"], F.col("hold"))
+    measured = alerts.cut(alerts.evaluate(alerts.cut(steps), STEP, RULES))
+    return alerts.sustained(measured, ["alert", "instance"], F.col("hold"))
 
 
 @query("sustained", f"WITH {sql_steps(STEP)}, {GRID}, {HELD} SELECT * FROM h")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from crawlops.catalog.registry import query
 from crawlops.functions import contact, lang, text, urls
 from crawlops.sources.readers import copy_fields
+from crawlops.operators.once import once
 from crawlops.operators.proxies import parse_proxy_lines, proxy_client, proxy_uri
-from crawlops.plans.extract import once
 
 WS = text.SPACES
 WB = text.WORD_BREAK

@@ -549,8 +549,32 @@ def pages_to_contacts(t):
 EDGES = "SELECT page_id AS src, (page_id * 7 + k * 13) % (SELECT count(*) FROM {pages}) AS dst, CAST(k AS INT) AS rank FROM {pages} LATERAL VIEW explode(array(0, 1, 2, 3, 4, 5, 6)) v AS k"
 
 
-@query("crawl_expand")
+DEPTH, MOST, PER_PAGE = 6, 25, 5
+
+
+def sql_crawl() -> str:
+    """One block of table expressions per level."""
+    edges = EDGES.format(pages="pages").replace("LATERAL VIEW explode(array(0, 1, 2, 3, 4, 5, 6)) v AS k", ", (SELECT unnest([0, 1, 2, 3, 4, 5, 6]) AS k)")
+    parts = [
+        f"e AS ({edges})",
+        "v0 AS (SELECT page_id AS job_id, page_id AS node, CAST(1 AS INTEGER) AS visit_number, CAST(0 AS INTEGER) AS depth FROM pages WHERE page_id % 10 = 0)",
+    ]
+    for d in range(1, DEPTH + 1):
+        v = f"v{d - 1}"
+        parts += [
+            f"n{d} AS (SELECT job_id, max(visit_number) AS so_far FROM {v} GROUP BY 1 HAVING max(visit_number) < {MOST})",
+            f"""s{d} AS (SELECT l.job_id, l.visit_number AS parent, e.dst AS node, n.so_far, min(e.rank) AS rank FROM {v} l JOIN n{d} n ON n.job_id = l.job_id JOIN e ON e.src = l.node
+  WHERE l.depth = {d - 1} AND NOT EXISTS (SELECT 1 FROM {v} x WHERE x.job_id = l.job_id AND x.node = e.dst) GROUP BY ALL)""",
+            f"c{d} AS (SELECT *, row_number() OVER (PARTITION BY job_id, parent ORDER BY rank, node) AS k FROM s{d})",
+            f"g{d} AS (SELECT job_id, node, so_far, min({{'p': parent, 'k': k}}) AS place FROM c{d} WHERE k <= {PER_PAGE} GROUP BY ALL)",
+            f"r{d} AS (SELECT *, so_far + row_number() OVER (PARTITION BY job_id ORDER BY place) AS visit FROM g{d})",
+            f"v{d} AS (SELECT * FROM {v} UNION ALL SELECT job_id, node, CAST(visit AS INTEGER), {d} FROM r{d} WHERE visit <= {MOST})",
+        ]
+    return "WITH " + ", ".join(parts) + f" SELECT * FROM v{DEPTH}"
+
+
+@query("crawl_expand", sql_crawl())
 def _(t):
     edges = t.spark.sql(EDGES, pages=t.scan("pages"))
     seeds = t.pages.where("page_id % 10 = 0").select(F.col("page_id").alias("job_id"), F.col("page_id").alias("node"))
-    return frontier.crawl_expand(seeds, edges, max_pages=25, max_depth=6)
+    return frontier.crawl_expand(seeds, edges, max_pages=MOST, max_depth=DEPTH, links_per_page=PER_PAGE)

@@ -587,3 +587,11 @@ SELECT job_id, phase, id, started_at AS checkpoint_at FROM (SELECT *, row_number
 def _(t):
     points = t.job_runs.select("job_id", "phase", "id", F.col("started_at").alias("checkpoint_at"), "valid_until", "is_active")
     return jobs.resume_points(points, "1997-01-01 00:00:00").select("job_id", "phase", "id", "checkpoint_at")
+
+
+@query("table_inventory", """
+SELECT unnest(['scheduler', 'spider', 'proxies', 'queue']) AS name EXCEPT SELECT DISTINCT component FROM system_logs """)
+def _(t):
+    """Expected names that never occur among the logged components."""
+    actual = t.system_logs.select(F.col("component").alias("name")).distinct()
+    return reports.missing_tables(actual, ["scheduler", "spider", "proxies", "queue"])

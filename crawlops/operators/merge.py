@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from crawlops.functions.contact import email_valid, name_from_email
 from crawlops.functions.text import field_clean, strip
 from crawlops.functions.urls import item_url, url_normalize
+from crawlops.operators.once import once
 from crawlops.operators.skew import HOT_ROWS, skew_join
 from crawlops.session import at
 
@@ -22,15 +23,16 @@ def _has(df: DataFrame, name: str) -> Column:
 
 def clean_items(items: DataFrame) -> DataFrame:
     """Cleaned fields of every item with the verdict valid, invalid_email or no_name."""
-    mail = strip("email")
-    name = F.coalesce(field_clean("name", WIDTHS["name"]), name_from_email(mail))
-    valid = email_valid(mail)
+    judged = once(items, _mail=strip("email"))
+    judged = once(
+        judged, _name=F.coalesce(field_clean("name", WIDTHS["name"]), name_from_email("_mail")), _valid=email_valid("_mail")
+    )
     source = field_clean(F.coalesce(_has(items, "source"), F.lit("Scraper")), WIDTHS["source"])
     extra = [c for c in ("confidence_score", "extraction_method") if c in items.columns]
-    return items.select(
+    return judged.select(
         "item_id", "seen_at", "query_id",
-        F.when(~valid, "invalid_email").when(name.isNull(), "no_name").otherwise("valid").alias("verdict"),
-        F.lower(mail).alias("email"), name.alias("name"),
+        F.when(~F.col("_valid"), "invalid_email").when(F.col("_name").isNull(), "no_name").otherwise("valid").alias("verdict"),
+        F.lower("_mail").alias("email"), F.col("_name").alias("name"),
         *[field_clean(_has(items, c), WIDTHS[c]).alias(c) for c in ("org", "languages", "phone", "country", "page_lang")],
         source.alias("source"), item_url("url", URL_WIDTH).alias("url"),
         F.nullif(F.substring(strip(_has(items, "seed_url")), 1, URL_WIDTH), F.lit("")).alias("seed_url"),

@@ -249,6 +249,9 @@ def draw(*parts: Column | str, seed: int = 0) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
+BROADCAST_ROWS = 200_000
+
+
 def indexed_proxies(proxies: DataFrame, as_of, order: list[Column] | None = None) -> DataFrame:
     """Eligible proxies with their index from 0 in selection order."""
     ranked = numbered(eligible_proxies(proxies, as_of), order or full_order(), "_rank")
@@ -259,21 +262,27 @@ def _pool_size(indexed: DataFrame) -> int:
     return indexed.count()
 
 
-def _by_index(requests: DataFrame, indexed: DataFrame, index: Column) -> DataFrame:
-    """Requests spread evenly over the pool indexes, so the join on the index is even too."""
-    return requests.withColumn("_index", index).join(indexed.select("_index", "proxy"), "_index").drop("_index")
+def sized(small: DataFrame, rows: int) -> DataFrame:
+    """Broadcast a table whose counted rows are few; a larger one takes the usual join."""
+    return F.broadcast(small) if rows <= BROADCAST_ROWS else small
+
+
+def _by_index(requests: DataFrame, indexed: DataFrame, index: Column, n: int) -> DataFrame:
+    """Requests spread evenly over the ``n`` pool indexes, so the join on the index is even too."""
+    pool = sized(indexed.select("_index", "proxy"), n)  # empty pool, no assignment
+    return requests.withColumn("_index", index).join(pool, "_index").drop("_index")
 
 
 def assign_round_robin(requests: DataFrame, indexed: DataFrame, order: list[str], start: int = 0) -> DataFrame:
     """Request number i takes the proxy at (start + i) modulo the pool size."""
     n = _pool_size(indexed)
     turn = numbered(requests, [F.col(c) for c in order], "_turn")
-    return _by_index(turn, indexed, F.pmod(F.col("_turn") + start, F.lit(n))).drop("_turn")
+    return _by_index(turn, indexed, F.pmod(F.col("_turn") + start, F.lit(max(n, 1))), n).drop("_turn")
 
 
 def assign_random(requests: DataFrame, indexed: DataFrame, key: str, seed: int = 0) -> DataFrame:
     n = _pool_size(indexed)
-    return _by_index(requests, indexed, F.pmod(draw(key, seed=seed), F.lit(n)))
+    return _by_index(requests, indexed, F.pmod(draw(key, seed=seed), F.lit(max(n, 1))), n)
 
 
 def assign_weighted(
@@ -303,7 +312,7 @@ def assign_weighted(
     picks = requests.withColumn("_pick", draw(key, seed=seed) / F.lit(2.0**32) * F.lit(total))
     picks = picks.withColumn("_cell", cell(F.col("_pick")))
     return (
-        picks.join(spans, "_cell")
+        picks.join(sized(spans, n), "_cell")
         .where((F.col("_after") <= F.col("_pick")) & (F.col("_pick") < F.col("_upto")))
         .drop("_cell", "_pick", "_after", "_upto")
     )
@@ -343,46 +352,46 @@ def sticky_blocks(requests: DataFrame, ttl: int = 300) -> DataFrame:
     """Start of the sticky block each request falls into.
 
     A block opens with the first request of a job and lasts ``ttl`` seconds from
-    there; the next request after that opens another one.  Block starts form a
-    chain: each start leads to the first request at or after its end.  A pause of
-    ``ttl`` or more always opens a block, which gives many independent chains; a
-    chain is followed with jumps that double in every round.
+    there; the next request after that opens another one.  Requests without job
+    share one.  Block starts form a chain: each start leads to the first request
+    at or after its end.  A pause of ``ttl`` or more always opens a block, which
+    gives many independent chains; a chain is followed with jumps that double in
+    every round.
     """
     span = ttl * 1_000_000
-    times = requests.groupBy("job_id", micros("ts").alias("_us")).agg(F.min("ts").alias("_ts"))
-    pieces = running(cut_hot(times, ["job_id"], ["_ts"]), previous={"_prev": F.col("_us")})
+    requests = requests.withColumns({"_job": F.coalesce("job_id", F.lit(0)), "_us": micros("ts")})
+    times = requests.groupBy("_job", "_us").agg(F.min("ts").alias("_ts"))
+    pieces = running(cut_hot(times, ["_job"], ["_ts"]), previous={"_prev": F.col("_us")})
     opens = F.col("_prev").isNull() | (F.col("_us") - F.col("_prev") >= span)
-    nodes = cut(done(pieces.df).select("job_id", "_us", opens.alias("_opens")))
+    nodes = cut(done(pieces.df).select("_job", "_us", opens.alias("_opens")))
 
     # next request at or after the end: smallest node time seen so far when walking back in time
-    probes = nodes.select("job_id", (F.col("_us") + span).alias("_t"), F.lit(None).cast("long").alias("_node"), F.col("_us").alias("_from"))
-    marks = nodes.select("job_id", F.col("_us").alias("_t"), F.col("_us").alias("_node"), F.lit(None).cast("long").alias("_from"))
+    none = F.lit(None).cast("long")
+    probes = nodes.select("_job", (F.col("_us") + span).alias("_t"), none.alias("_node"), F.col("_us").alias("_from"))
+    marks = nodes.select("_job", F.col("_us").alias("_t"), F.col("_us").alias("_node"), none.alias("_from"))
     both = marks.unionByName(probes).withColumns(
         {"_back": F.timestamp_micros(-F.col("_t")), "_kind": F.when(F.col("_from").isNull(), 0).otherwise(1)}
     )
-    walked = running(cut_hot(both, ["job_id"], ["_back", "_kind"]), maxes={"_nearest": -F.col("_node")})
-    jumps = done(walked.df).where("_from IS NOT NULL").select("job_id", F.col("_from").alias("_us"), (-F.col("_nearest")).alias("_to"))
+    walked = running(cut_hot(both, ["_job"], ["_back", "_kind"]), maxes={"_nearest": -F.col("_node")})
+    jumps = done(walked.df).where("_from IS NOT NULL").select("_job", F.col("_from").alias("_us"), (-F.col("_nearest")).alias("_to"))
 
-    starts = nodes.where("_opens").select("job_id", "_us")
+    starts = nodes.where("_opens").select("_job", "_us")
     # a start whose jump leads to an opening node needs no following: that node is a start already
     jumps = cut(
-        jumps.where(F.col("_to").isNotNull())
-        .join(starts.withColumnRenamed("_us", "_to"), ["job_id", "_to"], "left_anti")
+        jumps.where(F.col("_to").isNotNull()).join(starts.withColumnRenamed("_us", "_to"), ["_job", "_to"], "left_anti")
     )
-    reached = cut(starts)
+    reached = starts
     while not jumps.isEmpty():
-        step = reached.join(jumps, ["job_id", "_us"]).select("job_id", F.col("_to").alias("_us"))
+        step = reached.join(jumps, ["_job", "_us"]).select("_job", F.col("_to").alias("_us"))
         grown = cut(reached.unionByName(step).distinct())
         if grown.count() == reached.count():
             break
         reached = grown
-        onward = jumps.select("job_id", F.col("_us").alias("_to"), F.col("_to").alias("_far"))
-        jumps = cut(jumps.join(onward, ["job_id", "_to"]).select("job_id", "_us", F.col("_far").alias("_to")))
+        onward = jumps.select("_job", F.col("_us").alias("_to"), F.col("_to").alias("_far"))
+        jumps = cut(jumps.join(onward, ["_job", "_to"]).select("_job", "_us", F.col("_far").alias("_to")))
 
-    tagged = requests.withColumn("_us", micros("ts")).join(
-        reached.withColumn("_start", F.col("_us")), ["job_id", "_us"], "left"
-    )
-    walked = running(cut_hot(tagged, ["job_id"], ["ts", "event_id"]), maxes={"block_us": F.col("_start")})
+    tagged = requests.join(reached.withColumn("_start", F.col("_us")), ["_job", "_us"], "left")
+    walked = running(cut_hot(tagged, ["_job"], ["ts", "event_id"]), maxes={"block_us": F.col("_start")})
     return done(walked.df).drop("_us", "_start")
 
 
@@ -390,7 +399,7 @@ def assign_sticky(requests: DataFrame, indexed: DataFrame, ttl: int = 300, seed:
     """All requests of a job in one block share the proxy drawn for the block."""
     n = _pool_size(indexed)
     blocks = sticky_blocks(requests, ttl)
-    return _by_index(blocks, indexed, F.pmod(draw("job_id", "block_us", seed=seed), F.lit(n)))
+    return _by_index(blocks, indexed, F.pmod(draw("_job", "block_us", seed=seed), F.lit(max(n, 1))), n).drop("_job")
 
 
 def parse_proxy_lines(df: DataFrame, *keep: str) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from crawlops.operators.skew import skew_join
+
 
 def dq_domain_violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """Rows per broken rule, from one pass; a rule says what is allowed, and NULL is allowed."""
@@ -25,7 +27,7 @@ def dq_duplicates(df: DataFrame, keys: dict[str, Column | str], where: Column |
 def dq_orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
     """Child rows whose filled foreign key has no parent."""
     ids = parent.select(F.col(parent_key).alias(child_key)).distinct()
-    return child.where(F.col(child_key).isNotNull()).join(ids, child_key, "left_anti")
+    return skew_join(child.where(F.col(child_key).isNotNull()), ids, [child_key], "left_anti")
 
 
 def evolve(df: DataFrame, spec: Sequence[tuple[str, str, object]]) -> DataFrame:

@@ -7,6 +7,8 @@ everything kept per hot key is small enough to broadcast.
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -30,31 +32,43 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Da
     return sizes.where(F.col("_n") > limit).select(*keys)
 
 
+def match(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", small: bool = False) -> DataFrame:
+    """Join on equal keys where NULL equals NULL; ``small`` broadcasts the right side."""
+    other = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    cond = functools.reduce(operator.and_, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    return left.join(F.broadcast(other) if small else other, cond, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def skew_join(
     left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Equi join whose left side may be crowded on few keys.
+    """Equi join (inner, left, left_semi or left_anti) whose left side may be crowded on few keys.
 
     ``right`` holds a bounded number of rows per key.  Rows of hot keys meet the
-    broadcast part of ``right`` where they lie; all others take the usual join.
+    broadcast part of ``right`` where they lie, rows without a key meet nothing,
+    and all others take the usual join.
     """
     on = list(on)
     hot = hot_keys(left, on, hot_rows)
     if hot is None:
         return left.join(right, on, how)
-    hot = F.broadcast(hot)
-    crowded = left.join(hot, on, "left_semi").join(F.broadcast(right.join(hot, on, "left_semi")), on, how)
-    return crowded.unionByName(left.join(hot, on, "left_anti").join(right, on, how))
+    keyless = functools.reduce(operator.or_, [F.col(k).isNull() for k in on])
+    keyed, hot = left.where(~keyless), F.broadcast(hot)
+    crowded = keyed.join(hot, on, "left_semi").join(F.broadcast(right.join(hot, on, "left_semi")), on, how)
+    out = crowded.unionByName(keyed.join(hot, on, "left_anti").join(right, on, how))
+    return out.unionByName(left.where(keyless), allowMissingColumns=True) if how in ("left", "left_anti") else out
 
 
 def attach_stats(df: DataFrame, keys: Sequence[str], stats: dict[str, Column], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Add group aggregates to every row of the group."""
+    """Add group aggregates to every row of the group; NULL is a group of its own."""
     keys = list(keys)
-    if hot_keys(df, keys, hot_rows) is None:
+    hot = hot_keys(df, keys, hot_rows)
+    if hot is None:
         group = Window.partitionBy(*keys)
         return df.withColumns({name: agg.over(group) for name, agg in stats.items()})
     table = df.groupBy(*keys).agg(*[agg.alias(name) for name, agg in stats.items()])
-    return skew_join(df, table, keys, "left", hot_rows)
+    crowded = match(df, match(table, hot, keys, "left_semi", small=True), keys, small=True)
+    return crowded.unionByName(match(match(df, hot, keys, "left_anti", small=True), table, keys))
 
 
 @dataclass
@@ -82,11 +96,11 @@ def cut_hot(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows:
     if hot is None:
         return Pieces(df.withColumn("_piece", F.lit(0)), keys, order, False)
     cuts = (
-        df.join(F.broadcast(hot), keys, "left_semi")
+        match(df, hot, keys, "left_semi", small=True)
         .groupBy(*keys)
         .agg(F.percentile_approx(micros(order[0]), [i / PIECES for i in range(1, PIECES)], 1_000).alias("_cuts"))
     )
-    out = df.join(F.broadcast(cuts), keys, "left").withColumn("_piece", piece_of(micros(order[0])))
+    out = match(df, cuts, keys, "left", small=True).withColumn("_piece", piece_of(micros(order[0])))
     return Pieces(out, keys, order, True)
 
 
@@ -124,11 +138,8 @@ def running(
     carry |= {f"_c_{n}": F.max(f"_c_{n}").over(earlier) for n in maxes}
     carry |= {f"_c_{n}": F.lag(f"_c_{n}").over(by_piece) for n in previous}
     first = F.row_number().over(w)
-    out = (
-        pieces.df.withColumns(cols)
-        .withColumn("_first", first == 1)
-        .join(F.broadcast(ends.withColumns(carry)), [*pieces.keys, "_piece"], "left")
-    )
+    rows = pieces.df.withColumns(cols).withColumn("_first", first == 1)
+    out = match(rows, ends.withColumns(carry), [*pieces.keys, "_piece"], "left", small=True)
     fixed = {n: F.col(n) + F.coalesce(F.col(f"_c_{n}"), F.lit(0)) for n in sums}
     fixed |= {n: F.greatest(F.col(n), F.col(f"_c_{n}")) for n in maxes}
     fixed |= {n: F.when(F.col("_first"), F.col(f"_c_{n}")).otherwise(F.col(n)) for n in previous}

@@ -234,7 +234,7 @@ def inhibit(alerts: DataFrame, rules=None) -> DataFrame:
 
 def alerts(samples: DataFrame, step: int = 300, rules: list[Rule] = RULES, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Pending and firing alerts after inhibition."""
-    measured = evaluate(cut(by_step(samples, step, hot_rows)), step, rules)
+    measured = cut(evaluate(cut(by_step(samples, step, hot_rows)), step, rules))
     held = cut(sustained(measured, ["alert", "instance"], F.col("hold"), hot_rows))
     return inhibit(held).select("alert", "severity", "instance", "ts", "measure", "active_since", "state")
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlops.functions.urls import link_allowed, url_domain, url_join
-from crawlops.plans.extract import once
+from crawlops.operators.once import once
+from crawlops.operators.skew import HOT_ROWS, skew_join
 from crawlops.session import cut
 
 ANCHOR = r'(?i)<a\s[^>]*?href="([^"]*)"[^>]*>([^<]*)'
@@ -41,9 +42,14 @@ def page_links(pages: DataFrame) -> DataFrame:
     )
 
 
-def frontier(pages: DataFrame, seen: DataFrame, k: int = 5) -> DataFrame:
-    """The first ``k`` links of each page that were not seen before."""
-    new = page_links(pages).join(seen.select("url").distinct(), "url", "left_anti")
+def frontier(pages: DataFrame, seen: DataFrame, k: int = 5, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The first ``k`` links of each page that were not seen before.
+
+    The links are stored once: many pages may share a target, and finding such
+    targets must not parse the pages again.
+    """
+    links = cut(page_links(pages))
+    new = skew_join(links, seen.select("url").distinct(), ["url"], "left_anti", hot_rows)
     w = Window.partitionBy("page_id").orderBy("rank", "pos")
     return new.withColumn("link_number", F.row_number().over(w)).where(F.col("link_number") <= k)
 

@@ -10,6 +10,7 @@ from pyspark.sql.types import StructType
 
 from crawlops.functions.urls import url_normalize
 from crawlops.operators.merge import clean_items, merge_contacts, scope
+from crawlops.operators.proxies import sized
 from crawlops.operators.reports import hourly_aggregates
 from crawlops.plans.alerts import Rule
 from crawlops.session import scratch
@@ -108,12 +109,14 @@ def stream_breaker(results: DataFrame, max_failures: int = 5, cooldown_seconds:
 
 def stream_sticky(requests: DataFrame, indexed: DataFrame, ttl: int = 300, seed: int = 0, delay: str = "10 minutes") -> DataFrame:
     """Proxy of every request; a job keeps its proxy for ``ttl`` seconds from the draw."""
-    rows = requests.withWatermark("ts", delay).select("event_id", "job_id", "ts", _us().alias("us"))
+    job = F.coalesce("job_id", F.lit(0)).alias("job_id")
+    rows = requests.withWatermark("ts", delay).select("event_id", job, "ts", _us().alias("us"))
+    n = indexed.count()
     drawn = with_state(
-        rows.groupBy("job_id"), Sticky(ttl * 1_000_000, indexed.count(), seed),
+        rows.groupBy("job_id"), Sticky(ttl * 1_000_000, max(n, 1), seed),
         "event_id bigint, job_id bigint, block_us bigint, _index bigint",
     )
-    return drawn.join(indexed.select("_index", "proxy"), "_index").select("event_id", "block_us", "proxy")
+    return drawn.join(sized(indexed.select("_index", "proxy"), n), "_index").select("event_id", "block_us", "proxy")
 
 
 def stream_heartbeat(beats: DataFrame, limit_seconds: int = 300, delay: str = "1 minute") -> DataFrame:
