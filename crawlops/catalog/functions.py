@@ -40,18 +40,16 @@ def sql_entities(x: str) -> str:
 
 
 def sql_piece(x: str) -> str:
-    return f"nullif({sql_strip(sql_squeeze(sql_entities(x)))}, '')"
+    return f"nullif({sql_strip(sql_entities(x))}, '')"
 
 
-BODY = (
-    "regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|noscript)\\b[^>]*>.*?</(script|style|noscript)\\s*>', ' ', 'g'), "
-    "'(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"
-)
+BODY = f"regexp_replace(regexp_replace(html, {q(text.HIDDEN)}, chr(1), 'g'), '(?s)<!--.*?-->|<[^>]*>', chr(1), 'g')"
+NODES = f"array_to_string(list_filter(list_transform(string_split({sql_entities(BODY)}, chr(1)), lambda n: {sql_strip('n')}), lambda n: n <> ''), ' ')"
+PAGE_TEXT = f"""concat_ws(' ', nullif({NODES}, ''), {sql_piece("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1)")},
+  {sql_piece("regexp_extract(regexp_extract(html, '(?is)<meta\\s[^>]*name=\"description\"[^>]*>'), 'content=\"([^\"]*)\"', 1)")})"""
 
 
-@query("page_text", f"""
-SELECT page_id, concat_ws(' ', {sql_piece(BODY)}, {sql_piece("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1)")},
-  {sql_piece("regexp_extract(html, '(?is)<meta\\s+name=\"description\"\\s+content=\"([^\"]*)\"', 1)")}) AS text FROM pages""")
+@query("page_text", f"SELECT page_id, {PAGE_TEXT} AS text FROM pages")
 def _(t):
     return t.pages.select("page_id", text.page_text("html").alias("text"))
 

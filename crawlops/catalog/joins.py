@@ -36,7 +36,7 @@ def _(t):
 @query("sink_snapshot", BY_COUNTRY)
 def _(t):
     path = scratch(t.spark, "snapshot")
-    sinks.refresh_snapshot(reports.contacts_by_country(t.contacts.limit(0), AS_OF), path, "2024-01-30 00:00:00")
+    sinks.refresh_snapshot(reports.contacts_by_country(t.contacts.where("false"), AS_OF), path, "2024-01-30 00:00:00")
     sinks.refresh_snapshot(reports.contacts_by_country(t.contacts, AS_OF), path, AS_OF)
     return sinks.read_snapshot(t.spark, path)
 
@@ -127,7 +127,7 @@ b AS (SELECT url, min(visited_at) AS f, max(visited_at) AS l, count(*) AS n FROM
 SELECT coalesce(o.url, b.url) AS url, {sql_normalize('coalesce(o.url, b.url)')} AS normalized_url, coalesce(o.f, b.f) AS first_seen_at,
   greatest(o.l, b.l) AS last_seen_at, coalesce(o.n, 0) + coalesce(b.n, 0) AS visit_count FROM o FULL JOIN b ON o.url = b.url""")
 def _(t):
-    empty = t.seen_urls.limit(0).select(
+    empty = t.seen_urls.where("false").select(
         "url", F.col("url").alias("normalized_url"), F.col("visited_at").alias("first_seen_at"),
         F.col("visited_at").alias("last_seen_at"), F.lit(0).cast("bigint").alias("visit_count"),
     )

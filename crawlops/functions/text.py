@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -49,37 +51,64 @@ def content_hash(c: Column | str) -> Column:
     return F.sha2(F.coalesce(col(c), F.lit("")), 256)
 
 
+NAMED = json.dumps({name: chr(code) for name, code in name2codepoint.items() if name != "amp"})
+# Form of a character reference.
+REFERENCE = "&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,8});"
+
+
 def decode_entities(c: Column) -> Column:
-    """Named entities that pages use; the ampersand last so that nothing is decoded twice."""
-    # Entity names.
-    named = [
-        ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", "\xa0"),
-        ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"),
-        ("&euro;", "€"), ("&amp;", "&"),
-    ]
-    for name, char in named:
-        c = F.replace(c, F.lit(name), F.lit(char))
-    return c
+    """Named and numeric character references; the ampersand last, so that nothing is decoded twice."""
+    known = F.from_json(F.lit(NAMED), "map<string,string>")  # folded to a constant
+
+    def decode(text: Column, name: Column) -> Column:
+        number = F.when(
+            F.lower(name).startswith("#x"), F.conv(F.substr(name, F.lit(3)), 16, 10)
+        ).otherwise(F.substr(name, F.lit(2))).try_cast("int")
+        by_number = F.when(
+            number.between(1, 0x10FFFF) & (number != 38), F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        )
+        char = F.when(name.startswith("#"), by_number).otherwise(F.try_element_at(known, name))
+        return F.when(char.isNull(), text).otherwise(F.replace(text, F.concat(F.lit("&"), name, F.lit(";")), char))
+
+    def names(text: Column) -> Column:
+        return F.array_distinct(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(1)))
+
+    decoded = let(c, lambda x: F.when(F.contains(x, F.lit("&")), F.aggregate(names(x), x, decode)).otherwise(x))
+    for amp in ("&#38;", "&#x26;", "&amp;"):
+        decoded = F.replace(decoded, F.lit(amp), F.lit("&"))
+    return decoded
+
+
+# One character that stands for any markup between two text nodes.
+BREAK = "\u0001"
 
 
 def page_text(html: Column | str, limit: int | None = None) -> Column:
-    """Visible text, then title, description and keywords, pieces joined by one space.
+    """Visible text nodes, then title, description and keywords: each trimmed, joined by one space.
 
     The title text also occurs in the visible part.  The whole text is returned
     unless ``limit`` is given.
     """
     html = col(html)
-    body = F.regexp_replace(html, "(?is)<(script|style|noscript)\\b[^>]*>.*?</(script|style|noscript)\\s*>", " ")
-    body = F.regexp_replace(body, "(?s)<!--.*?-->", " ")
-    body = F.regexp_replace(body, "(?s)<[^>]*>", " ")
+    body = F.regexp_replace(html, HIDDEN, BREAK)
+    body = F.regexp_replace(body, "(?s)<!--.*?-->|<[^>]*>", BREAK)
     title = F.regexp_extract(html, "(?is)<title[^>]*>(.*?)</title", 1)
-    pieces = [body, title, meta(html, "description"), meta(html, "keywords")]
-    text = F.concat_ws(" ", *[F.nullif(strip(squeeze(decode_entities(p))), F.lit("")) for p in pieces])
+    nodes = F.transform(F.split(decode_entities(body), BREAK), strip)
+    others = [strip(decode_entities(p)) for p in (title, meta(html, "description"), meta(html, "keywords"))]
+    text = F.array_join(F.filter(F.concat(nodes, F.array(*others)), lambda node: node != ""), " ")
+    text = F.coalesce(text, F.lit(""))
     return F.substring(text, 1, limit) if limit else text
 
 
+# Elements whose text is not shown.
+HIDDEN = "(?is)<(script|style|noscript)\\b[^>]*>.*?</(script|style|noscript)\\s*>"
+
+
 def meta(html: Column, name: str) -> Column:
-    return F.regexp_extract(html, f'(?is)<meta\\s+name="{name}"\\s+content="([^"]*)"', 1)
+    """Content of the first meta element of that name."""
+    tag = F.regexp_extract(html, f"(?is)<meta\\s[^>]*?name\\s*=\\s*[\"']{name}[\"'][^>]*>", 0)
+    quoted = [F.regexp_extract(tag, f"(?is)content\\s*=\\s*{q}([^{q}]*){q}", 1) for q in ('"', "'")]
+    return F.concat(*quoted)
 
 
 def items_from_log(c: Column | str) -> Column:

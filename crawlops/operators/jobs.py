@@ -92,13 +92,14 @@ def transition(
     status = F.when(ok, "done").when(again, "pending").otherwise("failed")
     counted = ran & ~ok & (~again if as_written else F.lit(True))
     pause = at(as_of) + F.make_dt_interval(mins=F.lit(retry_minutes))
+    took = F.coalesce("_seconds", "execution_time_seconds") if "execution_time_seconds" in queue.columns else F.col("_seconds")
     return (
         queue.join(o, "id", "left")
         .withColumns(
             {
                 "status": F.when(ran, status).otherwise(F.col("status")),
                 "last_error": F.when(ran & ~ok & (F.coalesce("_error", F.lit("")) != ""), F.col("_error")).otherwise(F.col("last_error")),
-                "execution_time_seconds": F.col("_seconds"),
+                "execution_time_seconds": took,
                 "contacts_extracted": F.when(ran & ok, F.coalesce("_contacts", F.lit(0))).otherwise(F.col("contacts_extracted")),
                 "retry_count": F.when(counted, F.col("retry_count") + 1).otherwise(F.col("retry_count")),
                 "next_retry_at": F.when(counted, pause).otherwise(F.col("next_retry_at")),

@@ -1,8 +1,9 @@
 """Groups that hold a large share of the rows.
 
 A key counts as hot when its group is larger than ``hot_rows`` and larger than
-a thousandth of the table, so there are never more than a thousand hot keys and
-everything kept per hot key is small enough to broadcast.
+a fixed share of the table, so the number of hot keys, and of the pieces they are
+cut into, is bounded whatever the size of the table: what is kept per hot key or
+piece can be broadcast.
 """
 
 from __future__ import annotations
@@ -18,18 +19,32 @@ from pyspark.sql import functions as F
 from crawlops.session import micros
 
 HOT_ROWS = 1_000_000
-MAX_HOT_KEYS = 1_000
-PIECES = 256
+MAX_HOT_KEYS = 10_000  # a hot group holds more than this share of the rows
+QUANTILES = 4_096
+PAGE = 64
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
-    """Keys whose group is hot, at most MAX_HOT_KEYS rows; None when there are none."""
+@dataclass
+class Hot:
+    """Hot keys with their sizes (``_n``); a group has at most ``limit`` rows otherwise."""
+
+    sizes: DataFrame
+    limit: int
+    keys: list[str]
+
+    @property
+    def names(self) -> DataFrame:
+        return self.sizes.select(*self.keys)
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Hot | None:
+    """Keys whose group is hot, at most MAX_HOT_KEYS of them; None when there are none."""
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total, biggest = sizes.agg(F.sum("_n"), F.max("_n")).first()
     limit = max(hot_rows, (total or 0) // MAX_HOT_KEYS)
     if (biggest or 0) <= limit:
         return None
-    return sizes.where(F.col("_n") > limit).select(*keys)
+    return Hot(sizes.where(F.col("_n") > limit), limit, list(keys))
 
 
 def match(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", small: bool = False) -> DataFrame:
@@ -53,7 +68,7 @@ def skew_join(
     if hot is None:
         return left.join(right, on, how)
     keyless = functools.reduce(operator.or_, [F.col(k).isNull() for k in on])
-    keyed, hot = left.where(~keyless), F.broadcast(hot)
+    keyed, hot = left.where(~keyless), F.broadcast(hot.names)
     crowded = keyed.join(hot, on, "left_semi").join(F.broadcast(right.join(hot, on, "left_semi")), on, how)
     out = crowded.unionByName(keyed.join(hot, on, "left_anti").join(right, on, how))
     return out.unionByName(left.where(keyless), allowMissingColumns=True) if how in ("left", "left_anti") else out
@@ -67,8 +82,8 @@ def attach_stats(df: DataFrame, keys: Sequence[str], stats: dict[str, Column], h
         group = Window.partitionBy(*keys)
         return df.withColumns({name: agg.over(group) for name, agg in stats.items()})
     table = df.groupBy(*keys).agg(*[agg.alias(name) for name, agg in stats.items()])
-    crowded = match(df, match(table, hot, keys, "left_semi", small=True), keys, small=True)
-    return crowded.unionByName(match(match(df, hot, keys, "left_anti", small=True), table, keys))
+    crowded = match(df, match(table, hot.names, keys, "left_semi", small=True), keys, small=True)
+    return crowded.unionByName(match(match(df, hot.names, keys, "left_anti", small=True), table, keys))
 
 
 @dataclass
@@ -86,26 +101,40 @@ class Pieces:
 
 
 def cut_hot(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: int = HOT_ROWS) -> Pieces:
-    """Cut hot groups into consecutive time pieces.
+    """Cut hot groups into consecutive time pieces of about the size of the largest other group.
 
     ``order[0]`` is a timestamp.  The cuts are quantiles of each hot key, so a
-    burst does not end up in one piece.
+    burst does not end up in one piece.  All pieces together are at most twice
+    MAX_HOT_KEYS.
     """
     keys, order = list(keys), list(order)
     hot = hot_keys(df, keys, hot_rows)
     if hot is None:
         return Pieces(df.withColumn("_piece", F.lit(0)), keys, order, False)
-    cuts = (
-        match(df, hot, keys, "left_semi", small=True)
-        .groupBy(*keys)
-        .agg(F.percentile_approx(micros(order[0]), [i / PIECES for i in range(1, PIECES)], 1_000).alias("_cuts"))
+    shares = [i / QUANTILES for i in range(1, QUANTILES)]
+    wanted = F.least(F.ceil(F.col("_n") / hot.limit), F.lit(QUANTILES))
+    every = F.greatest(F.floor(F.lit(QUANTILES) / wanted), F.lit(1))
+    cuts = F.array_distinct(F.filter("_all", lambda _, i: (i + 1) % F.col("_every") == 0))
+    pages = F.transform(
+        F.sequence(F.lit(0), F.ceil(F.size("_flat") / PAGE).cast("int") - 1), lambda i: F.slice("_flat", i * PAGE + 1, F.lit(PAGE))
+    )
+    table = (
+        match(df, hot.sizes, keys, small=True)
+        .groupBy(*keys, "_n")
+        .agg(F.percentile_approx(micros(order[0]), shares, 10_000).alias("_all"))
+        .withColumn("_every", every)
+        .withColumn("_flat", cuts)
+        .select(*keys, pages.alias("_cuts"))
     )
-    out = match(df, cuts, keys, "left", small=True).withColumn("_piece", piece_of(micros(order[0])))
+    out = match(df, table, keys, "left", small=True).withColumn("_piece", piece_of(micros(order[0])))
     return Pieces(out, keys, order, True)
 
 
 def piece_of(us: Column) -> Column:
-    return F.coalesce(F.size(F.filter("_cuts", lambda cut: cut <= us)), F.lit(0))
+    """Number of cuts up to a time: the page of cuts first, then the place on it."""
+    page = F.size(F.filter("_cuts", lambda p: p[0] <= us))
+    place = F.size(F.filter(F.get("_cuts", page - 1), lambda cut: cut <= us))
+    return F.when(F.col("_cuts").isNull() | (page == 0), 0).otherwise((page - 1) * PAGE + place)
 
 
 def running(

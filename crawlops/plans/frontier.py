@@ -10,7 +10,7 @@ from crawlops.operators.once import once
 from crawlops.operators.skew import HOT_ROWS, skew_join
 from crawlops.session import cut
 
-ANCHOR = r'(?i)<a\s[^>]*?href="([^"]*)"[^>]*>([^<]*)'
+ANCHOR = r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"']*)["'][^>]*>([^<]*)"""
 
 
 def page_links(pages: DataFrame) -> DataFrame:
@@ -26,7 +26,7 @@ def page_links(pages: DataFrame) -> DataFrame:
     found = once(pages.select("page_id", "url", "html"), links=pairs, netloc=url_domain("url")).select(
         "page_id", F.col("url").alias("page_url"), "netloc", F.posexplode("links").alias("pos", "link")
     )
-    href, label = F.col("link.href"), F.col("link.label")
+    href, label = F.replace(F.col("link.href"), F.lit("&amp;"), F.lit("&")), F.col("link.label")
     rank = F.lit(7)
     for i, cond in reversed(list(enumerate([
         href.contains("contact"), href.contains("about"), href.contains("team"), href.contains("staff"),

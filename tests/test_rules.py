@@ -79,6 +79,17 @@ def test_name_org_phone_near(spark):
     assert near.p == "+33 1 23 45 67 89"
 
 
+def test_page_text(spark):
+    html = (
+        "<html><head><title> Cabinet &amp; Co </title><meta content='Un cabinet &eacute;tabli' name='description'>"
+        '<meta name="keywords" content="law, visa"><script>var x = "<p>no</p>";</script><style>p{}</style></head>'
+        "<body><p> One\n two </p><!-- hidden --><noscript>off</noscript><div></div>caf&#233; &#xE9; &amp;lt; &unknown;</body></html>"
+    )
+    wanted = "Cabinet & Co One\n two café é &lt; &unknown; Cabinet & Co Un cabinet établi law, visa"
+    assert apply(spark, text.page_text, [html, "", None]) == [wanted, "", ""]
+    assert apply(spark, lambda c: text.page_text(c, 7), [html]) == ["Cabinet"]
+
+
 BASES = ["http://a.org/b/c/d?q=1", "https://a.org", "http://a.org/b/", "http://a.org/b/c.html#top"]
 HREFS = ["x", "./x", "../x", "../../x", "../../../x", "/x/./y/../z", "//h.org/p", "?q=2", "#f", "", "http://o.org/x", "mailto:a@b.org", ".", "..",
          "a/b/../../c?x=1#y", "/a//b", "x/", "../"]
