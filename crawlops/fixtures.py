@@ -159,11 +159,11 @@ SELECT page_id, url, CASE page_id % 12 WHEN 0 THEN concat('HTTP', substring(url,
     WHEN 12 THEN 'a/b/../../c?x=1#y' WHEN 13 THEN '..' ELSE concat('/p', CAST(page_id AS STRING)) END AS href
 FROM {pages}""",
     "corpus": """
-SELECT d.doc_id AS doc_id, concat(p.url, '') AS url,
+SELECT /*+ BROADCAST(p) */ d.doc_id AS doc_id, concat(p.url, '') AS url,
   concat(d.text, ' Contact: Marie Dubois, Dubois Consulting, ', 'Ada.', CAST(d.doc_id % 300 AS STRING), '@mail',
     CAST(d.doc_id % 7 AS STRING), '.acme.org +33 1 23 45 67 ', CAST(10 + d.doc_id % 90 AS STRING)) AS text,
   d.doc_id % 200 AS query_id
-FROM {documents} d JOIN {pages} p ON p.page_id = d.doc_id % 250""",
+FROM {documents} d JOIN (SELECT page_id, url FROM {pages} WHERE page_id < 250) p ON p.page_id = d.doc_id % 250""",
 }
 
 ORACLE = dict(SQL)

@@ -47,19 +47,19 @@ def _ranked(df: DataFrame, order: list[Column]) -> DataFrame:
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Consecutive numbers from 1 in the given order, without one task seeing all rows.
 
-    The rows are range-sorted and stored; each stored part is numbered on its own
-    and shifted by the sizes of the parts before it.
+    The rows are range-sorted and stored with their part and place in it; the
+    place is then shifted by the sizes of the parts before.
     """
-    parts = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
-    sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) + 1  # the low bits count within the part
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    parts = cut(ranged.select("*", F.spark_partition_id().alias("_part"), place.alias("_place")))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per part
+    sizes = parts.groupBy("_part").agg(F.max("_place").alias("_n"))
     offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     return (
-        parts.withColumn("_rn", inside)
-        .join(F.broadcast(offsets), "_part")
-        .withColumn(name, F.col("_rn") + F.col("_offset"))
-        .drop("_part", "_rn", "_offset")
+        parts.join(F.broadcast(offsets), "_part")
+        .withColumn(name, F.col("_place") + F.col("_offset"))
+        .drop("_part", "_place", "_offset")
     )
 
 
