@@ -380,13 +380,13 @@ def sticky_blocks(requests: DataFrame, ttl: int = 300) -> DataFrame:
     jumps = cut(
         jumps.where(F.col("_to").isNotNull()).join(starts.withColumnRenamed("_us", "_to"), ["_job", "_to"], "left_anti")
     )
-    reached = starts
+    reached, known = starts, starts.count()
     while not jumps.isEmpty():
         step = reached.join(jumps, ["_job", "_us"]).select("_job", F.col("_to").alias("_us"))
-        grown = cut(reached.unionByName(step).distinct())
-        if grown.count() == reached.count():
+        reached = cut(reached.unionByName(step).distinct())
+        before, known = known, reached.count()
+        if known == before:
             break
-        reached = grown
         onward = jumps.select("_job", F.col("_us").alias("_to"), F.col("_to").alias("_far"))
         jumps = cut(jumps.join(onward, ["_job", "_to"]).select("_job", "_us", F.col("_far").alias("_to")))
 

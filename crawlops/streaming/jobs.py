@@ -21,9 +21,15 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
-def stream_events(spark: SparkSession, path: str, schema: StructType | str, files_per_trigger: int = 1000) -> DataFrame:
-    """Append-only event files of a folder or glob; the event time becomes a timestamp with zone, as watermarks need one."""
-    found = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def stream_events(
+    spark: SparkSession, path: str, schema: StructType | str, files_per_trigger: int | None = None, bytes_per_trigger: int = 8 << 30
+) -> DataFrame:
+    """Append-only event files of a folder or glob; the event time becomes a timestamp with zone, as watermarks need one.
+
+    The size of a micro-batch bounds what a state handler sees of one key at a time.
+    """
+    limit = ("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else ("maxBytesPerTrigger", bytes_per_trigger)
+    found = spark.readStream.schema(schema).option(*limit).parquet(path)
     return found.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
