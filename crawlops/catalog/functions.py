@@ -388,7 +388,7 @@ def sql_join(b: str, h: str) -> str:
     closing = f"CASE WHEN regexp_matches({p}, '(^|/)\\.\\.?$') THEN '/' ELSE '' END"
     res = f"(array_to_string({walked}, '/') || {closing})"
     return (
-        f"CASE WHEN {h} = '' THEN {b} WHEN {SCHEME.format(h)} <> '' THEN {h} WHEN {h} LIKE '//%' THEN {SCHEME.format(b)} || ':' || {h} "
+        f"CASE WHEN {h} = '' THEN {b} WHEN {SCHEME.format(h)} <> '' THEN {h} WHEN {DOMAIN.format(h)} <> '' THEN {SCHEME.format(b)} || ':' || {h} "
         f"WHEN {p} = '' THEN {origin} || {PATH.format(b)} || CASE WHEN {bq.format(h)} = '' THEN {bq.format(b)} ELSE {bq.format(h)} END || regexp_extract({h}, '(#.+)$', 1) "
         f"ELSE {origin} || CASE WHEN {res} LIKE '/%' THEN '' ELSE '/' END || {res} || {bq.format(h)} || regexp_extract({h}, '(#.+)$', 1) END"
     )

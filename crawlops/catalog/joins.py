@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from crawlops.catalog.functions import (
-    DOMAIN, EV, ES, HASH, PHONES, SPIDER_SQL, SQL_NAME, SQL_ORG, q, sql_field, sql_normalize, sql_strip,
+    DOMAIN, EV, ES, HASH, PHONES, SPIDER_SQL, SQL_NAME, SQL_ORG, q, sql_around, sql_field, sql_join, sql_normalize, sql_strip,
 )
 from crawlops.catalog.registry import query
 from crawlops.catalog.reports import BY_COUNTRY, ELIGIBLE, FULL_ORDER, JT, NT, SIMPLE, SIMPLE_ORDER
@@ -445,8 +445,6 @@ def _(t):
 # ------------------------------------------------------------------ crawl and extraction
 
 ANCHORS = "unnest(regexp_extract_all(html, {p}, 1)) AS href, unnest(regexp_extract_all(html, {p}, 2)) AS label, unnest(generate_series(0, len(regexp_extract_all(html, {p})) - 1)) AS pos"
-from crawlops.catalog.functions import sql_join  # noqa: E402
-
 LINKS = f"""a AS (SELECT page_id, url AS base, {ANCHORS.format(p=q(frontier.ANCHOR))} FROM pages),
 j AS (SELECT page_id, base, pos, {sql_join('base', 'href')} AS url, CASE WHEN contains(href, 'contact') THEN 1 WHEN contains(href, 'about') THEN 2 WHEN contains(href, 'team') THEN 3
   WHEN contains(href, 'staff') THEN 4 WHEN contains(label, 'Contact') THEN 5 WHEN contains(label, 'About') THEN 6 ELSE 7 END AS rank FROM a),
@@ -474,7 +472,6 @@ def _(t):
 # jobs whose start URLs are the given pages, with keywords by page number
 SEED_JOBS = """SELECT page_id AS id, url, CASE page_id % 3 WHEN 0 THEN '["Contact", "the "]' WHEN 1 THEN 'Consulting, tion; le' ELSE 'zzz' END AS custom_keywords,
   CASE page_id % 2 WHEN 0 THEN 'any' ELSE 'multiple' END AS match_mode, 2 AS min_matches, CASE page_id % 5 WHEN 0 THEN NULL ELSE 'FRANCE' END AS country_filter FROM {pages}"""
-CORPUS_PAGES = "SELECT doc_id AS page_id, url, text FROM {corpus}"
 CAP = 5
 
 
@@ -496,11 +493,6 @@ def _(t):
     return jobs.job_pages(seed_jobs(t), corpus_pages(t), CAP).select("query_id", "page_id", "seed_url", "match_mode")
 
 
-def sql_around(radius: int) -> str:
-    p = "instr(lower(text), lower(email))"
-    return f"substring(text, greatest({p} - {radius}, 1), {p} + {radius} - greatest({p} - {radius}, 1))"
-
-
 EXTRACT = f"""
 WITH {JOB_PAGES},
 kw AS (SELECT *, lower(text) AS t, CASE query_id % 3 WHEN 0 THEN ['contact', 'the'] WHEN 1 THEN ['consulting', 'tion', 'le'] ELSE ['zzz'] END AS w FROM jp),

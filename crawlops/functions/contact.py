@@ -62,13 +62,19 @@ def name_from_email(c: Column | str) -> Column:
     return F.when(ok, name)
 
 
+def _addresses(c: Column, pattern: str) -> Column:
+    """Distinct matches in order; most texts have no @ and are not searched."""
+    found = F.array_distinct(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)))
+    return F.when(c.contains("@"), found).when(c.isNotNull(), F.array().cast("array<string>"))
+
+
 def emails(c: Column | str) -> Column:
     """Distinct addresses of a page, in page order."""
-    return F.array_distinct(F.regexp_extract_all(col(c), F.lit(unicode(EMAIL_IN_PAGE)), F.lit(0)))
+    return _addresses(col(c), unicode(EMAIL_IN_PAGE))
 
 
 def emails_util(c: Column | str) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.coalesce(col(c), F.lit("")), F.lit(EMAIL_ANYWHERE), F.lit(0)))
+    return _addresses(F.coalesce(col(c), F.lit("")), EMAIL_ANYWHERE)
 
 
 def phones(c: Column | str) -> Column:

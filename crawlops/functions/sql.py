@@ -55,6 +55,18 @@ FUNCTIONS = [
      f"coalesce(strip_spaces(x) RLIKE {raw(contact.EMAIL_VALID)} AND NOT lower(x) RLIKE {raw(contact.EMAIL_SUSPICIOUS)}, false)"),
     ("email_domain", "x STRING", "STRING", "lower(split_part(x, '@', 2))"),
     ("page_emails", "x STRING", "ARRAY<STRING>", f"array_distinct(regexp_extract_all(x, {raw(contact.unicode(contact.EMAIL_IN_PAGE))}, 0))"),
+    ("text_emails", "x STRING", "ARRAY<STRING>", f"array_distinct(regexp_extract_all(coalesce(x, ''), {raw(contact.EMAIL_ANYWHERE)}, 0))"),
+    ("text_phones", "x STRING", "ARRAY<STRING>",
+     f"array_distinct(regexp_extract_all(coalesce(x, ''), {raw(contact.unicode(contact.PHONE_INTERNATIONAL))}, 0))"),
+    ("local_words", "x STRING", "STRING",
+     "trim(regexp_replace(regexp_replace(split_part(x, '@', 1), '[._+-]+', ' '), '[0-9]+', ''))"),
+    ("words_as_name", "x STRING", "STRING",
+     "array_join(transform(filter(split(x, ' +'), w -> length(w) > 1), w -> initcap(w)), ' ')"),
+    ("name_from_email", "x STRING", "STRING",
+     r"CASE WHEN contains(x, '@') AND length(local_words(x)) >= 2 AND replace(local_words(x), ' ', '') RLIKE r'^\p{L}+$' "
+     "AND length(words_as_name(local_words(x))) >= 3 AND contains(words_as_name(local_words(x)), ' ') THEN words_as_name(local_words(x)) END"),
+    ("keywords_form", "x STRING", "ARRAY<STRING>",
+     f"coalesce(filter(transform(split(strip_spaces(x), '[,;\\n]+'), p -> btrim(p, {chars(text.SPACES)})), p -> p <> ''), CAST(array() AS ARRAY<STRING>))"),
     ("page_phones", "x STRING", "ARRAY<STRING>",
      f"array_distinct(filter(transform(regexp_extract_all(x, {raw(contact.unicode(contact.PHONE_IN_PAGE))}, 0), p -> btrim(p, {chars(text.SPACES)})), "
      r"p -> length(regexp_replace(p, r'[^\p{Nd}]', '')) BETWEEN 8 AND 15))"),

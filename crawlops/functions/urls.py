@@ -126,7 +126,7 @@ def url_join(base: Column | str, href: Column | str) -> Column:
     return (
         F.when(href == "", base)
         .when(scheme_of(href) != "", href)
-        .when(href.startswith("//"), F.concat(b_scheme, F.lit(":"), href))
+        .when(url_domain(href) != "", F.concat(b_scheme, F.lit(":"), href))
         .when(path == "", F.concat(origin, b_path, F.when(query == "", b_query).otherwise(query), fragment))
         .otherwise(F.concat(origin, rooted, query, fragment))
     )

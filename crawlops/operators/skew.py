@@ -37,8 +37,14 @@ class Hot:
         return self.sizes.select(*self.keys)
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Hot | None:
-    """Keys whose group is hot, at most MAX_HOT_KEYS of them; None when there are none."""
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int | None = HOT_ROWS) -> Hot | None:
+    """Keys whose group is hot, at most MAX_HOT_KEYS of them; None when there are none.
+
+    Counting costs a pass over the key columns; ``hot_rows=None`` skips it where
+    the caller knows the groups to be small.
+    """
+    if hot_rows is None:
+        return None
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total, biggest = sizes.agg(F.sum("_n"), F.max("_n")).first()
     limit = max(hot_rows, (total or 0) // MAX_HOT_KEYS)
@@ -55,7 +61,7 @@ def match(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "in
 
 
 def skew_join(
-    left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", hot_rows: int = HOT_ROWS
+    left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", hot_rows: int | None = HOT_ROWS
 ) -> DataFrame:
     """Equi join (inner, left, left_semi or left_anti) whose left side may be crowded on few keys.
 
@@ -74,7 +80,7 @@ def skew_join(
     return out.unionByName(left.where(keyless), allowMissingColumns=True) if how in ("left", "left_anti") else out
 
 
-def attach_stats(df: DataFrame, keys: Sequence[str], stats: dict[str, Column], hot_rows: int = HOT_ROWS) -> DataFrame:
+def attach_stats(df: DataFrame, keys: Sequence[str], stats: dict[str, Column], hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Add group aggregates to every row of the group; NULL is a group of its own."""
     keys = list(keys)
     hot = hot_keys(df, keys, hot_rows)
@@ -100,7 +106,7 @@ class Pieces:
         return Window.partitionBy(*self.keys, "_piece").orderBy(*self.order)
 
 
-def cut_hot(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: int = HOT_ROWS) -> Pieces:
+def cut_hot(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: int | None = HOT_ROWS) -> Pieces:
     """Cut hot groups into consecutive time pieces of about the size of the largest other group.
 
     ``order[0]`` is a timestamp.  The cuts are quantiles of each hot key, so a

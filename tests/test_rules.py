@@ -1,5 +1,6 @@
 """Rule tables: input and expected output worked out by hand, and the standard library as judge for URLs."""
 
+import random
 from urllib.parse import parse_qsl, urlencode, urljoin, urlparse, urlunparse
 
 import pytest
@@ -116,6 +117,38 @@ def test_normalize_like_the_standard_library(spark):
     assert apply(spark, urls.url_normalize, given) == [normalized(u) for u in given]
 
 
+def test_many_made_up_urls(spark):
+    rng = random.Random(11)
+    piece = ["a", "b", "Z", "é", "%41", "%C3%A9", "+", "~", "*", ".", "-", "=", "x=1", "&", ";", "/", "%20", "1"]
+
+    def some(n):
+        return "".join(rng.choice(piece) for _ in range(rng.randrange(n)))
+
+    given = [
+        rng.choice(["http://", "HTTPS://", "//", "ftp://"]) + rng.choice(["a.org", "B.Org:80", "u@h"]) + rng.choice(["", "/"]) * 1
+        + (("/" + some(6).replace("&", "")) if rng.random() < 0.7 else "") + (("?" + some(12)) if rng.random() < 0.8 else "")
+        + rng.choice(["", "#f?x"])
+        for _ in range(800)
+    ]
+    ours = apply(spark, urls.url_normalize, given)
+    assert [(u, o) for u, o in zip(given, ours, strict=True) if o != normalized(u)] == []
+
+
+def test_many_made_up_links(spark):
+    rng = random.Random(12)
+    part = ["a", "..", ".", "b.html", "c", "", "x;y"]
+    pairs = [
+        (
+            rng.choice(["http://a.org", "http://a.org/x/y/z", "https://a.org/p/?q=1", "http://a.org/./m/../n"]),
+            rng.choice(["", "/"]) + "/".join(rng.choice(part) for _ in range(rng.randrange(1, 6))) + rng.choice(["", "?k=v", "#f", "/"]),
+        )
+        for _ in range(800)
+    ]
+    df = spark.createDataFrame(pairs, "b string, h string")
+    found = df.select("b", "h", urls.url_join("b", "h").alias("u")).collect()
+    assert [(r.b, r.h, r.u, urljoin(r.b, r.h)) for r in found if r.u != urljoin(r.b, r.h)] == []
+
+
 def test_proxy_lines(spark):
     lines = ["1.2.3.4:80", "1.2.3.4:80:u:p", "http://h:1", "https://u:p@h:2", "socks5://u:p@h:3", "nonsense", "h:70000", "ftp://h:1", "u:p@h:1"]
     out = parse_proxy_lines(spark.createDataFrame([(x,) for x in lines], "value string")).collect()
@@ -140,6 +173,10 @@ def test_sql_functions_agree(spark, tables):
         (tables.corpus, "text", "lang_detect(text)", lang.lang_spider("text")),
         (tables.corpus, "text", "content_hash(text)", text.content_hash("text")),
         (tables.corpus, "text", "name_valid(substring(text, 1, 20))", contact.name_valid(F.substring("text", 1, 20))),
+        (tables.contact_items, "email", "name_from_email(email)", contact.name_from_email("email")),
+        (tables.corpus, "text", "array_join(text_emails(text), ' ')", F.array_join(contact.emails_util("text"), " ")),
+        (tables.corpus, "text", "array_join(text_phones(text), ' ')", F.array_join(contact.phones_util("text"), " ")),
+        (tables.queue, "custom_keywords", "array_join(keywords_form(custom_keywords), '|')", F.array_join(lang.keywords_form("custom_keywords"), "|")),
         (tables.contact_items, "email", "contact_hash(email, name, org)", contact.contact_hash("email", "name", "org")),
         (tables.proxy_results, "message", "error_category(status_code, message)", text.error_category("status_code", "message")),
     ]
