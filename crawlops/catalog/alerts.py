@@ -16,7 +16,7 @@ d AS (SELECT *, CASE WHEN prev IS NULL THEN 0 WHEN value < prev THEN value ELSE
 @query("counter_increase", f"""
 WITH {DELTAS}, w AS (SELECT *, first(delta) OVER z AS fd, first(reset) OVER z AS fr, sum(delta) OVER z AS sd, sum(reset) OVER z AS sr FROM d
   WINDOW z AS ({SERIES} epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW))
-SELECT event_id, metric, instance, ts, value, round(sd - fd, 6) AS increase, round((sd - fd) / 86400, 6) AS rate, CAST(sr - fr AS BIGINT) AS resets FROM w""")
+SELECT event_id, metric, instance, ts, value, round(sd - fd, 6) AS increase, round(sd - fd, 6) / 86400 AS rate, CAST(sr - fr AS BIGINT) AS resets FROM w""")
 def _(t):
     return alerts.increase(t.samples, 86_400)
 

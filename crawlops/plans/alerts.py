@@ -45,7 +45,7 @@ def increase(samples: DataFrame, seconds: int, hot_rows: int = HOT_ROWS) -> Data
     )
     grown = F.col("_sum") - F.col("_first")
     return out.select(
-        "event_id", *SERIES, "ts", "value", F.round(grown, 6).alias("increase"), F.round(grown / seconds, 6).alias("rate"),
+        "event_id", *SERIES, "ts", "value", F.round(grown, 6).alias("increase"), (F.round(grown, 6) / seconds).alias("rate"),
         (F.col("_resets") - F.col("_first_reset")).alias("resets"),
     )
 
