@@ -16,16 +16,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlops.llm.config_lp import Run, pack
+from crawlops.llm.prefix_bpe import WORDS
 from crawlops.llm.texts import Cache, map_texts
 from crawlops.session import cut
 
 CAPACITY = 4096
 END_ID = 1
+PLAIN = "\u0250"  # below it no character combines with another
 
 
 @functools.lru_cache(maxsize=2)
 def chunk_ids(path: str) -> Cache:
-    """Ids of the text between two spaces; no token spans a space."""
+    """Ids of the text between two spaces, as the library gives them; no token spans a space or two words.
+
+    Most chunks differ from others by punctuation only, so plain ones are cut into
+    words first and the library sees each word once.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -33,10 +39,17 @@ def chunk_ids(path: str) -> Cache:
     library.no_truncation()
     library.no_padding()
 
-    def find(chunk: str) -> bytes:
-        ids = library.encode(chunk, add_special_tokens=False).ids
+    def asked(text: str) -> bytes:
+        ids = library.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    words = Cache(asked)
+
+    def find(chunk: str) -> bytes:
+        if not chunk or max(chunk) >= PLAIN or "<|" in chunk:
+            return asked(chunk)
+        return b"".join(map(words.__getitem__, WORDS.findall(chunk.lower())))
+
     return Cache(find)
 
 
@@ -103,6 +116,8 @@ def pack_documents(
         "doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("nth")).alias("rank")
     )
 
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, sequences, offsets = plan.value
         lengths, at = np.unique(keys[:, 0], return_index=True)
@@ -115,12 +130,9 @@ def pack_documents(
             slot = np.minimum(np.searchsorted(order, kind * step + np.minimum(rank, step - 1), side="right"), ends[kind]) - 1
             sequence = sequences[slot] + rank - keys[slot, 1]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(5)), pa.array(sequence), pa.array(offsets[slot])],
-                names=[*ranked.columns[:5], "sequence_id", "offset"],
+                [*(batch.column(i) for i in range(5)), pa.array(sequence), pa.array(offsets[slot])], names=names
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-    assert ranked.columns[:5] == names[:5]
     return ranked.mapInArrow(place, schema)
