@@ -23,7 +23,8 @@ from crawlops.llm.texts import Cache
 TRAIN_ROWS = 8_000  # labelled documents that the model is fitted on, at most
 MODEL_WORDS = 20_000  # words with scores of their own, at most
 PRIOR = 0.05  # weight of the prior: so many tokens for each token counted
-SURE = 5.0  # standard errors that a word's log-odds must differ from zero
+SURE = 2.5  # standard errors that a word's log-odds must differ from zero
+EFFECT = 1.0  # least log-odds of a word with a score of its own
 THRESHOLD = 0.7
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -43,15 +44,17 @@ def training_texts(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -
 
 
 def word_counts(train: DataFrame) -> DataFrame:
-    """``word, toxic, n``: in how many different surroundings a word stands in either kind of text.
+    """``word, toxic, n``: how often a word stands in either kind of text, repeats apart.
 
-    A surrounding is the word before and after, so families of copies count once.
+    That is the number of texts it stands in or of different pairs of words around it,
+    whichever is lower: neither a family of copies nor one odd text makes a word frequent.
     """
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))
     parts = F.arrays_zip("w", F.expr("concat(array(''), w)").alias("before"), F.expr("slice(w, 2, size(w))").alias("after"))
-    spots = train.select("toxic", words.alias("w")).select("toxic", F.explode(parts).alias("p")).where("p.w IS NOT NULL")
-    seen = spots.select("toxic", F.col("p.w").alias("word"), F.xxhash64("p.before", "p.after").alias("near")).distinct()
-    return seen.groupBy("word", "toxic").agg(F.count(F.lit(1)).alias("n"))
+    texts = train.select("toxic", F.xxhash64("text").alias("doc"), words.alias("w"))
+    spots = texts.select("toxic", "doc", F.explode(parts).alias("p")).where("p.w IS NOT NULL")
+    seen = spots.select("toxic", "doc", F.col("p.w").alias("word"), F.xxhash64("p.before", "p.after").alias("near"))
+    return seen.groupBy("word", "toxic").agg(F.least(F.count_distinct("doc"), F.count_distinct("near")).alias("n"))
 
 
 def log_odds(counts: DataFrame, words: int = MODEL_WORDS) -> tuple[dict[str, tuple[float, float]], float]:
@@ -70,7 +73,7 @@ def log_odds(counts: DataFrame, words: int = MODEL_WORDS) -> tuple[dict[str, tup
     error = F.sqrt(1 / one + 1 / none)
     sure = (
         table.select("word", odds.alias("odds"), error.alias("error"), (none / (n0 + all_prior)).alias("share"))
-        .where(F.abs("odds") >= SURE * F.col("error"))
+        .where(F.abs("odds") >= F.greatest(SURE * F.col("error"), F.lit(EFFECT)))
         .orderBy(F.desc(F.abs("odds") / F.col("error")), "word")
         .limit(words)
         .collect()
