@@ -13,6 +13,7 @@ import re
 import time
 
 from crawlops.catalog import load
+from crawlops.fixtures import PARTS
 from crawlops.session import local_session
 
 HEADLINES = [
@@ -41,6 +42,7 @@ def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = local_session(os.environ.get("BENCH_CPUS", "8"))
     spark.sparkContext.setLogLevel("ERROR")
+    spark.conf.set(PARTS, str(spark.sparkContext.defaultParallelism))
     queries = load().QUERIES
     small = os.path.join(os.path.dirname(folder.rstrip("/")), "sf0.001")
     for name in HEADLINES if os.path.isdir(small) else []:

@@ -189,9 +189,14 @@ def _(t):
     return near.select("doc_id", "near.name", "near.org")
 
 
-@query("name_valid", f"SELECT doc_id, {sql_name_valid('substring(text, 1, 24)')} AS ok FROM documents")
+@query("name_valid", f"SELECT doc_id, {sql_name_valid('text')} AS ok FROM documents")
 def _(t):
-    return t.documents.select("doc_id", contact.name_valid(F.substring("text", 1, 24)).alias("ok"))
+    return t.documents.select("doc_id", contact.name_valid("text").alias("ok"))
+
+
+@query("name_valid_contacts", f"SELECT item_id, coalesce({sql_name_valid('name')}, FALSE) AS ok FROM contact_items ")
+def _(t):
+    return t.contact_items.select("item_id", contact.name_valid("name").alias("ok"))
 
 
 @query("phone_near", f"""

@@ -94,7 +94,7 @@ l AS (SELECT scheme, host, port, coalesce(username, '') AS u, arg_max(active, or
 o AS (SELECT *, coalesce(username, '') AS u FROM proxies )
 SELECT o.id, coalesce(o.scheme, l.scheme) AS scheme, coalesce(o.host, l.host) AS host, coalesce(o.port, l.port) AS port,
   nullif(coalesce(o.u, l.u), '') AS username, coalesce(l.active, o.active) AS active, CASE WHEN o.id IS NULL THEN l.password ELSE o.password END AS password,
-  CASE WHEN l.host IS NOT NULL THEN {NT} END AS updated_at
+  CASE WHEN l.host IS NOT NULL THEN {NT} ELSE o.updated_at END AS updated_at
 FROM o FULL JOIN l ON o.scheme = l.scheme AND o.host = l.host AND o.port = l.port AND o.u = l.u""")
 def _(t):
     new = t.spark.sql(NEW_PROXIES, customer=t.customer)
@@ -125,13 +125,15 @@ def _(t):
 WITH o AS (SELECT url, min(visited_at) AS f, max(visited_at) AS l, count(*) AS n FROM seen_urls WHERE page_id % 3 < 2 GROUP BY 1),
 b AS (SELECT url, min(visited_at) AS f, max(visited_at) AS l, count(*) AS n FROM (SELECT url, visited_at + INTERVAL '40' DAY AS visited_at FROM seen_urls WHERE page_id % 3 > 0) GROUP BY 1)
 SELECT coalesce(o.url, b.url) AS url, {sql_normalize('coalesce(o.url, b.url)')} AS normalized_url, coalesce(o.f, b.f) AS first_seen_at,
-  greatest(o.l, b.l) AS last_seen_at, coalesce(o.n, 0) + coalesce(b.n, 0) AS visit_count FROM o FULL JOIN b ON o.url = b.url""")
+  greatest(o.l, b.l) AS last_seen_at, coalesce(o.n, 0) + coalesce(b.n, 0) AS visit_count, CASE WHEN o.url IS NOT NULL THEN 'processed' END AS processing_status,
+  CASE WHEN o.url IS NOT NULL THEN md5(o.url) END AS url_hash FROM o FULL JOIN b ON o.url = b.url""")
 def _(t):
     empty = t.seen_urls.where("false").select(
         "url", F.col("url").alias("normalized_url"), F.col("visited_at").alias("first_seen_at"),
         F.col("visited_at").alias("last_seen_at"), F.lit(0).cast("bigint").alias("visit_count"),
     )
     base = merge.merge_seen(empty, t.seen_urls.where("page_id % 3 < 2"))
+    base = base.withColumns({"processing_status": F.lit("processed"), "url_hash": F.md5("url")})
     later = t.seen_urls.where("page_id % 3 > 0").withColumn("visited_at", F.expr("visited_at + INTERVAL '40' DAY"))
     return merge.merge_seen(base, later)
 
@@ -304,7 +306,7 @@ def _(t):
 @query("session_expire", f"""
 WITH h AS (SELECT *, coalesce(active AND deleted_at IS NULL AND expires_at < {NT}, FALSE) AS hit FROM sessions )
 SELECT id, CASE WHEN hit THEN FALSE ELSE active END AS active, CASE WHEN hit THEN coalesce(notes, '') || ' [auto-disabled: expired]' ELSE notes END AS notes,
-  CASE WHEN hit THEN {NT} END AS updated_at FROM h""")
+  CASE WHEN hit THEN {NT} ELSE updated_at END AS updated_at FROM h""")
 def _(t):
     return jobs.expire_sessions(t.sessions, AS_OF).select("id", "active", "notes", "updated_at")
 
@@ -363,7 +365,7 @@ SELECT p.id, p.successful_requests + coalesce(a.ok, 0) AS successful_requests, p
   CASE WHEN a.run IS NULL THEN p.success_rate WHEN p.total_requests > 0 THEN round((p.successful_requests + a.ok - a.was_ok) / p.total_requests, 6)
     WHEN a.was_ok = 1 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS success_rate,
   coalesce(a.ms, p.response_time_ms) AS response_time_ms, coalesce(a.cool + INTERVAL '300' SECOND, p.cooldown_until) AS cooldown_until,
-  a.last_ok AS last_success_at, coalesce(a.last_bad, p.last_failure_at) AS last_failure_at FROM proxies p LEFT JOIN a ON a.proxy_id = p.id""")
+  coalesce(a.last_ok, p.last_success_at) AS last_success_at, coalesce(a.last_bad, p.last_failure_at) AS last_failure_at FROM proxies p LEFT JOIN a ON a.proxy_id = p.id""")
 def _(t):
     return proxies.apply_results(t.proxies, t.proxy_results, max_failures=2).select(
         "id", "successful_requests", "failed_requests", "consecutive_failures", "success_rate", "response_time_ms",
@@ -472,7 +474,7 @@ def _(t):
 # jobs whose start URLs are the given pages, with keywords by page number
 SEED_JOBS = """SELECT page_id AS id, url, CASE page_id % 3 WHEN 0 THEN '["Contact", "the "]' WHEN 1 THEN 'Consulting, tion; le' ELSE 'zzz' END AS custom_keywords,
   CASE page_id % 2 WHEN 0 THEN 'any' ELSE 'multiple' END AS match_mode, 2 AS min_matches, CASE page_id % 5 WHEN 0 THEN NULL ELSE 'FRANCE' END AS country_filter FROM {pages}"""
-CAP = 5
+CAP = 5  # of the capped variant
 
 
 def seed_jobs(t):
@@ -483,12 +485,21 @@ def corpus_pages(t):
     return t.corpus.select(F.col("doc_id").alias("page_id"), "url", "text")
 
 
-JOB_PAGES = f"""jobs AS ({SEED_JOBS.format(pages='pages')}), cp AS (SELECT doc_id AS page_id, url, text, {DOMAIN.format('url')} AS netloc FROM corpus ),
-top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY netloc ORDER BY page_id) AS n FROM cp) WHERE n <= {CAP}),
+def sql_job_pages(cap: str = "") -> str:
+    return f"""jobs AS ({SEED_JOBS.format(pages='pages')}), cp AS (SELECT doc_id AS page_id, url, text, {DOMAIN.format('url')} AS netloc FROM corpus ),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY netloc ORDER BY page_id) AS n FROM cp) WHERE netloc <> '' {cap}),
 jp AS (SELECT j.id AS query_id, j.url AS seed_url, j.custom_keywords, j.match_mode, j.country_filter, t.page_id, t.url, t.text FROM jobs j JOIN top t ON t.netloc = {DOMAIN.format('j.url')})"""
 
 
+JOB_PAGES = sql_job_pages()
+
+
 @query("job_pages", f"WITH {JOB_PAGES} SELECT query_id, page_id, seed_url, match_mode FROM jp")
+def _(t):
+    return jobs.job_pages(seed_jobs(t), corpus_pages(t)).select("query_id", "page_id", "seed_url", "match_mode")
+
+
+@query("job_pages_capped", f"WITH {sql_job_pages(f'AND n <= {CAP}')} SELECT query_id, page_id, seed_url, match_mode FROM jp")
 def _(t):
     return jobs.job_pages(seed_jobs(t), corpus_pages(t), CAP).select("query_id", "page_id", "seed_url", "match_mode")
 
@@ -510,7 +521,7 @@ SELECT query_id, page_id, CAST(place AS INTEGER) AS place, email, {SPIDER_SQL} A
 
 
 def extracted(t):
-    return extract.extract_contacts(seed_jobs(t), corpus_pages(t), CAP)
+    return extract.extract_contacts(seed_jobs(t), corpus_pages(t))
 
 
 @query("extract_contacts", EXTRACT)
@@ -541,32 +552,22 @@ def pages_to_contacts(t):
 EDGES = "SELECT page_id AS src, (page_id * 7 + k * 13) % (SELECT count(*) FROM {pages}) AS dst, CAST(k AS INT) AS rank FROM {pages} LATERAL VIEW explode(array(0, 1, 2, 3, 4, 5, 6)) v AS k"
 
 
-DEPTH, MOST, PER_PAGE = 6, 25, 5
-
-
-def sql_crawl() -> str:
-    """One block of table expressions per level."""
-    edges = EDGES.format(pages="pages").replace("LATERAL VIEW explode(array(0, 1, 2, 3, 4, 5, 6)) v AS k", ", (SELECT unnest([0, 1, 2, 3, 4, 5, 6]) AS k)")
-    parts = [
-        f"e AS ({edges})",
-        "v0 AS (SELECT page_id AS job_id, page_id AS node, CAST(1 AS INTEGER) AS visit_number, CAST(0 AS INTEGER) AS depth FROM pages WHERE page_id % 10 = 0)",
-    ]
-    for d in range(1, DEPTH + 1):
-        v = f"v{d - 1}"
-        parts += [
-            f"n{d} AS (SELECT job_id, max(visit_number) AS so_far FROM {v} GROUP BY 1 HAVING max(visit_number) < {MOST})",
-            f"""s{d} AS (SELECT l.job_id, l.visit_number AS parent, e.dst AS node, n.so_far, min(e.rank) AS rank FROM {v} l JOIN n{d} n ON n.job_id = l.job_id JOIN e ON e.src = l.node
-  WHERE l.depth = {d - 1} AND NOT EXISTS (SELECT 1 FROM {v} x WHERE x.job_id = l.job_id AND x.node = e.dst) GROUP BY ALL)""",
-            f"c{d} AS (SELECT *, row_number() OVER (PARTITION BY job_id, parent ORDER BY rank, node) AS k FROM s{d})",
-            f"g{d} AS (SELECT job_id, node, so_far, min({{'p': parent, 'k': k}}) AS place FROM c{d} WHERE k <= {PER_PAGE} GROUP BY ALL)",
-            f"r{d} AS (SELECT *, so_far + row_number() OVER (PARTITION BY job_id ORDER BY place) AS visit FROM g{d})",
-            f"v{d} AS (SELECT * FROM {v} UNION ALL SELECT job_id, node, CAST(visit AS INTEGER), {d} FROM r{d} WHERE visit <= {MOST})",
-        ]
-    return "WITH " + ", ".join(parts) + f" SELECT * FROM v{DEPTH}"
+MOST, PER_PAGE = 25, 5
+EDGES_SQL = EDGES.format(pages="pages").replace("LATERAL VIEW explode(array(0, 1, 2, 3, 4, 5, 6)) v AS k", ", (SELECT unnest([0, 1, 2, 3, 4, 5, 6]) AS k)")
+# one row per job and level: what was visited, the pages of the level, all depths
+CRAWL = f"""
+WITH RECURSIVE e AS (SELECT src, dst, min(rank) AS rank FROM ({EDGES_SQL}) GROUP BY 1, 2),
+a AS (SELECT src, list(dst ORDER BY rank, dst) AS nodes FROM e GROUP BY 1), g AS (SELECT map_from_entries(list((src, nodes))) AS m FROM a),
+s AS (SELECT page_id AS job_id, [page_id] AS seen, [page_id] AS level, [CAST(0 AS INTEGER)] AS depths, CAST(0 AS INTEGER) AS depth FROM pages
+  UNION ALL SELECT job_id, list_concat(seen, fresh), fresh, list_concat(depths, [CAST(depth + 1 AS INTEGER) FOR x IN fresh]), CAST(depth + 1 AS INTEGER) FROM (
+    SELECT s.*, list_reduce(list_prepend(CAST([] AS BIGINT[]), [list_filter(g.m[p], lambda y: NOT list_contains(seen, y)) FOR p IN level]),
+      lambda done, more: list_concat(done, list_filter(more, lambda y: NOT list_contains(done, y))[1:{PER_PAGE}]))[1:{MOST} - len(seen)] AS fresh FROM s, g) WHERE len(fresh) > 0),
+l AS (SELECT job_id, arg_max(seen, depth) AS seen, arg_max(depths, depth) AS depths FROM s GROUP BY 1)
+SELECT job_id, unnest(seen) AS node, CAST(unnest(generate_series(1, len(seen))) AS INTEGER) AS visit_number, unnest(depths) AS depth FROM l"""
 
 
-@query("crawl_expand", sql_crawl())
+@query("crawl_expand", CRAWL)
 def _(t):
     edges = t.spark.sql(EDGES, pages=t.scan("pages"))
-    seeds = t.pages.where("page_id % 10 = 0").select(F.col("page_id").alias("job_id"), F.col("page_id").alias("node"))
-    return frontier.crawl_expand(seeds, edges, max_pages=MOST, max_depth=DEPTH, links_per_page=PER_PAGE)
+    seeds = t.pages.select(F.col("page_id").alias("job_id"), F.col("page_id").alias("node"))
+    return frontier.crawl_expand(seeds, edges, max_pages=MOST, links_per_page=PER_PAGE)

@@ -9,10 +9,10 @@ import functools
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crawlops.session import spread_rows
 
-# Tables and projections whose rows carry costly text work.
+# Tables and projections whose rows carry costly text work, and the setting that deals them out over so many parts.
 TEXTS = {"documents", "pages", "conversations", "contact_items", "corpus"}
+PARTS = "crawlops.fixtures.parts"
 
 # Reference times of the projected tables.
 JOBS_AS_OF = "2001-08-01 12:00:00"
@@ -87,6 +87,8 @@ SELECT s.s_suppkey AS id, CASE s.s_suppkey % 3 WHEN 0 THEN 'http' WHEN 1 THEN 'h
   CASE WHEN s.s_suppkey % 7 = 0 THEN TIMESTAMP '2024-01-30 12:00:00' + (s.s_suppkey % 24) * INTERVAL '1' HOUR END AS cooldown_until,
   CASE WHEN s.s_suppkey % 9 = 0 THEN NULL ELSE TIMESTAMP '2024-01-30 23:30:00' - (s.s_suppkey % 240) * INTERVAL '1' HOUR END AS last_used_at,
   CASE WHEN s.s_suppkey % 4 = 1 THEN TIMESTAMP '2024-01-29 00:00:00' - (s.s_suppkey % 48) * INTERVAL '1' HOUR END AS last_failure_at,
+  CASE WHEN s.s_suppkey % 3 = 0 THEN NULL ELSE TIMESTAMP '2023-12-15 00:00:00' + (s.s_suppkey % 48) * INTERVAL '1' HOUR END AS last_success_at,
+  CASE WHEN s.s_suppkey % 6 <> 0 THEN TIMESTAMP '2023-12-20 00:00:00' + (s.s_suppkey % 24) * INTERVAL '1' HOUR END AS updated_at,
   TIMESTAMP '2023-12-01 00:00:00' + (s.s_suppkey % 60) * INTERVAL '1' DAY AS created_at
 FROM {supplier} s JOIN {nation} n ON s.s_nationkey = n.n_nationkey""",
     "proxy_results": """
@@ -111,6 +113,7 @@ SELECT c_custkey AS id, concat('site', CAST(c_custkey % 60 AS STRING), '.acme.or
   CAST(c_custkey % 30 AS INT) AS usage_count,
   CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE TIMESTAMP '2024-01-30 20:00:00' - (c_custkey % 100) * INTERVAL '1' HOUR END AS last_used_at,
   TIMESTAMP '2024-01-30 23:00:00' - (c_custkey % 72) * INTERVAL '1' HOUR AS created_at,
+  CASE WHEN c_custkey % 8 <> 0 THEN TIMESTAMP '2024-01-30 23:30:00' - (c_custkey % 36) * INTERVAL '1' HOUR END AS updated_at,
   CASE WHEN c_custkey % 41 = 0 THEN TIMESTAMP '2024-01-29 00:00:00' END AS deleted_at FROM {customer}""",
     "metrics": """
 SELECT event_id, ts, event_type, user_id AS instance, user_id % 25 AS country_key, value,
@@ -159,11 +162,12 @@ SELECT page_id, url, CASE page_id % 12 WHEN 0 THEN concat('HTTP', substring(url,
     WHEN 12 THEN 'a/b/../../c?x=1#y' WHEN 13 THEN '..' ELSE concat('/p', CAST(page_id AS STRING)) END AS href
 FROM {pages}""",
     "corpus": """
-SELECT /*+ BROADCAST(p) */ d.doc_id AS doc_id, concat(p.url, '') AS url,
+SELECT d.doc_id AS doc_id, concat(p.url, '') AS url,
   concat(d.text, ' Contact: Marie Dubois, Dubois Consulting, ', 'Ada.', CAST(d.doc_id % 300 AS STRING), '@mail',
     CAST(d.doc_id % 7 AS STRING), '.acme.org +33 1 23 45 67 ', CAST(10 + d.doc_id % 90 AS STRING)) AS text,
   d.doc_id % 200 AS query_id
-FROM {documents} d JOIN (SELECT page_id, url FROM {pages} WHERE page_id < 250) p ON p.page_id = d.doc_id % 250""",
+FROM (SELECT doc_id, text, doc_id % (SELECT count(*) FROM {pages}) AS place FROM {documents}) d
+JOIN (SELECT page_id, url FROM {pages}) p ON p.page_id = d.place""",
 }
 
 ORACLE = dict(SQL)
@@ -181,16 +185,20 @@ class Tables:
     @functools.cache
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE:
-            rows = self.scan(name)
-            return spread_rows(rows) if name in TEXTS else rows
+            return self.dealt(name) if name in TEXTS else self.scan(name)
         if name not in SQL:
             raise AttributeError(name)
         used = {t: self.scan(t) for t in BASE if "{" + t + "}" in SQL[name]}
         if name in TEXTS:  # the table that leads the projection
             lead = "documents" if "documents" in used else "orders"
-            used[lead] = spread_rows(used[lead])
+            used[lead] = self.dealt(lead)
         return self.spark.sql(SQL[name], **used)
 
+    def dealt(self, name: str) -> DataFrame:
+        """Rows as they are stored, or over as many parts as the session sets: a few small files keep few cores busy."""
+        parts = self.spark.conf.get(PARTS, None)
+        return self.scan(name).repartition(int(parts)) if parts else self.scan(name)
+
     def scan(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 

@@ -45,24 +45,31 @@ def cap_pages(df: DataFrame, key: str, order: Sequence[str], most: int = 25) ->
     return df.withColumn("visit_number", F.row_number().over(w)).where(F.col("visit_number") <= most)
 
 
-def cap_by_host(pages: DataFrame, max_pages: int = 25) -> DataFrame:
-    """First pages of every host in visit order."""
-    return cap_pages(pages.withColumn("netloc", url_domain("url")).where("netloc <> ''"), "netloc", ["page_id"], max_pages)
+def cap_by_host(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
+    """Pages with their host; with a cap the first ones of every host in visit order.
+
+    The cap is taken on page ids, so texts are not sorted.
+    """
+    hosted = pages.withColumn("netloc", url_domain("url")).where("netloc <> ''")
+    if max_pages is None:
+        return hosted
+    first = cap_pages(hosted.select("page_id", "netloc"), "netloc", ["page_id"], max_pages)
+    return hosted.join(first.select("page_id"), "page_id", "left_semi")
 
 
-def on_host(queue: DataFrame, capped: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Jobs with the capped pages of their start URL's host."""
+def on_host(queue: DataFrame, pages: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Pages with the jobs whose start URL is on their host; pages of crowded hosts are dealt out."""
     jobs = queue.select(
         F.col("id").alias("query_id"), F.col("url").alias("seed_url"), "custom_keywords", "match_mode", "min_matches",
         "country_filter", url_domain("url").alias("netloc"),
     )
-    return skew_join(jobs, capped, ["netloc"], "inner", hot_rows)
+    return skew_join(pages, jobs, ["netloc"], "inner", hot_rows)
 
 
-def job_pages(queue: DataFrame, pages: DataFrame, max_pages: int = 25, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Pages on the host of each job's start URL, at most ``max_pages`` per job.
+def job_pages(queue: DataFrame, pages: DataFrame, max_pages: int | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Pages on the host of each job's start URL, at most ``max_pages`` per job if given.
 
-    The cap is taken per host before the join, so no host meets its jobs with all its pages.
+    The cap is taken per host before the join.
     """
     return on_host(queue, cap_by_host(pages, max_pages), hot_rows)
 
@@ -174,6 +181,6 @@ def expire_sessions(df: DataFrame, as_of, note: str = " [auto-disabled: expired]
         {
             "active": F.when(hit, False).otherwise(F.col("active")),
             "notes": F.when(hit, F.concat(F.coalesce("notes", F.lit("")), F.lit(note))).otherwise(F.col("notes")),
-            "updated_at": F.when(hit, at(as_of)),
+            "updated_at": F.when(hit, at(as_of)).otherwise(F.col("updated_at") if "updated_at" in df.columns else F.lit(None)),
         }
     )

@@ -133,11 +133,14 @@ def unseen(candidates: DataFrame, seen: DataFrame, hot_rows: int = HOT_ROWS) ->
     return skew_join(keyed, known, ["scope", "normalized_url"], "left_anti", hot_rows)
 
 
+SEEN_MERGED = ("url", "normalized_url", "first_seen_at", "last_seen_at", "visit_count")
+
+
 def merge_seen(base: DataFrame, batch: DataFrame) -> DataFrame:
     """URL store after a batch of visits: first and last time, number of visits.
 
-    ``base`` has url, normalized_url, first_seen_at, last_seen_at, visit_count;
-    ``batch`` has url and visited_at.
+    ``base`` has url, normalized_url, first_seen_at, last_seen_at, visit_count and keeps its
+    other columns, which are null for new URLs; ``batch`` has url and visited_at.
     """
     visits = batch.groupBy("url").agg(
         F.min("visited_at").alias("first_seen_at"), F.max("visited_at").alias("last_seen_at"),
@@ -151,6 +154,7 @@ def merge_seen(base: DataFrame, batch: DataFrame) -> DataFrame:
         F.coalesce("o.first_seen_at", "n.first_seen_at").alias("first_seen_at"),
         F.greatest("o.last_seen_at", "n.last_seen_at").alias("last_seen_at"),
         (F.coalesce("o.visit_count", F.lit(0)) + F.coalesce("n.visit_count", F.lit(0))).alias("visit_count"),
+        *[F.col(f"o.{c}") for c in base.columns if c not in SEEN_MERGED],
     )
 
 
@@ -169,14 +173,15 @@ def merge_proxies(base: DataFrame, new: DataFrame, as_of) -> DataFrame:
         F.max_by("active", "ord").alias("new_active"), F.min_by("password", "ord").alias("new_password")
     )
     found = F.col("new_active").isNotNull()
-    rest = [c for c in base.columns if c not in (*PROXY_KEY, "active", "password", "created_at")]
+    rest = [c for c in base.columns if c not in (*PROXY_KEY, "active", "password", "created_at", "updated_at")]
+    updated = F.col("updated_at") if "updated_at" in base.columns else F.lit(None)
     stored = keyed(base).withColumn("_stored", F.lit(True))
     return stored.join(last, PROXY_KEY, "full_outer").select(
         *rest, "scheme", "host", "port", F.nullif("username", F.lit("")).alias("username"),
         F.when(F.col("_stored"), F.col("password")).otherwise(F.col("new_password")).alias("password"),
         F.coalesce("new_active", "active").alias("active"),
         F.when(F.col("_stored"), F.col("created_at")).otherwise(at(as_of)).alias("created_at"),
-        F.when(found, at(as_of)).alias("updated_at"),
+        F.when(found, at(as_of)).otherwise(updated).alias("updated_at"),
     )
 
 

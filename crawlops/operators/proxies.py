@@ -169,6 +169,11 @@ def probe_update(proxies: DataFrame, probes: DataFrame, expected: int = 5) -> Da
     )
 
 
+def stored(df: DataFrame, name: str) -> Column:
+    """A column that older tables may lack."""
+    return F.col(name) if name in df.columns else F.lit(None).cast("timestamp_ntz")
+
+
 def _with_runs(pieces: Pieces) -> Pieces:
     """Add ``failure_run`` and the number of the result within its proxy."""
     failed = F.when(F.col("success"), 0).otherwise(1)
@@ -227,7 +232,7 @@ def apply_results(
     return proxies.join(known, "id", "left").select(
         *[c for c in proxies.columns if c not in
           ("successful_requests", "failed_requests", "consecutive_failures", "success_rate", "response_time_ms",
-           "cooldown_until", "last_failure_at")],
+           "cooldown_until", "last_success_at", "last_failure_at")],
         (stored_ok + F.coalesce("_ok", F.lit(0))).alias("successful_requests"),
         (F.coalesce("failed_requests", F.lit(0)) + F.coalesce("_failed", F.lit(0))).alias("failed_requests"),
         F.when(seen, F.col("_run") + F.when(F.col("_run_from_start"), old_run).otherwise(0))
@@ -235,7 +240,7 @@ def apply_results(
         F.when(seen, F.round(rate, 6)).otherwise(F.col("success_rate")).alias("success_rate"),
         F.coalesce("_ms", "response_time_ms").alias("response_time_ms"),
         F.coalesce(cool_at + F.make_dt_interval(secs=F.lit(cooldown_seconds)), "cooldown_until").alias("cooldown_until"),
-        F.col("_last_ok").alias("last_success_at"),
+        F.coalesce("_last_ok", stored(proxies, "last_success_at")).alias("last_success_at"),
         F.coalesce("_last_failed", "last_failure_at").alias("last_failure_at"),
     )
 

@@ -54,40 +54,44 @@ def frontier(pages: DataFrame, seen: DataFrame, k: int = 5, hot_rows: int = HOT_
     return new.withColumn("link_number", F.row_number().over(w)).where(F.col("link_number") <= k)
 
 
-def crawl_expand(
-    seeds: DataFrame, edges: DataFrame, max_pages: int = 25, max_depth: int = 10, links_per_page: int = 5
-) -> DataFrame:
-    """Breadth-first visit order of every job over a link table.
+def crawl_expand(seeds: DataFrame, edges: DataFrame, max_pages: int = 25, links_per_page: int = 5) -> DataFrame:
+    """Breadth-first visit order of every job over a link table, until no new page is left or ``max_pages`` are visited.
 
-    ``seeds`` has job_id and node, ``edges`` has src, dst and rank.  Each level is
-    one equi join; a page is visited once per job, by its earliest parent, and a
-    job stops at ``max_pages``.  The state holds at most that many rows per job and
-    is stored after every level.
+    ``seeds`` has job_id and node, ``edges`` has src, dst and rank.  Pages of a level choose in
+    visit order: each takes its first ``links_per_page`` links that neither an earlier level
+    nor an earlier page has claimed.  A level is one equi join and one fold per job;
+    as a page's choice depends on at most ``max_pages`` others, ``max_pages * links_per_page``
+    of its links are enough, so the fold sees a bounded array.
     """
     first = F.row_number().over(Window.partitionBy("job_id").orderBy("node"))
     visited = cut(
         seeds.select("job_id", "node").distinct().withColumn("visit_number", first)
         .where(F.col("visit_number") <= max_pages).withColumn("depth", F.lit(0))
     )
-    for depth in range(1, max_depth + 1):
+    links = edges.groupBy("src", "dst").agg(F.min("rank").alias("rank"))
+    for depth in range(1, max_pages + 1):  # every level visits a page of each job that goes on
         level = visited.where(F.col("depth") == depth - 1)
         counts = visited.groupBy("job_id").agg(F.max("visit_number").alias("so_far")).where(F.col("so_far") < max_pages)
         steps = (
             level.join(counts, "job_id")
-            .join(edges, F.col("node") == F.col("src"))
+            .join(links, F.col("node") == F.col("src"))
             .select("job_id", F.col("visit_number").alias("parent"), F.col("dst").alias("node"), "rank", "so_far")
             .join(visited.select("job_id", "node"), ["job_id", "node"], "left_anti")
         )
         per_page = Window.partitionBy("job_id", "parent").orderBy("rank", "node")
-        chosen = (
-            steps.groupBy("job_id", "parent", "node", "so_far").agg(F.min("rank").alias("rank"))
-            .withColumn("_n", F.row_number().over(per_page)).where(F.col("_n") <= links_per_page)
-            .groupBy("job_id", "node", "so_far").agg(F.min(F.struct("parent", "_n")).alias("place"))
+        offered = (
+            steps.withColumn("_n", F.row_number().over(per_page)).where(F.col("_n") <= max_pages * links_per_page)
+            .groupBy("job_id", "so_far", "parent").agg(F.array_sort(F.collect_list(F.struct("_n", "node"))).alias("_links"))
+        )
+        jobs = offered.groupBy("job_id", "so_far").agg(F.array_sort(F.collect_list(F.struct("parent", "_links"))).alias("_pages"))
+        nothing = F.array().cast(f"array<{visited.schema['node'].dataType.simpleString()}>")
+        claimed = F.aggregate(
+            "_pages", nothing,
+            lambda done, page: F.concat(done, F.slice(F.array_except(F.transform(page["_links"], lambda x: x["node"]), done), 1, links_per_page)),
         )
-        per_job = Window.partitionBy("job_id").orderBy("place")
         fresh = (
-            chosen.withColumn("_rank", F.row_number().over(per_job)).where(F.col("_rank") <= max_pages)
-            .withColumn("visit_number", (F.col("so_far") + F.col("_rank")).cast("int"))
+            jobs.select("job_id", "so_far", F.posexplode(claimed).alias("_place", "node"))
+            .withColumn("visit_number", (F.col("so_far") + F.col("_place") + 1).cast("int"))
             .where(F.col("visit_number") <= max_pages)
             .select("job_id", "node", "visit_number", F.lit(depth).alias("depth"))
         )

@@ -70,12 +70,3 @@ def cut(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
-
-
-def spread_rows(df: DataFrame) -> DataFrame:
-    """Give costly text work to all cores when a scan has far fewer parts than there are cores.
-
-    That is the case for a few small files only; a scan with enough parts stays as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df

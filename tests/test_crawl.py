@@ -11,34 +11,27 @@ from crawlops.plans import frontier
 from tests.conftest import rows
 
 
-def crawl(seeds, edges, max_pages, max_depth, per_page):
-    """Level by level: links of a page in rank order, each page by its earliest parent."""
-    links = defaultdict(list)
+def crawl(seeds, edges, max_pages, per_page):
+    """Page by page in visit order: the first links that nobody has claimed yet."""
+    links = defaultdict(dict)
     for src, dst, rank in edges:
-        links[src].append((rank, dst))
-    out = []
-    by_job = defaultdict(list)
+        links[src][dst] = min(rank, links[src].get(dst, rank))
+    out, by_job = [], defaultdict(list)
     for job, node in sorted(set(seeds)):
         by_job[job].append(node)
     for job, nodes in by_job.items():
         order = [(n, 0) for n in nodes[:max_pages]]
-        level = [n for n, _ in order]
-        for depth in range(1, max_depth + 1):
-            done = {n for n, _ in order}
-            fresh = []
-            for node in level:
-                best = {}
-                for rank, dst in links[node]:
-                    if dst not in done:
-                        best[dst] = min(best.get(dst, rank), rank)
-                for _, dst in sorted((r, d) for d, r in best.items())[:per_page]:
-                    if dst not in fresh:
-                        fresh.append(dst)
-            level = fresh[: max_pages - len(order)]
-            order += [(n, depth) for n in level]
-            if not level:
-                break
-        out += [(job, n, i, d) for i, (n, d) in enumerate(order, start=1)]
+        claimed, at = {n for n, _ in order}, 0
+        while at < len(order):
+            node, depth = order[at]
+            found = 0
+            for _, dst in sorted((r, d) for d, r in links[node].items()):
+                if found < per_page and dst not in claimed:
+                    claimed.add(dst)
+                    order.append((dst, depth + 1))
+                    found += 1
+            at += 1
+        out += [(job, n, i, d) for i, (n, d) in enumerate(order[:max_pages], start=1)]
     return sorted(out, key=repr)
 
 
@@ -46,16 +39,25 @@ def test_crawl_order(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(60), rng.randrange(60), rng.randrange(7)) for _ in range(400)]
     seeds = [(j, rng.randrange(60)) for j in range(6) for _ in range(2)]
-    found = frontier.crawl_expand(
-        spark.createDataFrame(seeds, "job_id int, node int"), spark.createDataFrame(edges, "src int, dst int, rank int"), 20, 4, 3
-    )
-    assert rows(found, "job_id", "node", "visit_number", "depth") == crawl(seeds, edges, 20, 4, 3)
+    for max_pages, per_page in ((20, 3), (60, 2)):
+        found = frontier.crawl_expand(
+            spark.createDataFrame(seeds, "job_id int, node int"), spark.createDataFrame(edges, "src int, dst int, rank int"), max_pages, per_page
+        )
+        assert rows(found, "job_id", "node", "visit_number", "depth") == crawl(seeds, edges, max_pages, per_page)
 
 
-def test_crawl_stops_at_the_cap(tables, spark):
+def test_links_of_a_sibling_are_passed_over(spark):
+    """Two pages share their best five links: the second one takes the next five."""
+    edges = [(0, 1, 0), (0, 2, 1)] + [(1, 10 + i, i) for i in range(5)] + [(2, 10 + i, i) for i in range(10)]
+    seeds = spark.createDataFrame([(1, 0)], "job_id int, node int")
+    found = frontier.crawl_expand(seeds, spark.createDataFrame(edges, "src int, dst int, rank int"))
+    assert found.count() == 13
+
+
+def test_crawl_goes_as_deep_as_the_cap_allows(spark):
     seeds = spark.createDataFrame([(1, 0)], "job_id int, node int")
     edges = spark.range(200).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(0).alias("rank"))
-    assert frontier.crawl_expand(seeds, edges, max_pages=5, max_depth=50).count() == 5
+    assert frontier.crawl_expand(seeds, edges, max_pages=12).count() == 12
 
 
 def test_sticky_blocks(spark):
