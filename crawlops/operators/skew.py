@@ -1,9 +1,8 @@
 """Groups that hold a large share of the rows.
 
-A key counts as hot when its group is larger than ``hot_rows`` and larger than
-a fixed share of the table, so the number of hot keys, and of the pieces they are
-cut into, is bounded whatever the size of the table: what is kept per hot key or
-piece can be broadcast.
+A key counts as hot when its group is larger than ``hot_rows`` and larger than a millionth
+of the table, so there are less than a million hot keys: what is kept per hot key, one
+narrow row, can be broadcast.
 """
 
 from __future__ import annotations
@@ -11,17 +10,15 @@ from __future__ import annotations
 import functools
 import operator
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crawlops.session import micros
+from crawlops.session import cut, micros
 
 HOT_ROWS = 1_000_000
-MAX_HOT_KEYS = 10_000  # a hot group holds more than this share of the rows
-QUANTILES = 4_096
-PAGE = 64
+MAX_HOT_KEYS = 1_000_000  # a hot group holds more than this share of the rows
 
 
 @dataclass
@@ -65,18 +62,21 @@ def skew_join(
 ) -> DataFrame:
     """Equi join (inner, left, left_semi or left_anti) whose left side may be crowded on few keys.
 
-    ``right`` holds a bounded number of rows per key.  Rows of hot keys meet the
-    broadcast part of ``right`` where they lie, rows without a key meet nothing,
-    and all others take the usual join.
+    Left rows of a hot key are dealt out over as many salts as its group has limits, and the
+    right rows of that key are repeated for each salt.  Rows without a key meet nothing, and
+    all others take the usual join.
     """
     on = list(on)
     hot = hot_keys(left, on, hot_rows)
     if hot is None:
         return left.join(right, on, how)
     keyless = functools.reduce(operator.or_, [F.col(k).isNull() for k in on])
-    keyed, hot = left.where(~keyless), F.broadcast(hot.names)
-    crowded = keyed.join(hot, on, "left_semi").join(F.broadcast(right.join(hot, on, "left_semi")), on, how)
-    out = crowded.unionByName(keyed.join(hot, on, "left_anti").join(right, on, how))
+    keyed, parts = left.where(~keyless), F.ceil(F.col("_n") / hot.limit).cast("int")
+    salts = F.broadcast(hot.sizes.select(*on, parts.alias("_parts")))
+    salted = keyed.join(salts, on).withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.col("_parts")).cast("int")).drop("_parts")
+    repeated = right.join(salts, on).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    crowded = salted.join(repeated, [*on, "_salt"], how).drop("_salt")
+    out = crowded.unionByName(keyed.join(F.broadcast(hot.names), on, "left_anti").join(right, on, how))
     return out.unionByName(left.where(keyless), allowMissingColumns=True) if how in ("left", "left_anti") else out
 
 
@@ -100,6 +100,7 @@ class Pieces:
     keys: list[str]
     order: list[str]
     split: bool
+    limit: int | None = None
 
     @property
     def window(self):
@@ -107,40 +108,21 @@ class Pieces:
 
 
 def cut_hot(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: int | None = HOT_ROWS) -> Pieces:
-    """Cut hot groups into consecutive time pieces of about the size of the largest other group.
+    """Cut hot groups into consecutive pieces smaller than the largest other group.
 
-    ``order[0]`` is a timestamp.  The cuts are quantiles of each hot key, so a
-    burst does not end up in one piece.  All pieces together are at most twice
-    MAX_HOT_KEYS.
+    Their rows are range-sorted by key and whole order, so rows of the same time part at their
+    ids, and stored; the number of a row's part is its piece.  All other rows have piece 0.
     """
     keys, order = list(keys), list(order)
     hot = hot_keys(df, keys, hot_rows)
     if hot is None:
         return Pieces(df.withColumn("_piece", F.lit(0)), keys, order, False)
-    shares = [i / QUANTILES for i in range(1, QUANTILES)]
-    wanted = F.least(F.ceil(F.col("_n") / hot.limit), F.lit(QUANTILES))
-    every = F.greatest(F.floor(F.lit(QUANTILES) / wanted), F.lit(1))
-    cuts = F.array_distinct(F.filter("_all", lambda _, i: (i + 1) % F.col("_every") == 0))
-    pages = F.transform(
-        F.sequence(F.lit(0), F.ceil(F.size("_flat") / PAGE).cast("int") - 1), lambda i: F.slice("_flat", i * PAGE + 1, F.lit(PAGE))
-    )
-    table = (
-        match(df, hot.sizes, keys, small=True)
-        .groupBy(*keys, "_n")
-        .agg(F.percentile_approx(micros(order[0]), shares, 10_000).alias("_all"))
-        .withColumn("_every", every)
-        .withColumn("_flat", cuts)
-        .select(*keys, pages.alias("_cuts"))
-    )
-    out = match(df, table, keys, "left", small=True).withColumn("_piece", piece_of(micros(order[0])))
-    return Pieces(out, keys, order, True)
-
-
-def piece_of(us: Column) -> Column:
-    """Number of cuts up to a time: the page of cuts first, then the place on it."""
-    page = F.size(F.filter("_cuts", lambda p: p[0] <= us))
-    place = F.size(F.filter(F.get("_cuts", page - 1), lambda cut: cut <= us))
-    return F.when(F.col("_cuts").isNull() | (page == 0), 0).otherwise((page - 1) * PAGE + place)
+    rows, n = hot.sizes.agg(F.sum("_n"), F.count(F.lit(1))).first()
+    names = hot.names
+    crowded = match(df, names, keys, "left_semi", small=True).repartitionByRange(2 * -(-rows // hot.limit) + n, *keys, *order)
+    stored = cut(crowded.withColumn("_piece", F.spark_partition_id() + 1))
+    rest = match(df, names, keys, "left_anti", small=True).withColumn("_piece", F.lit(0))
+    return Pieces(stored.unionByName(rest), keys, order, True, hot.limit)
 
 
 def running(
@@ -161,14 +143,14 @@ def running(
     cols |= {name: F.max(c).over(upto) for name, c in maxes.items()}
     cols |= {name: F.lag(c).over(w) for name, c in previous.items()}
     if not pieces.split:
-        return Pieces(pieces.df.withColumns(cols), pieces.keys, pieces.order, False)
+        return replace(pieces, df=pieces.df.withColumns(cols))
 
     totals = [F.sum(c).alias(f"_c_{name}") for name, c in sums.items()]
     totals += [F.max(c).alias(f"_c_{name}") for name, c in maxes.items()]
     totals += [F.max_by(c, F.struct(*pieces.order)).alias(f"_c_{name}") for name, c in previous.items()]
     by_piece = Window.partitionBy(*pieces.keys).orderBy("_piece")
     earlier = by_piece.rowsBetween(Window.unboundedPreceding, -1)
-    ends = pieces.df.where("_cuts IS NOT NULL").groupBy(*pieces.keys, "_piece").agg(*totals)
+    ends = pieces.df.where("_piece > 0").groupBy(*pieces.keys, "_piece").agg(*totals)
     carry = {f"_c_{n}": F.sum(f"_c_{n}").over(earlier) for n in sums}
     carry |= {f"_c_{n}": F.max(f"_c_{n}").over(earlier) for n in maxes}
     carry |= {f"_c_{n}": F.lag(f"_c_{n}").over(by_piece) for n in previous}
@@ -179,26 +161,41 @@ def running(
     fixed |= {n: F.greatest(F.col(n), F.col(f"_c_{n}")) for n in maxes}
     fixed |= {n: F.when(F.col("_first"), F.col(f"_c_{n}")).otherwise(F.col(n)) for n in previous}
     out = out.withColumns(fixed).drop("_first", *carry)
-    return Pieces(out, pieces.keys, pieces.order, True)
+    return replace(pieces, df=out)
 
 
-def trailing(pieces: Pieces, seconds: int, aggs: dict[str, Column]) -> DataFrame:
-    """Aggregates over the rows of the same key in the last ``seconds``, current row included.
+def trailing(pieces: Pieces, seconds: int, values: dict[str, Column]) -> DataFrame:
+    """Sums over the rows of the same key in the last ``seconds``, current row included, less the first row's value.
 
-    Rows near the end of a piece are repeated in the pieces that look back at them.
+    In hot groups that is the difference of two running sums: at the row itself and at the
+    first row of its window.  Each row sends a probe to the begin of its window, and a
+    running maximum from the end carries the next row's sum back to the probe, piece by
+    piece, so no window is ever held as a whole.  ``order`` is a time and a number.
     """
     span = seconds * 1_000_000
     df = pieces.df.withColumn("_us", micros(pieces.order[0]))
-    if pieces.split:
-        last = piece_of(F.col("_us") + span)
-        df = df.withColumn("_seen_in", F.explode(F.sequence(F.col("_piece"), last)))
-    else:
-        df = df.withColumn("_seen_in", F.col("_piece"))
-    w = Window.partitionBy(*pieces.keys, "_seen_in").orderBy("_us").rangeBetween(-(span - 1), 0)
-    out = df.withColumns({name: agg.over(w) for name, agg in aggs.items()})
-    return done(out.where(F.col("_seen_in") == F.col("_piece")).drop("_us", "_seen_in"))
+    w = Window.partitionBy(*pieces.keys).orderBy("_us").rangeBetween(-(span - 1), 0)
+    plain = df.where("_piece = 0").withColumns({n: F.sum(c).over(w) - F.first(c).over(w) for n, c in values.items()})
+    if not pieces.split:
+        return done(plain.drop("_us"))
+    keys, (_, number) = pieces.keys, pieces.order
+    exact = {f"_s_{n}": c.cast("decimal(38,9)") for n, c in values.items()}
+    crowded = running(Pieces(df.where("_piece > 0"), keys, pieces.order, True), sums=exact).df.drop("_piece")
+    begins = crowded.select(*keys, F.col("_us").alias("_at"), F.lit(0).alias("_probe"), F.col(number).alias("_id"), *exact)
+    probes = crowded.withColumnsRenamed({s: f"{s}_own" for s in exact}).withColumns(
+        {"_at": F.col("_us") - span, "_probe": F.lit(1), "_id": F.col(number)}
+    )
+    both = probes.unionByName(begins, allowMissingColumns=True)
+    both = both.withColumns({c: -F.col(c) for c in ("_at", "_probe", "_id")})
+    back = cut_hot(both, keys, ["_at", "_probe", "_id"], 2 * HOT_ROWS if pieces.limit is None else 2 * pieces.limit)
+    nearest = F.when(F.col("_probe") == 0, F.struct("_at", "_id", *exact))
+    found = running(back, maxes={"_next": nearest}).df.where("_probe = -1")
+    grown = {n: (F.col(f"_s_{n}_own") - F.col(f"_next._s_{n}")).cast(df.select(c).schema[0].dataType) for n, c in values.items()}
+    return done(found.withColumns(grown).drop("_next", "_at", "_probe", "_id", "_us", *exact, *[f"{s}_own" for s in exact])).unionByName(
+        done(plain.drop("_us"))
+    )
 
 
 def done(df: DataFrame) -> DataFrame:
-    """Drop the helper columns of a cut table."""
-    return df.drop("_piece", "_cuts")
+    """Drop the helper column of a cut table."""
+    return df.drop("_piece")

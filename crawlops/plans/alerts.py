@@ -36,17 +36,10 @@ def increase(samples: DataFrame, seconds: int, hot_rows: int = HOT_ROWS) -> Data
     extrapolation to the window's edges.
     """
     pieces = with_deltas(samples, hot_rows)
-    out = trailing(
-        pieces, seconds,
-        {
-            "_sum": F.sum("delta"), "_first": F.first("delta"),
-            "_resets": F.sum("reset"), "_first_reset": F.first("reset"),
-        },
-    )
-    grown = F.col("_sum") - F.col("_first")
+    out = trailing(pieces, seconds, {"_grown": F.col("delta"), "_resets": F.col("reset").cast("bigint")})
+    grown = F.round("_grown", 6)
     return out.select(
-        "event_id", *SERIES, "ts", "value", F.round(grown, 6).alias("increase"), (F.round(grown, 6) / seconds).alias("rate"),
-        (F.col("_resets") - F.col("_first_reset")).alias("resets"),
+        "event_id", *SERIES, "ts", "value", grown.alias("increase"), (grown / seconds).alias("rate"), F.col("_resets").alias("resets")
     )
 
 

@@ -27,13 +27,31 @@ def test_finds_the_hot_key(crowded):
     assert (1,) in [tuple(r) for r in skew.hot_keys(crowded, ["proxy_id"], 100).names.collect()]
 
 
+def check_pieces(df, order, limit, at_least):
+    sizes = df.groupBy("_piece").count()
+    assert sizes.count() > at_least and sizes.agg(F.max("count")).first()[0] <= 2 * limit
+    ends = df.groupBy("_piece").agg(F.min(F.struct(*order)).alias("a"), F.max(F.struct(*order)).alias("b")).orderBy("_piece").collect()
+    assert all(x.b < y.a for x, y in zip(ends, ends[1:], strict=False))
+
+
 def test_cuts_into_pieces(crowded):
     pieces = skew.cut_hot(crowded, ["proxy_id"], ["ts", "event_id"], 4)
-    sizes = pieces.df.where("proxy_id = 1").groupBy("_piece").count()
-    assert sizes.count() > 64
-    assert sizes.agg(F.max("count")).first()[0] <= 8
-    ordered = pieces.df.where("proxy_id = 1").groupBy("_piece").agg(F.min("ts").alias("a"), F.max("ts").alias("b")).orderBy("_piece").collect()
-    assert all(x.b < y.a for x, y in zip(ordered, ordered[1:], strict=False))
+    check_pieces(pieces.df.where("proxy_id = 1"), ["ts", "event_id"], 4, 64)
+
+
+def test_cuts_rows_of_one_time(crowded):
+    at_once = crowded.withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz"))
+    pieces = skew.cut_hot(at_once, ["proxy_id"], ["ts", "event_id"], 10)
+    check_pieces(pieces.df.where("proxy_id = 1"), ["ts", "event_id"], 10, 20)
+    cols = ("event_id", "failure_run")
+    assert rows(proxies.failure_runs(at_once, 10), *cols) == rows(proxies.failure_runs(at_once), *cols)
+
+
+def test_plans_of_crowded_keys_move_narrow_rows(crowded, samples):
+    """No cut points travel with the rows, and no product join is needed."""
+    for found in (proxies.failure_runs(crowded, 20), alerts.increase(samples, 6 * 3600, 20)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "_cuts" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
 def test_failure_runs(crowded):
@@ -61,8 +79,13 @@ def test_content_changes(tables):
     assert rows(jobs.content_changes(visits, 20)) == rows(jobs.content_changes(visits))
 
 
-def test_increase(samples):
-    assert rows(alerts.increase(samples, 6 * 3600, 20)) == rows(alerts.increase(samples, 6 * 3600))
+@pytest.mark.parametrize("hours", [6, 24 * 60])
+def test_increase(samples, hours):
+    """The longer window spans all samples of a series."""
+    cols = ("event_id", "ts", "value", "resets", "increase", "rate")
+    found, plain = rows(alerts.increase(samples, hours * 3600, 20), *cols), rows(alerts.increase(samples, hours * 3600), *cols)
+    assert [r[:4] for r in found] == [r[:4] for r in plain]
+    assert all(x == pytest.approx(y, rel=1e-12, abs=1e-6) for x, y in zip(found, plain) for x, y in zip(x[4:], y[4:]))
 
 
 def test_sustained(samples):
