@@ -9,7 +9,7 @@ from crawlops.fixtures import AS_OF, JOBS_AS_OF
 from crawlops.functions.lang import keywords_form
 from crawlops.functions.text import error_category
 from crawlops.operators import filters, jobs, merge, proxies, quality, reports
-from crawlops.session import at
+from crawlops.session import at, scratch
 
 JT = f"TIMESTAMP '{JOBS_AS_OF}'"
 NT = f"TIMESTAMP '{AS_OF}'"
@@ -395,10 +395,12 @@ def _(t):
 
 @query("src_countries", "SELECT DISTINCT n_name AS country FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def _(t):
-    from crawlops.sources.readers import sorted_distinct
+    from crawlops.sources.readers import load_countries
 
-    named = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    return sorted_distinct(named.select(F.col("n_name").alias("country")))
+    named = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).groupBy().agg(F.collect_set("n_name").alias("countries"))
+    path = scratch(t.spark, "countries")
+    named.coalesce(1).write.json(path)
+    return load_countries(t.spark, path)
 
 
 @query("jobs_recent", """

@@ -57,7 +57,8 @@ def _(t):
 
 @query("stream_seen", f"SELECT DISTINCT {SCOPE} AS scope, {sql_normalize('url')} AS normalized_url FROM proxy_results ")
 def _(t):
-    return streams.run_available(streams.stream_unseen(projected(t, "proxy_results")), "seen").select("scope", "normalized_url")
+    with state_store(t.spark):
+        return streams.run_available(streams.stream_unseen(projected(t, "proxy_results")), "seen").select("scope", "normalized_url")
 
 
 # windows that end after this are still open when the stream has read everything
@@ -120,9 +121,11 @@ def _(t):
         return back(streams.run_available(streams.stream_heartbeat(beats, DAY), "heartbeat"), "last_beat", "silent_at")
 
 
-GAUGES = [r for r in RULES if r.kind == "last"]
+GAUGES = [r for r in RULES if r.kind in streams.SAMPLE_KINDS]
+PUBLIC = "AND NOT regexp_matches(instance, '^(192\\.168\\.|10\\.|172\\.(1[6-9]|2[0-9]|3[01])\\.|127\\.)')"
 GAUGE_ROWS = " UNION ALL ".join(
-    f"SELECT '{r.name}' AS alert, event_id, instance, ts, value {r.op} {float(r.threshold)}::DOUBLE AS cond, {r.hold} AS hold FROM samples WHERE metric = '{r.metrics[0]}'" for r in GAUGES
+    f"""SELECT '{r.name}' AS alert, event_id, instance, ts, {'epoch_us(ts) // 1000000 - value' if r.kind == 'age' else 'value'} {r.op} {float(r.threshold)}::DOUBLE AS cond, {r.hold} AS hold
+  FROM samples WHERE metric = '{r.metrics[0]}' {PUBLIC if r.kind == 'last_public' else ''}""" for r in GAUGES
 )
 
 

@@ -76,12 +76,11 @@ def merge_contacts(base: DataFrame, items: DataFrame, as_of) -> DataFrame:
     Live contacts are unique by e-mail; deleted ones take no part and stay as they
     are.  ``action`` is insert, update or keep.
     """
-    alive = base.where(F.col("deleted_at").isNull())
-    gone = base.where(F.col("deleted_at").isNotNull())
     new = fold_items(items)
     n = {c: F.col(f"_n.{c}") for c in new.columns}
     old = {c: F.col(f"_o.{c}") for c in base.columns}
-    is_new, is_old = n["email"].isNotNull(), old["email"].isNotNull()
+    is_new = n["email"].isNotNull()
+    is_old = ~is_new | old["email"].isNotNull()
 
     def merged(name: str) -> Column:
         if name == "email":
@@ -106,12 +105,12 @@ def merge_contacts(base: DataFrame, items: DataFrame, as_of) -> DataFrame:
         columns.append("updated_at")
         old["updated_at"] = F.lit(None).cast("timestamp_ntz")
     action = F.when(~is_old, "insert").when(is_new, "update").otherwise("keep")
-    out = alive.alias("_o").join(new.alias("_n"), F.col("_o.email") == F.col("_n.email"), "full_outer").select(
+    same = (F.col("_o.email") == F.col("_n.email")) & F.col("_o.deleted_at").isNull()
+    return base.alias("_o").join(new.alias("_n"), same, "full_outer").select(
         *[merged(c).alias(c) for c in columns],
         action.alias("action"),
         F.coalesce(n["items"], F.lit(0)).alias("items"),
     )
-    return out.unionByName(gone.withColumns({"action": F.lit("keep"), "items": F.lit(0).cast("long")}), allowMissingColumns=True)
 
 
 def latest_per_email(df: DataFrame) -> DataFrame:

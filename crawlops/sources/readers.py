@@ -74,6 +74,15 @@ def markers_of(dims: DataFrame) -> dict[str, list[str]]:
     return out
 
 
+def themes_of(dims: DataFrame) -> dict[str, dict[str, list[str]]]:
+    """Words per language and theme as a plain dictionary."""
+    rows = dims.where("kind = 'theme'").orderBy("lang", "term_group", "ord").select("lang", "term_group", "term").toLocalIterator()
+    out: dict[str, dict[str, list[str]]] = {}
+    for row in rows:
+        out.setdefault(row.lang, {}).setdefault(row.term_group, []).append(row.term)
+    return out
+
+
 def load_countries(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.schema("countries array<string>").json(path, multiLine=True)
     return sorted_distinct(raw.select(F.explode("countries").alias("country")))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from crawlops.functions.text import private_ip
 from crawlops.functions.urls import url_normalize
 from crawlops.operators.merge import clean_items, merge_contacts, scope
 from crawlops.operators.proxies import sized
@@ -45,9 +46,13 @@ def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFra
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
-def run_batches(stream: DataFrame, name: str, handle: Callable[[DataFrame, int, str], None], mode: str) -> str:
-    """Process what is there through ``handle(batch, batch_id, folder)``; gives the folder."""
+def run_batches(
+    stream: DataFrame, name: str, handle: Callable[[DataFrame, int, str], None], mode: str, begin: Callable[[str], None] | None = None
+) -> str:
+    """Process what is there through ``handle(batch, batch_id, folder)``, after ``begin(folder)``; gives the folder."""
     base = scratch(stream.sparkSession, name)
+    if begin:
+        begin(f"{base}/out")
     started = (
         stream.writeStream.outputMode(mode).foreachBatch(lambda batch, i: handle(batch, i, f"{base}/out"))
         .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
@@ -66,10 +71,15 @@ def _us(ts: str = "ts") -> Column:
     return F.unix_micros(ts)
 
 
-def stream_unseen(stream: DataFrame, ttl: str = "7 days") -> DataFrame:
-    """First sight of a normalised URL per job scope within the time limit."""
-    keyed = stream.withWatermark("ts", ttl).select("ts", scope().alias("scope"), url_normalize("url").alias("normalized_url"))
-    return keyed.dropDuplicatesWithinWatermark(["scope", "normalized_url"])
+def stream_unseen(stream: DataFrame, ttl: str | None = None) -> DataFrame:
+    """First sight of a normalised URL per job scope; ever, or with ``ttl`` since it was last let through.
+
+    Without a limit the state holds every URL, on disk with a RocksDB store, and the result does
+    not depend on how the stream is split.
+    """
+    keys = ["scope", "normalized_url"]
+    keyed = stream.select("ts", scope().alias("scope"), url_normalize("url").alias("normalized_url"))
+    return keyed.dropDuplicates(keys) if ttl is None else keyed.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(keys)
 
 
 def stream_rates(stream: DataFrame, keys: list[str], size: str, slide: str | None = None, delay: str = "10 minutes") -> DataFrame:
@@ -134,16 +144,25 @@ def stream_heartbeat(beats: DataFrame, limit_seconds: int = 300, delay: str = "1
     return found.select("worker", F.timestamp_micros("last_us").alias("last_beat"), F.timestamp_micros("silent_us").alias("silent_at"))
 
 
+SAMPLE_KINDS = ("last", "last_public", "age")
+
+
 def stream_alerts(samples: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Pending and firing rows of gauge rules, judged at every sample.
+    """Pending and firing rows of rules on single samples (last value or age), judged at every sample.
 
-    Rules over rates read the output of ``stream_rates`` as their samples.
+    Rules over windows or several series need steps: ``plans.alerts`` judges them in batch, and
+    a rule over a rate can read the output of ``stream_rates`` as its samples.
     """
-    rows = [(r.metrics[0], r.name, r.op, float(r.threshold), r.hold) for r in rules if r.kind in ("last", "last_public")]
-    table = samples.sparkSession.createDataFrame(rows, "metric string, alert string, op string, threshold double, hold bigint")
-    value, limit = F.col("value"), F.col("threshold")
+    other = sorted({r.kind for r in rules} - set(SAMPLE_KINDS))
+    if other:
+        raise ValueError(f"not judged at single samples: {', '.join(other)}")
+    rows = [(r.metrics[0], r.name, r.kind, r.op, float(r.threshold), r.hold) for r in rules]
+    table = samples.sparkSession.createDataFrame(rows, "metric string, alert string, kind string, op string, threshold double, hold bigint")
+    kind, limit = F.col("kind"), F.col("threshold")
+    value = F.when(kind == "age", F.unix_seconds(F.col("ts").cast("timestamp")) - F.col("value")).otherwise(F.col("value"))
     cond = F.when(F.col("op") == ">", value > limit).when(F.col("op") == "<", value < limit).otherwise(value == limit)
-    judged = samples.join(F.broadcast(table), "metric").select(
+    shown = (kind != "last_public") | ~private_ip("instance")
+    judged = samples.join(F.broadcast(table), "metric").where(shown).select(
         "alert", "instance", "event_id", _us().alias("us"), cond.alias("cond"), "hold"
     )
     held = with_state(
@@ -163,19 +182,54 @@ def rate_violations(stream: DataFrame, limits: DataFrame, seconds: int = 1, dela
     )
 
 
+BUCKETS = 32
+
+
+def bucketed(df: DataFrame) -> DataFrame:
+    return df.withColumn("bucket", F.pmod(F.xxhash64("email"), F.lit(BUCKETS)).cast("int"))
+
+
+def read_store(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame:
+    """Newest version of every bucket, or the newest one before a batch; one version is listed a bucket."""
+    versions = spark.read.parquet(folder)
+    earlier = versions if before is None else versions.where(F.col("version") < before)
+    newest = earlier.groupBy("bucket").agg(F.max("version").alias("version")).collect()
+    wanted = [F.lit(f"{r['bucket']}/{r['version']}") for r in newest]
+    at = F.concat_ws("/", "bucket", "version")
+    return versions.where(at.isin(wanted) if wanted else F.lit(False))
+
+
 def stream_ingest(items: DataFrame, base: DataFrame, as_of) -> DataFrame:
-    """Contacts after a stream of items.
+    """Contacts after a stream of items, merged batch by batch into a stored table.
 
-    A micro-batch stores its valid cleaned items under its own number, so a
-    repeated batch replaces itself; reading merges them into the base.  The cost
-    of a batch depends on the batch alone.
+    The table lies in buckets by e-mail.  A micro-batch merges its valid cleaned items with
+    the buckets they touch and stores these under its own number; a repeated batch
+    replaces its own versions, and readers take the newest version of each bucket.
     """
-    def store(batch: DataFrame, i: int, folder: str) -> None:
-        clean_items(batch).where("verdict = 'valid'").write.mode("overwrite").parquet(f"{folder}/batch={i}")
+    spark = items.sparkSession
+
+    def put(rows: DataFrame, version: int, folder: str) -> None:
+        path = f"{folder}/version={version}"
+        bucketed(rows).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
-    folder = run_batches(items, "contacts", store, "append")
-    arrived = items.sparkSession.read.parquet(folder).drop("batch", "verdict")
-    return merge_contacts(base, arrived, as_of)
+    def store(batch: DataFrame, i: int, folder: str) -> None:
+        valid = clean_items(batch).where("verdict = 'valid'").drop("verdict").persist()
+        try:
+            touched = [r[0] for r in bucketed(valid).select("bucket").distinct().collect()]
+            if touched:
+                before = read_store(spark, folder, i).where(F.col("bucket").isin(touched)).drop("bucket", "version")
+                put(merge_contacts(before, valid, as_of).drop("action", "items"), i, folder)
+        finally:
+            valid.unpersist()
+
+    shape = merge_contacts(base, clean_items(base_items(items)).where("verdict = 'valid'").drop("verdict"), as_of).drop("action", "items")
+    folder = run_batches(items, "contacts", store, "append", lambda place: put(shape, -1, place))
+    return read_store(spark, folder).drop("bucket", "version")
+
+
+def base_items(items: DataFrame) -> DataFrame:
+    """No items, of the stream's columns: merging them gives a stored table all columns of later versions."""
+    return items.sparkSession.createDataFrame([], items.schema)
 
 
 def stream_refresh(contacts: DataFrame, as_of, since: Column) -> str:

@@ -11,6 +11,7 @@ import hashlib
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql.streaming import StatefulProcessor
@@ -36,24 +37,26 @@ class Breaker(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         fails, last_fail, open_until = self.state.get() if self.state.exists() else (0, 0, 0)
-        batch, out = in_order(rows), []
-        for event_id, us, ok in zip(batch["event_id"], batch["us"], batch["success"], strict=True):
-            allowed = open_until <= us
-            if fails and us - last_fail >= self.cooldown:
-                fails = 0
-            if ok:
-                fails = 0
-            else:
-                fails, last_fail = fails + 1, us
-                if fails >= self.max_failures:
-                    open_until = us + self.cooldown
-            out.append((event_id, fails, allowed, open_until if open_until else None))
-        self.state.update((int(fails), int(last_fail), int(open_until)))
+        batch = in_order(rows)
+        us, failed = batch["us"].to_numpy(dtype="int64"), ~batch["success"].to_numpy(dtype=bool)
+        # a run of failures ends with a success or when the last failure is too long ago
+        last = np.maximum.accumulate(np.concatenate([[last_fail], np.where(failed, us, 0)]))
+        ends = ~failed | ((last[:-1] > 0) & (us - last[:-1] >= self.cooldown))
+        run, so_far = np.cumsum(ends), np.cumsum(failed)
+        before = np.concatenate([[-fails], (so_far - failed)[ends]])
+        count = so_far - before[run]
+        opens = np.where(failed & (count >= self.max_failures), us + self.cooldown, 0)
+        until = np.maximum.accumulate(np.concatenate([[open_until], opens]))
+        fails, last_fail, open_until = int(count[-1]), int(last[-1]), int(until[-1])
+        self.state.update((fails, last_fail, open_until))
         self.handle.registerTimer(max(last_fail + self.cooldown, open_until) // 1000 + 1)
-        table = pd.DataFrame(out, columns=["event_id", "failures", "allowed", "open_until_us"])
-        table["open_until_us"] = table["open_until_us"].astype("Int64")
-        table.insert(1, "proxy_id", key[0])
-        yield table
+        shown = pd.Series(until[1:], dtype="Int64")
+        yield pd.DataFrame(
+            {
+                "event_id": batch["event_id"].to_numpy(), "proxy_id": key[0], "failures": count, "allowed": until[:-1] <= us,
+                "open_until_us": shown.mask(shown == 0),
+            }
+        )
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.state.exists():
@@ -150,22 +153,21 @@ class Held(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         since = self.state.get()[0] if self.state.exists() else None
-        batch, out = in_order(rows), []
-        for event_id, us, cond, hold in zip(batch["event_id"], batch["us"], batch["cond"], batch["hold"], strict=True):
-            if not cond:
-                since = None
-                continue
-            since = int(us) if since is None else since
-            out.append((event_id, int(us), since, "firing" if us - since >= hold * 1_000_000 else "pending"))
-        if since is None:
-            self.state.clear()
+        batch = in_order(rows)
+        us, cond = batch["us"].to_numpy(dtype="int64"), batch["cond"].to_numpy(dtype=bool)
+        before = np.concatenate([[since is not None], cond[:-1]])
+        begins = np.where(cond & ~before, us, -1 if since is None else since)
+        since_us = np.maximum.accumulate(begins)  # times ascend, so the latest begin is the largest
+        if cond[-1]:
+            self.state.update((int(since_us[-1]),))
         else:
-            self.state.update((since,))
-        if out:
-            table = pd.DataFrame(out, columns=["event_id", "us", "since_us", "state"])
+            self.state.clear()
+        if cond.any():
+            firing = us - since_us >= batch["hold"].to_numpy(dtype="int64") * 1_000_000
+            table = pd.DataFrame({"event_id": batch["event_id"].to_numpy(), "us": us, "since_us": since_us, "state": np.where(firing, "firing", "pending")})
             table.insert(0, "alert", key[0])
             table.insert(1, "instance", key[1])
-            yield table
+            yield table[cond]
 
     def close(self) -> None:
         pass

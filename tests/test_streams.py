@@ -56,7 +56,7 @@ def test_heartbeat_reports_each_silence_once(spark, days):
 
 
 def test_held_alerts(spark, days):
-    gauges = [r for r in alerts.RULES if r.kind == "last"]
+    gauges = [r for r in alerts.RULES if r.kind in streams.SAMPLE_KINDS]
     with state_store(spark):
         cut = streams.run_available(streams.stream_alerts(stream(spark, days, "samples"), gauges), "t")
     cols = ("alert", "event_id", "state")
@@ -73,6 +73,41 @@ def test_hourly_closed_windows(spark, days):
     assert rows(cut) == rows(load().QUERIES["stream_proxy_hourly"](spark, SMALL))
 
 
+def test_rules_over_windows_are_refused(spark, days):
+    with pytest.raises(ValueError, match="busy"):
+        streams.stream_alerts(stream(spark, days, "samples"), alerts.RULES)
+
+
+def test_private_addresses_raise_no_alert(spark, tmp_path):
+    times = [(i, 1000 * (i + 1), "dashboard_requests", ip, 500.0) for i, ip in enumerate(["10.0.0.1", "8.8.8.8"])]
+    made = spark.createDataFrame(times, "event_id bigint, s bigint, metric string, instance string, value double")
+    made.select("event_id", F.timestamp_seconds("s").alias("ts"), "metric", "instance", "value").write.parquet(f"{tmp_path}/in")
+    found = spark.readStream.schema("event_id bigint, ts timestamp, metric string, instance string, value double").parquet(f"{tmp_path}/in")
+    with state_store(spark):
+        out = streams.run_available(streams.stream_alerts(found, [r for r in alerts.RULES if r.kind == "last_public"]), "t")
+    assert rows(out, "instance") == [("8.8.8.8",)]
+
+
+def test_seen_does_not_depend_on_batches(spark, days):
+    with state_store(spark):
+        cut = streams.run_available(streams.stream_unseen(stream(spark, days, "proxy_results")), "t")
+    cols = ("scope", "normalized_url")
+    assert rows(cut, *cols) == rows(load().QUERIES["stream_seen"](spark, SMALL), *cols)
+
+
+def test_contacts_of_many_batches_equal_one(spark, tables, tmp_path):
+    from crawlops.catalog.joins import stored
+    from crawlops.fixtures import JOBS_AS_OF
+
+    for i in range(3):
+        tables.contact_items.where(F.col("item_id") % 3 == i).coalesce(1).write.mode("append").parquet(f"{tmp_path}/items")
+    whole = spark.readStream.schema(tables.contact_items.schema).parquet(f"{tmp_path}/items")
+    parts = spark.readStream.schema(tables.contact_items.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/items")
+    cols = ("email", "name", "created_at", "updated_at", "deleted_at", "id")
+    one = rows(streams.stream_ingest(whole, stored(tables), JOBS_AS_OF), *cols)
+    assert one == rows(streams.stream_ingest(parts, stored(tables), JOBS_AS_OF), *cols) and len(one) > 100
+
+
 def test_seen_forgets_after_the_time_limit(spark, days):
     cut = streams.run_available(streams.stream_unseen(stream(spark, days, "proxy_results"), "1 day"), "t")
     keys = cut.select("scope", "normalized_url")
