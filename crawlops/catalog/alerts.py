@@ -39,6 +39,9 @@ def _(t):
     return alerts.panels(t.samples, STEP)
 
 
+SHOWN = [alerts.Rule(r.name, r.kind, r.metrics, r.op, r.threshold, r.hold, window=86_400 if r.window else 0) for r in alerts.RATIO_PANELS]
+
+
 GRID = f"""gr AS (SELECT s.metric, s.instance, unnest(generate_series(s.a, (SELECT max(ts) FROM st), INTERVAL {STEP} SECOND)) AS ts FROM (SELECT metric, instance, min(ts) AS a FROM st GROUP BY 1, 2) s),
 full_st AS (SELECT gr.metric, gr.instance, gr.ts, coalesce(st.delta, 0) AS delta, st.first_delta FROM gr LEFT JOIN st ON st.metric = gr.metric AND st.instance = gr.instance AND st.ts = gr.ts)"""
 
@@ -62,6 +65,16 @@ def sql_measure(r: alerts.Rule) -> str:
     }[r.kind]
 
 
+@query("panel_ratios", f"""
+WITH {sql_steps(STEP)} SELECT panel, instance, ts, round(CAST(m AS DOUBLE), 6) AS percent FROM (
+  SELECT 'cpu_busy' AS panel, instance, ts, 100 - grown / 86400 * 100 AS m FROM {sql_grown(86400, "(SELECT * FROM st WHERE metric = 'cpu_idle_seconds')")}
+  UNION ALL SELECT 'memory_used', x.instance, x.ts, (1 - x.last / y.last) * 100 FROM st x JOIN st y ON x.instance = y.instance AND x.ts = y.ts WHERE x.metric = 'mem_available' AND y.metric = 'mem_total'
+  UNION ALL SELECT 'disk_used', x.instance, x.ts, (1 - x.last / y.last) * 100 FROM st x JOIN st y ON x.instance = y.instance AND x.ts = y.ts WHERE x.metric = 'disk_available' AND y.metric = 'disk_total')
+WHERE m IS NOT NULL""")
+def _(t):
+    return alerts.ratio_panels(t.samples, STEP, SHOWN)
+
+
 # windows and holding times stretched to the hourly steps of the given events
 RULES = [
     alerts.Rule(r.name, r.kind, r.metrics, r.op, r.threshold, r.hold * 24, r.severity, max(r.window, STEP) * 24 if r.window else 0)

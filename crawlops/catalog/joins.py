@@ -381,7 +381,7 @@ def _(t):
     return proxies.probe_update(t.proxies, t.proxy_results.where("proxy_id % 3 > 0")).select("id", "response_time_ms", "success_rate")
 
 
-IDX = f"x AS (SELECT id AS proxy, host, row_number() OVER (ORDER BY {FULL_ORDER}) - 1 AS i FROM proxies WHERE {ELIGIBLE})"
+IDX = f"x AS (SELECT id AS proxy, label, host, row_number() OVER (ORDER BY {FULL_ORDER}) - 1 AS i FROM proxies WHERE {ELIGIBLE})"
 
 
 def sql_draw(*parts: str, seed: int = 0) -> str:
@@ -409,11 +409,11 @@ def _(t):
 
 
 @query("assign_weighted", f"""
-WITH {IDX}, w AS (SELECT *, CASE host WHEN '10.0.0.3' THEN 20.0::DOUBLE WHEN '10.0.0.5' THEN 0.0::DOUBLE ELSE 1.5::DOUBLE END AS w FROM x),
+WITH {IDX}, w AS (SELECT *, CASE WHEN label = 'pool-a' THEN 4.0::DOUBLE WHEN host = '10.0.0.3' THEN 20.0::DOUBLE WHEN host = '10.0.0.5' THEN 0.0::DOUBLE ELSE 1.5::DOUBLE END AS w FROM x),
 c AS (SELECT *, sum(w) OVER (ORDER BY i) AS hi FROM w), r AS (SELECT event_id, {sql_draw('event_id', seed=3)} / 4294967296.0::DOUBLE * (SELECT max(hi) FROM c) AS u FROM proxy_results )
 SELECT r.event_id, c.proxy FROM r JOIN c ON c.hi - c.w <= r.u AND r.u < c.hi""")
 def _(t):
-    weights = {"default": 1.5, "10.0.0.3": 20.0, "10.0.0.5": 0.0}
+    weights = {"default": 1.5, "10.0.0.3": 20.0, "10.0.0.5": 0.0, "pool-a": 4.0}
     pool = proxies.indexed_proxies(t.proxies, AS_OF)
     return proxies.assign_weighted(requests(t), pool, "event_id", weights, seed=3).select("event_id", "proxy")
 

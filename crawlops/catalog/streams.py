@@ -11,6 +11,7 @@ from crawlops.catalog.joins import BLOCKS, IDX, MERGED, SCOPE, sql_draw, stored
 from crawlops.catalog.registry import query
 from crawlops.catalog.reports import BY_COUNTRY, HOURLY
 from crawlops.fixtures import AS_OF, JOBS_AS_OF, SQL
+from crawlops.functions.urls import url_domain
 from crawlops.operators import proxies
 from crawlops.plans.alerts import RULES
 from crawlops.schemas import EVENTS
@@ -148,6 +149,18 @@ def _(t):
     return back(streams.run_available(found, "limits"), "window_start")
 
 
+@query("stream_rate_limit_domain", f"""
+WITH c AS (SELECT split_part(url, '/', 3) AS domain, time_bucket(INTERVAL '1' DAY, ts) AS window_start, count(*) AS n FROM proxy_results
+  WHERE time_bucket(INTERVAL '1' DAY, ts) + INTERVAL '1' DAY <= {CLOSED} GROUP BY 1, 2),
+l AS (SELECT domain, window_start, n, CASE domain WHEN 'site1.acme.org' THEN 0.00001::DOUBLE WHEN 'site2.acme.org' THEN 1.0::DOUBLE ELSE 0.00005::DOUBLE END AS rps_max FROM c)
+SELECT * FROM l WHERE n > rps_max * {DAY}""")
+def _(t):
+    requests = projected(t, "proxy_results").withColumn("domain", url_domain("url"))
+    limits = t.spark.createDataFrame([("site1.acme.org", 0.00001), ("site2.acme.org", 1.0)], "domain string, rps_max double")
+    found = streams.rate_violations(requests, limits, DAY, key="domain", default=0.00005)
+    return back(streams.run_available(found, "domains"), "window_start")
+
+
 @query("stream_contacts", f"SELECT email, name, org, phone, country, url, query_id, deleted_at FROM ({MERGED})")
 def _(t):
     orders = t.spark.readStream.schema(t.orders.schema).parquet(files(t, "orders"))

@@ -71,7 +71,8 @@ SELECT c.c_custkey AS id, c.c_name AS name, concat(n.n_name, ' Consulting') AS o
   CASE WHEN c.c_custkey % 37 = 0 THEN TIMESTAMP '2024-01-30 00:00:00' END AS deleted_at
 FROM {customer} c JOIN {nation} n ON c.c_nationkey = n.n_nationkey""",
     "proxies": """
-SELECT s.s_suppkey AS id, CASE s.s_suppkey % 3 WHEN 0 THEN 'http' WHEN 1 THEN 'https' ELSE 'socks5' END AS scheme,
+SELECT s.s_suppkey AS id, CASE WHEN s.s_suppkey % 5 = 2 THEN 'pool-a' WHEN s.s_suppkey % 5 = 3 THEN '' END AS label,
+  CASE s.s_suppkey % 3 WHEN 0 THEN 'http' WHEN 1 THEN 'https' ELSE 'socks5' END AS scheme,
   concat('10.0.0.', CAST(s.s_suppkey % 250 AS STRING)) AS host, CAST(8000 + s.s_suppkey % 100 AS INT) AS port,
   CASE WHEN s.s_suppkey % 2 = 0 THEN concat('u', CAST(s.s_suppkey AS STRING)) END AS username,
   CASE WHEN s.s_suppkey % 4 = 0 THEN 'secret' END AS password,

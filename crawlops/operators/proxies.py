@@ -260,7 +260,10 @@ BROADCAST_ROWS = 200_000
 def indexed_proxies(proxies: DataFrame, as_of, order: list[Column] | None = None) -> DataFrame:
     """Eligible proxies with their index from 0 in selection order."""
     ranked = numbered(eligible_proxies(proxies, as_of), order or full_order(), "_rank")
-    return ranked.select(F.col("id").alias("proxy"), (F.col("_rank") - 1).alias("_index"), "host", "success_rate", "response_time_ms")
+    label = F.col("label") if "label" in proxies.columns else F.lit(None).cast("string")
+    return ranked.select(
+        F.col("id").alias("proxy"), (F.col("_rank") - 1).alias("_index"), label.alias("label"), "host", "success_rate", "response_time_ms"
+    )
 
 
 def _pool_size(indexed: DataFrame) -> int:
@@ -293,7 +296,7 @@ def assign_random(requests: DataFrame, indexed: DataFrame, key: str, seed: int =
 def assign_weighted(
     requests: DataFrame, indexed: DataFrame, key: str, weights: dict[str, float] | None = None, seed: int = 0
 ) -> DataFrame:
-    """Proxies are drawn in proportion to their weight (by host, else the default).
+    """Proxies are drawn in proportion to their weight: by label, or by host without one, else the default.
 
     The weights are laid end to end over the draw range; range and draws are cut
     into as many cells as there are proxies, and the join runs on the cell.
@@ -301,9 +304,10 @@ def assign_weighted(
     weights = weights or {}
     default = float(weights.get("default", 1.0))
     weight = F.lit(default)
-    for host, value in weights.items():
-        if host != "default":
-            weight = F.when(F.col("host") == host, F.lit(float(value))).otherwise(weight)
+    name = F.coalesce(F.nullif("label", F.lit("")), "host") if "label" in indexed.columns else F.col("host")
+    for named, value in weights.items():
+        if named != "default":
+            weight = F.when(name == named, F.lit(float(value))).otherwise(weight)
     spans = running_total(indexed.withColumn("_w", weight), "_w")
     n, total = spans.agg(F.count(F.lit(1)), F.max("_upto")).first()
     if not total:  # nothing has weight: the last proxy serves all

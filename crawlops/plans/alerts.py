@@ -232,6 +232,19 @@ def alerts(samples: DataFrame, step: int = 300, rules: list[Rule] = RULES, hot_r
     return inhibit(held).select("alert", "severity", "instance", "ts", "measure", "active_since", "state")
 
 
+# Panels that relate two series or a rate to its most.
+RATIO_PANELS = [
+    Rule("cpu_busy", "busy", ("cpu_idle_seconds",), ">", 0, 0, window=300), Rule("memory_used", "used", ("mem_available", "mem_total"), ">", 0, 0),
+    Rule("disk_used", "used", ("disk_available", "disk_total"), ">", 0, 0),
+]
+
+
+def ratio_panels(samples: DataFrame, step: int = 300, shown: list[Rule] = RATIO_PANELS, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Panel series in percent per instance and step."""
+    measured = evaluate(by_step(samples, step, hot_rows), step, shown)
+    return measured.select(F.col("alert").alias("panel"), "instance", "ts", F.col("measure").alias("percent"))
+
+
 def panels(samples: DataFrame, step: int = 3600, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Panel series per step: last value, growth in the last hour and its five-minute equivalent."""
     steps = by_step(samples, step, hot_rows)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import datetime as dt
+import functools
+import shutil
 import tempfile
 import uuid
 
@@ -21,6 +24,8 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
         .config("spark.driver.memory", "12g")
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.driver.host", "127.0.0.1")
+        .config("spark.checkpoint.dir", own_folder())
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -43,20 +48,28 @@ def seconds_between(later: Column, earlier: Column) -> Column:
     return (micros(later) - micros(earlier)) / F.lit(1_000_000.0)
 
 
+@functools.cache
+def own_folder() -> str:
+    """Temporary folder of a local session; it goes when the process ends."""
+    made = tempfile.mkdtemp(prefix="crawlops-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    return made
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only a local session
-    without that setting falls back to a fresh temporary folder.
+    The cluster names it in ``spark.checkpoint.dir``.  Only a session in one process
+    without that setting gets a temporary folder.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
-    if not spark.conf.get("spark.master", "local").startswith("local"):
+    master = spark.conf.get("spark.master", "local")
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    made = tempfile.mkdtemp(prefix="crawlops-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    spark.conf.set("spark.checkpoint.dir", own_folder())
+    return own_folder()
 
 
 def scratch(spark: SparkSession, name: str) -> str:

@@ -174,12 +174,22 @@ def stream_alerts(samples: DataFrame, rules: list[Rule]) -> DataFrame:
     )
 
 
-def rate_violations(stream: DataFrame, limits: DataFrame, seconds: int = 1, delay: str = "10 minutes") -> DataFrame:
-    """Windows in which a proxy served more requests per second than it may; ``limits`` has proxy_id and rps_max."""
-    counted = stream.withWatermark("ts", delay).groupBy("proxy_id", F.window("ts", f"{seconds} seconds")).agg(F.count(F.lit(1)).alias("n"))
-    return counted.join(limits, "proxy_id").where(F.col("n") > F.col("rps_max") * seconds).select(
-        "proxy_id", F.col("window.start").alias("window_start"), "n", "rps_max"
-    )
+# Fixed value: requests per second that a domain gets without a limit of its own.
+DOMAIN_RPS = 2.0
+
+
+def rate_violations(
+    stream: DataFrame, limits: DataFrame, seconds: int = 1, delay: str = "10 minutes", key: str = "proxy_id", default: float | None = None
+) -> DataFrame:
+    """Windows with more requests per second than a proxy or domain may get; ``limits`` has the key and rps_max.
+
+    Keys without a limit have the default, or none.
+    """
+    counted = stream.withWatermark("ts", delay).groupBy(key, F.window("ts", f"{seconds} seconds")).agg(F.count(F.lit(1)).alias("n"))
+    limited = counted.join(limits, key, "inner" if default is None else "left")
+    if default is not None:
+        limited = limited.withColumn("rps_max", F.coalesce("rps_max", F.lit(default)))
+    return limited.where(F.col("n") > F.col("rps_max") * seconds).select(key, F.col("window.start").alias("window_start"), "n", "rps_max")
 
 
 BUCKETS = 32
