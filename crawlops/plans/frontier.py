@@ -63,9 +63,9 @@ def crawl_expand(seeds: DataFrame, edges: DataFrame, max_pages: int = 25, links_
     as a page's choice depends on at most ``max_pages`` others, ``max_pages * links_per_page``
     of its links are enough, so the fold sees a bounded array.
     """
-    first = F.row_number().over(Window.partitionBy("job_id").orderBy("node"))
+    first, kind = F.row_number().over(Window.partitionBy("job_id").orderBy("node")), edges.schema["dst"].dataType
     visited = cut(
-        seeds.select("job_id", "node").distinct().withColumn("visit_number", first)
+        seeds.select("job_id", F.col("node").cast(kind).alias("node")).distinct().withColumn("visit_number", first)
         .where(F.col("visit_number") <= max_pages).withColumn("depth", F.lit(0))
     )
     links = edges.groupBy("src", "dst").agg(F.min("rank").alias("rank"))
@@ -84,7 +84,7 @@ def crawl_expand(seeds: DataFrame, edges: DataFrame, max_pages: int = 25, links_
             .groupBy("job_id", "so_far", "parent").agg(F.array_sort(F.collect_list(F.struct("_n", "node"))).alias("_links"))
         )
         jobs = offered.groupBy("job_id", "so_far").agg(F.array_sort(F.collect_list(F.struct("parent", "_links"))).alias("_pages"))
-        nothing = F.array().cast(f"array<{visited.schema['node'].dataType.simpleString()}>")
+        nothing = F.array().cast(f"array<{kind.simpleString()}>")
         claimed = F.aggregate(
             "_pages", nothing,
             lambda done, page: F.concat(done, F.slice(F.array_except(F.transform(page["_links"], lambda x: x["node"]), done), 1, links_per_page)),
