@@ -81,7 +81,7 @@ FUNCTIONS = [
     ("lang_detect", "x STRING", "STRING", "lang_of_lower(lower(coalesce(x, '')))"),
     ("error_category", "status INT, message STRING", "STRING", _category()),
     ("private_ip", "x STRING", "BOOLEAN",
-     r"coalesce(x RLIKE r'^(192\.168\..*|10\..*|172\.(1[6-9]|2[0-9]|3[01])\..*|127\..*)$', false)"),
+     f"coalesce(x RLIKE {raw(text.PRIVATE_ADDRESS)}, false)"),
     ("items_from_log", "x STRING", "INT", r"coalesce(try_cast(try_element_at(regexp_extract_all(x, r'(?i)scraped (\d+) items', 1), -1) AS INT), 0)"),
     ("url_scheme", "x STRING", "STRING", f"lower(regexp_extract(x, {raw(urls.SCHEME)}, 1))"),
     ("url_domain", "x STRING", "STRING", "regexp_extract(x, r'^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1)"),

@@ -117,9 +117,13 @@ def items_from_log(c: Column | str) -> Column:
     return F.coalesce(F.try_element_at(found, F.lit(-1)).try_cast("int"), F.lit(0))
 
 
+# Fixed value: addresses of private networks and of the machine itself.
+PRIVATE_ADDRESS = r"^(192\.168\..*|10\..*|172\.(1[6-9]|2[0-9]|3[01])\..*|127\..*)$"
+
+
 def private_ip(c: Column | str) -> Column:
     """Address in a private or loopback range."""
-    return F.coalesce(col(c).rlike("^(192\\.168\\..*|10\\..*|172\\.(1[6-9]|2[0-9]|3[01])\\..*|127\\..*)$"), F.lit(False))
+    return F.coalesce(col(c).rlike(PRIVATE_ADDRESS), F.lit(False))
 
 
 def session_json_valid(c: Column | str) -> Column:

@@ -76,7 +76,7 @@ def recent_jobs(df: DataFrame, keywords: Column, n: int = 20) -> DataFrame:
         F.array_join(F.slice("_kw", 1, 3), ", "),
         F.when(extra > 0, F.concat(F.lit(" (+"), extra.cast("string"), F.lit(")"))).otherwise(""),
     )
-    icon = (
+    icon = (  # fixed values: what is shown for each status
         F.when(F.col("status") == "done", "✅")
         .when(F.col("status") == "failed", "❌")
         .when(F.col("status") == "in_progress", "⚡")

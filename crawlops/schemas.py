@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+# Names and types of the stored columns.
+
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 QUEUE = """id bigint, url string, country_filter string, lang_filter string, theme string, status string, priority int,
     retry_count int, max_retries int, last_error string, next_retry_at timestamp_ntz, execution_time_seconds int,
