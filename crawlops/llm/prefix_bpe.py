@@ -56,9 +56,8 @@ class PrefixCoder:
                 key = closed(name)
                 self.matches.add_word(key, (token, len(key)))
         self.matches.make_automaton()
-        self.words = Cache(self.encode_word, 200_000)
-        self.chunk_ids = Cache(lambda chunk: self.encode_chunk(chunk)[0], 200_000)
-        self.chunk_text = Cache(lambda chunk: self.encode_chunk(chunk)[1], 200_000)
+        self.words = Cache(self.encode_word, 500_000)
+        self.chunks = Cache(self.encode_chunk, 500_000)
 
     def compatible(self, left: int, right: int, below: int | None = None) -> bool:
         """Whether merging keeps the border between two tokens, looking at merges before ``below``.
@@ -81,14 +80,15 @@ class PrefixCoder:
     def encode_word(self, word: str) -> tuple[bytes, str]:
         row = symbols(word)
         row = row[:-1] + chr(ord(row[-1]) + LAST)
-        last, start, fits = [-1] * (len(row) + 1), [0] * (len(row) + 1), self.fits
-        for end, (token, size) in self.matches.iter(row):
-            end += 1
-            at = end - size
-            if last[end] < 0 and (at == 0 or last[at] >= 0 and fits(last[at], token)):
-                last[end], start[end] = token, at
-        found, at = [], len(row)
-        while at > 0:
+        size, fits = len(row), self.fits
+        last, start = [-1] * size, [0] * size  # of the prefix that ends at each symbol
+        for end, (token, length) in self.matches.iter(row):
+            if last[end] < 0:
+                before = end - length
+                if before < 0 or (last[before] >= 0 and fits(last[before], token)):
+                    last[end], start[end] = token, before
+        found, at = [], size - 1
+        while at >= 0:
             found.append(self.ids[last[at]])
             at = start[at]
         found.reverse()
@@ -104,18 +104,18 @@ class PrefixCoder:
             found += [(struct.pack("<I", self.vocab.special[part]), part)] if place % 2 else self.plain(part)
         return b"".join([f[0] for f in found]), " ".join([f[1] for f in found])
 
+    def both(self, text: str) -> tuple[bytes, str]:
+        """Ids as little-endian 32-bit integers, and what they decode to; no token spans a space, so text is cut there."""
+        found = list(map(self.chunks.__getitem__, text.split(" ")))
+        return b"".join([ids for ids, _ in found]), " ".join([part for _, part in found if part])
+
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian 32-bit integers; no token spans a space, so text is cut there."""
-        return b"".join(map(self.chunk_ids.__getitem__, text.split(" ")))
+        return self.both(text)[0]
 
     def decode(self, ids: bytes) -> str:
         """The text of any ids: token names with spaces between."""
         return " ".join([self.names[i] for (i,) in struct.iter_unpack("<I", ids)])
 
-    def decoded(self, text: str) -> str:
-        """``decode(encode(text))`` from the same cached chunks."""
-        return " ".join(filter(None, map(self.chunk_text.__getitem__, text.split(" "))))
-
 
 @functools.lru_cache(maxsize=2)
 def coder(path: str) -> PrefixCoder:
@@ -134,8 +134,8 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         code = coder(path)
 
         def find(text):
-            ids = code.encode(text)
-            return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(code.decoded(text).encode()).hexdigest()
+            ids, decoded = code.both(text)
+            return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
         return find
 
