@@ -15,6 +15,7 @@ from crawlops.llm.toxicity import THRESHOLD, fit, toxic_score
 from crawlops.session import scratch
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+CACHED = 100_000  # words a worker keeps while packing; it has run three other stages before
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -30,13 +31,16 @@ def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Null ids come last.  Of repeated rows, and of rows that share id and fingerprint, one stays.
     """
     found = near_duplicates(docs, SHINGLE, MAX_BITS)
-    first = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("fp").alias("c"))
-    kept = found.groupBy("root").agg(F.min(first).alias("k")).select(F.col("k.b").alias("kept_id"), F.col("k.c").alias("kept_fp"))
-    columns = docs.columns
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), fingerprint_of(F.col("text"), SHINGLE).alias("fp"))
-    same = F.col("row.doc_id").eqNullSafe(F.col("kept_id")) & (F.col("fp") == F.col("kept_fp"))
-    one = Window.partitionBy("kept_id", "kept_fp").orderBy("row.text")
-    single = rows.join(kept, same).withColumn("place", F.row_number().over(one)).where("place = 1")
+    first = F.struct(F.col("doc_id").isNull().alias("no_key"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("key"), "fp")
+    kept = found.groupBy("root").agg(F.min(first).alias("k")).select("k.key", "k.no_key", "k.fp")
+    columns, keys = docs.columns, ["key", "no_key", "fp"]
+    id_, none = F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("doc_id").isNull()
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), id_.alias("key"), none.alias("no_key"),
+        fingerprint_of(F.col("text"), SHINGLE).alias("fp"),
+    )
+    one = Window.partitionBy(*keys).orderBy("row.text")  # as the join has dealt the rows out
+    single = rows.join(kept, keys).withColumn("place", F.row_number().over(one)).where("place = 1")
     return single.select(*[F.col("row").getField(c).alias(c) for c in columns])
 
 
@@ -51,7 +55,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in training sequences."""
-    return pack_documents(docs, WORD_BPE)
+    return pack_documents(docs, WORD_BPE, cached=CACHED)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

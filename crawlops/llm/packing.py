@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import os
 import struct
 import zlib
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 
 from crawlops.llm.config_lp import Run, pack
 from crawlops.llm.prefix_bpe import WORDS
-from crawlops.llm.texts import Cache, map_texts
+from crawlops.llm.texts import CACHED_KEYS, Cache, held, map_texts
 from crawlops.session import cut
 
 CAPACITY = 4096
@@ -25,8 +24,7 @@ END_ID = 1
 PLAIN = "\u0250"  # below it no character combines with another
 
 
-@functools.lru_cache(maxsize=2)
-def chunk_ids(path: str) -> Cache:
+def chunk_ids(path: str, cached: int) -> Cache:
     """Ids of the text between two spaces, as the library gives them; no token spans a space or two words.
 
     Most chunks differ from others by punctuation only, so plain ones are cut into
@@ -43,17 +41,19 @@ def chunk_ids(path: str) -> Cache:
         ids = library.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    words = Cache(asked)
+    words = Cache(asked, cached)
 
     def find(chunk: str) -> bytes:
         if not chunk or max(chunk) >= PLAIN or "<|" in chunk:
             return asked(chunk)
         return b"".join(map(words.__getitem__, WORDS.findall(chunk.lower())))
 
-    return Cache(find)
+    return Cache(find, cached)
 
 
-def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_pieces(
+    docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", cached: int = CACHED_KEYS
+) -> DataFrame:
     """Pieces of at most ``capacity`` tokens with their lengths and checksums, numbered by task and length.
 
     ``part`` is the task that made the row and ``nth`` counts the earlier rows of that task
@@ -61,7 +61,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: s
     """
 
     def make():
-        ids_of, seen, part = chunk_ids(path), Counter(), TaskContext.get().partitionId()
+        ids_of, seen, part = held(("packing", path, cached), lambda: chunk_ids(path, cached)), Counter(), TaskContext.get().partitionId()
 
         def find(text):
             ids = b"".join(map(ids_of.__getitem__, text.split(" "))) + struct.pack("<I", END_ID)
@@ -93,12 +93,12 @@ def places(runs: list[Run], capacity: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def pack_documents(
-    docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", cached: int = CACHED_KEYS
 ) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of every piece.
 
-    ``path``: a JSON vocabulary without tokens across spaces that every executor can open.
-    The driver sees one row per length, at most ``capacity`` of them, and plans runs of
+    ``path``: a JSON vocabulary without tokens across spaces that every executor can open;
+    ``cached``: entries of a worker's two caches, for speed against memory.  The driver sees one row per length, at most ``capacity`` of them, and plans runs of
     equal sequences.  Pieces get their rank among those of equal length from the counts
     per task and length, so a crowded length meets in no task.
 
@@ -106,7 +106,7 @@ def pack_documents(
     any other; an empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
-    pieces = cut(token_pieces(docs, path, capacity, id_col, text_col))
+    pieces = cut(token_pieces(docs, path, capacity, id_col, text_col, cached))
     counts = pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("_n"))
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("_n")).collect()}
     plan = spark.sparkContext.broadcast(places(pack(histogram, capacity), capacity))

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlops.llm.pii_patterns import KINDS, base_spans
+from crawlops.llm.texts import small_batches
 
 # Training table: {words|kind} marks a span, anything else is plain.  Kinds beyond the fixed forms.
 EXAMPLES = """
@@ -249,6 +250,7 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     where no base span lies (tel, ident, mail).  A null or empty text has none; repeated
     rows and null ids stay; an empty table gives no rows; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(field or Field())
     out = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
     kind = docs.schema[id_col].dataType.simpleString()

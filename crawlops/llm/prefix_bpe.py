@@ -17,7 +17,7 @@ import ahocorasick
 import regex
 from pyspark.sql import DataFrame
 
-from crawlops.llm.texts import Cache, map_texts
+from crawlops.llm.texts import Cache, held, map_texts
 from crawlops.llm.vocab import SPACE, Vocab, byte_symbols, load, symbols
 
 # The pattern by which the word tokenizer picks words, and its mark of a word's end.
@@ -117,9 +117,8 @@ class PrefixCoder:
         return " ".join([self.names[i] for (i,) in struct.iter_unpack("<I", ids)])
 
 
-@functools.lru_cache(maxsize=2)
 def coder(path: str) -> PrefixCoder:
-    return PrefixCoder(load(path))
+    return held(("prefix coder", path), lambda: PrefixCoder(load(path)))
 
 
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

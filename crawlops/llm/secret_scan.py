@@ -8,18 +8,17 @@ digests and identifiers have it too and are left out.
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
 import re
 from collections.abc import Callable
 
 import pyarrow as pa
 import tiktoken
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from crawlops.llm.texts import map_texts
+from crawlops.llm.texts import held, map_texts, small_batches
 
 # The forms of secrets that the base finds.
 ASSIGN = re.compile(
@@ -43,7 +42,6 @@ NAME = re.compile(r"([A-Z]?[a-z]*|[A-Z]+|[0-9]+)([-_+/=]+([A-Z]?[a-z]*|[A-Z]+|[0
 CAMEL = re.compile(r"[A-Za-z]?[a-z]+([A-Z][a-z]{2,})+[0-9]{0,4}|[A-Za-z][a-z]{2,}[0-9]{1,4}")
 
 
-@functools.lru_cache(maxsize=2)
 def encoding(path: str, pattern: str) -> tiktoken.Encoding:
     with open(path, "rb") as file:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
@@ -59,7 +57,7 @@ def known_form(run: str) -> bool:
 
 def scanner(path: str, pattern: str, max_ratio: float = MAX_RATIO) -> Callable[[str], list[tuple[int, int, int]]]:
     """Function from a text to its spans (start, kind, end), ordered; kinds as in ``KINDS``."""
-    tokens = encoding(path, pattern).encode_ordinary
+    tokens = held(("secret scan", path, pattern), lambda: encoding(path, pattern)).encode_ordinary
 
     def find(text: str) -> list[tuple[int, int, int]]:
         spans, low = [], text.lower()
@@ -122,6 +120,8 @@ def blank(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
 def redacted(text: Column | str, path: str, pattern: str, mark: str = "[secret]") -> Column:
     """The text without its secrets; null stays null."""
 
+    small_batches(SparkSession.active())
+
     @F.arrow_udf("string")
     def clean(texts: pa.Array) -> pa.Array:
         scan = scanner(path, pattern)

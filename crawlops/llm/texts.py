@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 CACHED_KEYS = 400_000  # entries of a per-worker cache, unless another limit is given
 CACHED_LENGTH = 64  # longer keys are not kept
+TEXTS_AT_ONCE = 500  # of an Arrow batch; ten thousand long texts would lie in memory twice, in Spark and in Python
+BATCH, BATCH_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold few texts, unless the session has a size of its own."""
+    if spark.conf.get(BATCH, BATCH_DEFAULT) == BATCH_DEFAULT:
+        spark.conf.set(BATCH, str(TEXTS_AT_ONCE))
 
 
 def map_texts(
@@ -24,6 +33,7 @@ def map_texts(
     or with ``many`` a list of such rows.  A null text counts as empty, a null id stays;
     other columns are not read.
     """
+    small_batches(df.sparkSession)
     out = StructType.fromDDL(schema)
     kind = df.schema[id_col].dataType
     full = StructType().add("doc_id", kind)
@@ -48,6 +58,21 @@ def map_texts(
     return plain.mapInArrow(run, full)
 
 
+_HELD: dict = {}
+
+
+def held(key: tuple, build: Callable):
+    """What a worker keeps from task to task: the tables and caches of the operator that it ran last.
+
+    Those of another operator are let go first, as a worker serves one after the other.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        _HELD[key] = build()
+    return _HELD[key]
+
+
 class Cache(dict):
     """What ``find`` gives for a key; the first keys seen are kept, up to a limit."""
 

@@ -7,14 +7,13 @@ merges; no identifiers are written.
 
 from __future__ import annotations
 
-import functools
 import heapq
 
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlops.llm.texts import Cache, map_texts
+from crawlops.llm.texts import Cache, held, map_texts
 from crawlops.llm.vocab import SPACE, Vocab, byte_symbols, load
 
 # Fixed value: the pattern by which the byte-level tokenizer cuts text.
@@ -78,9 +77,8 @@ class Counter:
         return sum(map(self.plain, parts[::2])) + len(parts) // 2
 
 
-@functools.lru_cache(maxsize=2)
 def counter(path: str) -> Counter:
-    return Counter(load(path))
+    return held(("token counts", path), lambda: Counter(load(path)))
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crawlops.llm.texts import Cache
+from crawlops.llm.texts import Cache, held, small_batches
+from crawlops.session import cut
 
 TRAIN_ROWS = 8_000  # labelled documents that the model is fitted on, at most
 MODEL_WORDS = 20_000  # words with scores of their own, at most
 PRIOR = 0.05  # weight of the prior: so many tokens for each token counted
+CACHED = 200_000  # tokens whose scores a worker keeps
 SURE = 2.5  # standard errors that a word's log-odds must differ from zero
 EFFECT = 1.0  # least log-odds of a word with a score of its own
 THRESHOLD = 0.7
@@ -105,7 +107,7 @@ def segments(scores: np.ndarray) -> list[float]:
     return [high - low for low, high in found]
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class Model:
     words: dict[str, float]
     other: float  # score of any other word
@@ -124,7 +126,7 @@ class Model:
             found = [self.words.get(w, self.other) for w in WORD.findall(chunk.lower())]
             return max(found) if found and max(found) > 0 else sum(found)
 
-        tokens = Cache(token)
+        tokens = held(("toxicity", self), lambda: Cache(token, CACHED))
 
         def find(text: str) -> tuple[int, list[float]]:
             scores = np.fromiter(map(tokens.__getitem__, text.split()), float)
@@ -176,14 +178,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     spark = docs.sparkSession
     train = training_texts(docs, labels).persist()
     try:
-        words, share = log_odds(word_counts(train))
+        words, share = log_odds(cut(word_counts(train)))
         drift = sum(s * p for s, p in words.values() if s > 0)
         other = min(-0.5, -2 * drift / share)  # a clean token scores below zero in the mean
         model = Model({w: s for w, (s, _) in words.items()}, other, decay_of(words, other, share))
-        held = spark.sparkContext.broadcast(model)
+        sent = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            find = held.value.scorer()
+            find = sent.value.scorer()
             for batch in batches:
                 rows = [find(t) for t in batch.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
@@ -208,12 +210,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 def toxic_score(text: Column | str, model: Model, spark) -> Column:
     """Score of a text between 0 and 1; null counts as empty."""
-    held = spark.sparkContext.broadcast(model)
+    small_batches(spark)
+    sent = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        found = held.value.scorer()
-        return pa.array([held.value.score(*found(t or "")) for t in texts.to_pylist()], pa.float64())
+        found = sent.value.scorer()
+        return pa.array([sent.value.score(*found(t or "")) for t in texts.to_pylist()], pa.float64())
 
     return score(F.col(text) if isinstance(text, str) else text)
 

@@ -27,7 +27,6 @@ class Vocab:
         return self.splitter.split(text)
 
 
-@functools.lru_cache(maxsize=4)
 def load(path: str) -> Vocab:
     with open(path, encoding="utf-8") as file:
         data = json.load(file)
