@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from crawlops.session import cut
 
-
 CROWDED = 1_000  # a key with more than this share of the rows is looked up in a broadcast; there are fewer such keys
 
 
@@ -25,39 +24,36 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, sizes: DataFrame, total:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node, root``: nodes of the same component have the same root.
 
-    Each round points every node to its neighbour of lowest hash, if lower than its own,
-    and joins the nodes with what they point to.  The hashes change with the round, so
-    the edges that are left shrink by a constant factor in the mean.  Nothing is collected
-    but the number of edges left.
+    Each round joins every node with the one of lowest hash at most two steps away, so a star
+    falls together at once.  The hashes change with the round, and the edges that are
+    left shrink fast.  Nothing is collected but the number of edges left; a node with very
+    many edges is combined before the shuffle or left to the adaptive skew join.
     """
-    left = cut(both_ways(edges.select(F.col(a).alias("a"), F.col(b).alias("b"))))
-    roots = None
-    for turn in range(1, 200):
-        total = left.count()
-        if not total:
-            break
-        steps = left.groupBy("a").agg(F.min(ranked(turn, "b")).alias("low"), F.count(F.lit(1)).alias("n"))
-        root = F.when(F.col("low") < ranked(turn, "a"), F.col("low.v")).otherwise(F.col("a"))
-        steps = cut(steps.select(F.col("a").alias("node"), root.alias("root"), "n"))
+    left = cut(both_ways(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))))
+    rounds: list[DataFrame] = []
+    while left.count():
+        turn = len(rounds)
+        near = left.groupBy("a").agg(F.min(ranked(turn, "b")).alias("low"))
+        near = near.select(F.col("a").alias("b"), F.least("low", ranked(turn, "a")).alias("low"))
+        low = left.join(near, "b").groupBy("a").agg(F.min("low").alias("low"))
+        steps = cut(low.select(F.col("a").alias("node"), F.col("low.v").alias("root")))
+        rounds.append(steps)
         for name in ("a", "b"):
-            sizes = steps.select(F.col("node").alias(name), "n")
-            moved = lookup(left, steps.select(F.col("node").alias(name), "root"), name, sizes, total)
-            left = moved.drop(name).withColumnRenamed("root", name)
+            to = steps.select(F.col("node").alias(name), "root")
+            left = left.join(to, name).drop(name).withColumnRenamed("root", name)
         left = cut(left.where("a <> b").select("a", "b").distinct())
-        if roots is None:
-            roots = steps.select("node", "root")
-        else:
-            later = steps.select(F.col("node").alias("root"), F.col("root").alias("later"))
-            roots = roots.join(later, "root", "left").select("node", F.coalesce("later", "root").alias("root"))
-            roots = cut(roots)
-    if roots is None:
+    if not rounds:
         return edges.select(F.col(a).alias("node"), F.col(a).alias("root")).limit(0)
+    roots = rounds[0]
+    for steps in rounds[1:]:
+        later = steps.select(F.col("node").alias("root"), F.col("root").alias("later"))
+        roots = roots.join(later, "root", "left").select("node", F.coalesce("later", "root").alias("root"))
     return roots
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
     pairs = F.array(F.struct(F.col("a").alias("a"), F.col("b").alias("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
-    return edges.where("a <> b").select(F.explode(pairs).alias("p")).select("p.*").distinct()
+    return edges.where("a <> b").distinct().select(F.explode(pairs).alias("p")).select("p.*")
 
 
 def ranked(turn: int, name: str):

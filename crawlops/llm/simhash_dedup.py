@@ -15,12 +15,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlops.llm.components import components, lookup
 from crawlops.llm.golay import BITS, DATA, near_codewords
-from crawlops.llm.texts import map_texts
+from crawlops.llm.texts import map_texts, small_batches
 from crawlops.session import cut
 
 SHINGLE = 4
@@ -66,6 +66,8 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id"
 
 
 def fingerprint_of(text: Column, shingle: int = SHINGLE) -> Column:
+    small_batches(SparkSession.active())
+
     @F.arrow_udf("long")
     def run(texts: pa.Array) -> pa.Array:
         return pa.array([signed(fingerprint(t or "", shingle)) for t in texts.to_pylist()], pa.int64())
@@ -208,7 +210,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         raise ValueError("the keys of these segments find at most four differing bits")
     rows = key_rows(fps, crowded_cells(fps))
     spread = rows.repartition(F.col("key"), F.col("grid")).sortWithinPartitions("key", "grid")
-    return spread.mapInArrow(lambda batches: linked(batches, max_bits), "a long, b long").distinct()
+    return spread.mapInArrow(lambda batches: linked(batches, max_bits), "a long, b long")
 
 
 def near_duplicates(
@@ -225,10 +227,12 @@ def near_duplicates(
     rows = cut(fingerprints(docs, shingle, id_col, text_col))
     fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
     roots = components(links(fps, max_bits))
-    named = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root"))
-    named = cut(named)
-    classes = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members"))
-    total, all_fps = fps.agg(F.sum("n"), F.count(F.lit(1))).first()
-    by_fp = lookup(named.select("fp", "root", "n"), classes, "root", classes.select("root", F.col("members").alias("n")), all_fps)
-    found = lookup(rows, by_fp.select("fp", "root", "component_id"), "fp", fps.select("fp", "n"), total or 0)
+    joined = cut(roots.join(fps, roots["node"] == fps["fp"]).select("fp", "least", "root"))
+    classes = joined.groupBy("root").agg(F.min("least").alias("lowest"))
+    named = fps.join(joined.join(classes, "root").select("fp", "root", "lowest"), "fp", "left")
+    alone = F.col("root").isNull()
+    low = F.when(alone, F.col("least")).otherwise(F.col("lowest")).alias("component_id")
+    named = cut(named.select("fp", "n", F.coalesce("root", "fp").alias("root"), low))
+    total = named.agg(F.sum("n")).first()[0] or 0
+    found = lookup(rows, named.drop("n"), "fp", named.select("fp", "n"), total)
     return found.select("doc_id", "fp", "component_id", "root")

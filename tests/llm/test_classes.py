@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from crawlops.llm import components as parts
 from crawlops.llm import golay, queries, simhash_dedup
@@ -40,9 +41,8 @@ def plain_classes(prints, radius=4):
 
 def test_golay_is_perfect():
     words = np.random.default_rng(0).integers(0, 1 << 23, 400)
-    every = np.array([c for c in range(1 << 23) if c % 2048 == 0])[:0]
     near = golay.near_codewords(words)
-    assert every.size == 0 and (near[:, 0] >= 0).all() and set((near >= 0).sum(axis=1)) <= {1, 6}
+    assert (near[:, 0] >= 0).all() and set((near >= 0).sum(axis=1)) <= {1, 6}
     codewords = np.array([w for w in range(1 << 23)])[golay.remainders(np.arange(1 << 23)) == 0]
     assert len(codewords) == 4096
     for word, found in zip(words[:40], near):
@@ -119,9 +119,13 @@ def test_classes_of_odd_rows(odd, nothing):
     assert near_duplicates(nothing).count() == 0
 
 
-@pytest.mark.parametrize("crowded", [1_000, 2])
-def test_components(spark, monkeypatch, crowded):
-    monkeypatch.setattr(parts, "CROWDED", crowded)
+def test_lookup_of_crowded_keys(spark):
+    rows_ = spark.range(300).select((F.when(F.col("id") % 3 < 2, 0).otherwise(F.col("id"))).alias("k"), "id")
+    sizes, table = rows_.groupBy("k").agg(F.count(F.lit(1)).alias("n")), rows_.select("k", (F.col("k") * 2).alias("v")).distinct()
+    assert rows(parts.lookup(rows_, table, "k", sizes, 300)) == rows(rows_.join(table, "k"))
+
+
+def test_components(spark):
     chain = [(i, i + 1) for i in range(40)]
     star = [(100, i) for i in range(101, 160)]
     edges = chain + star + [(200, 201), (201, 200), (300, 300)]
