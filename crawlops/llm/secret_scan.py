@@ -32,14 +32,17 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "random")
 
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")  # holds every access and hex span of the base, and every candidate
-MAX_RATIO = 2.0  # characters per token; prose and names have more
+MAX_RATIO = 2.0  # characters per token; words have more in small letters and mostly in capitals too, random letters less
+LEAST, LEAST_LETTERS = 16, 10  # characters of a found stretch of parts, and those of its parts that are no plain numbers
+SHORT = 0.25  # characters that a part below LEAST must have less: few tokens tell little
 
 # How many hexadecimal digits the usual digests have.
 DIGESTS = (32, 40, 48, 56, 64, 96, 128)
 ALL_HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
-NAME = re.compile(r"([A-Z]?[a-z]*|[A-Z]+|[0-9]+)([-_+/=]+([A-Z]?[a-z]*|[A-Z]+|[0-9]+))*")  # words and numbers with marks between
-CAMEL = re.compile(r"[A-Za-z]?[a-z]+([A-Z][a-z]{2,})+[0-9]{0,4}|[A-Za-z][a-z]{2,}[0-9]{1,4}")
+NAME = re.compile(r"([A-Z]?[a-z]*|[A-Z]+|[0-9]+)([-_+/=]+([A-Z]?[a-z]*|[A-Z]+|[0-9]+))*")  # judged by its parts
+CAMEL = re.compile(r"[A-Za-z]?[a-z]+([A-Z][a-z]{2,})+[0-9]{0,4}|[A-Za-z][a-z]{2,}[0-9]{1,4}")  # the same
+PART = re.compile(rf"(?<![0-9A-Za-z]){UUID.pattern}(?![0-9A-Za-z])|[0-9A-Za-z]+")
 
 
 def encoding(path: str, pattern: str) -> tiktoken.Encoding:
@@ -49,10 +52,50 @@ def encoding(path: str, pattern: str) -> tiktoken.Encoding:
 
 
 def known_form(run: str) -> bool:
-    """Digests, identifiers, names and numbers."""
-    if ALL_HEX.fullmatch(run) and len(run) in DIGESTS:
-        return True
-    return bool(UUID.fullmatch(run) or NAME.fullmatch(run) or CAMEL.fullmatch(run))
+    """Digests and identifiers."""
+    return bool(ALL_HEX.fullmatch(run) and len(run) in DIGESTS or UUID.fullmatch(run))
+
+
+def maximal(scores: list[float]) -> list[tuple[int, int]]:
+    """Disjoint stretches (first, behind the last) of the largest positive sums, as Ruzzo and Tompa find them."""
+    found: list[tuple[int, int, float, float]] = []  # first, behind the last, sum before, sum with it
+    total = 0.0
+    for at, score in enumerate(scores):
+        before, total = total, total + score
+        if score <= 0:
+            continue
+        first, low = at, before
+        while found:
+            at_least = next((k for k in range(len(found) - 1, -1, -1) if found[k][2] < low), None)
+            if at_least is None or found[at_least][3] >= total:
+                break
+            first, low = found[at_least][0], found[at_least][2]
+            del found[at_least:]
+        found.append((first, at + 1, low, total))
+    return [(first, behind) for first, behind, _, _ in found]
+
+
+def random_parts(run: str, tokens: Callable[[str], list[int]], max_ratio: float) -> list[tuple[int, int]]:
+    """Stretches (start, end) of parts between marks that take more tokens than words do.
+
+    Each part counts alone, so words beside a random part don't hide it.  Known forms end a
+    stretch; plain numbers neither help nor end it.
+    """
+    parts = [(m.start(), m.end(), m[0]) for m in PART.finditer(run)]
+    scores = []
+    for _, _, part in parts:
+        if known_form(part):
+            scores.append(-1e9)
+        elif part.isdigit():
+            scores.append(0.0)
+        else:
+            scores.append(max_ratio * len(tokens(part)) - len(part) + (1e-6 if len(part) >= LEAST else -SHORT))
+    found = []
+    for first, behind in maximal(scores):
+        inside = [part for _, _, part in parts[first:behind]]
+        if parts[behind - 1][1] - parts[first][0] >= LEAST and sum(len(p) for p in inside if not p.isdigit()) >= LEAST_LETTERS:
+            found.append((parts[first][0], parts[behind - 1][1]))
+    return found
 
 
 def scanner(path: str, pattern: str, max_ratio: float = MAX_RATIO) -> Callable[[str], list[tuple[int, int, int]]]:
@@ -73,8 +116,13 @@ def scanner(path: str, pattern: str, max_ratio: float = MAX_RATIO) -> Callable[[
             end = at + len(run)
             if known_form(run) or any(s <= at and end <= e for s, _, e in base):
                 continue
-            if len(run) <= max_ratio * len(tokens(run)):
-                spans.append((at, 3, end))
+            if not (NAME.fullmatch(run) or CAMEL.fullmatch(run)):
+                if len(run) <= max_ratio * len(tokens(run)):
+                    spans.append((at, 3, end))
+                continue
+            for start, behind in random_parts(run, tokens, max_ratio):
+                if not any(s <= at + start and at + behind <= e for s, _, e in base):
+                    spans.append((at + start, 3, at + behind))
         return sorted(spans)
 
     return find

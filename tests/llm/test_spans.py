@@ -66,6 +66,23 @@ def test_random_strings_and_known_forms():
         assert 3 not in kinds(f"see {known} there"), known
 
 
+def test_random_letters_and_grouped_keys():
+    import random
+    import string
+
+    scan, dice = scanner(queries.BYTE_RANKS, PATTERN), random.Random(5)
+    found = lambda t: [t[s:e] for s, k, e in scan(t) if k == 3]
+    for letters in (string.ascii_lowercase, string.ascii_uppercase):
+        for size in (16, 24, 40):
+            made = ["".join(dice.choices(letters, k=size)) for _ in range(100)]
+            assert sum(found(f"see {m} there") == [m] for m in made) >= 95
+    made = ["-".join("".join(dice.choices(string.ascii_uppercase, k=5)) for _ in range(4)) for _ in range(100)]
+    assert sum(bool(found(m)) for m in made) >= 85
+    assert found("key XKQJZ-88213-PQWMV end") == ["XKQJZ-88213-PQWMV"] and found("xkqjzvwmplkjhgfd1234") == ["xkqjzvwmplkjhgfd1234"]
+    for name in ("MAX_BUFFER_SIZE_LIMIT", "getElementsByTagName2", "user/documents/downloads/archive", "2024-01-02-0304-050607", "token_count_per_document"):
+        assert found(name) == [], name
+
+
 def test_secret_tables(spark, odd, nothing):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     names = ("assign", "access", "hex")
