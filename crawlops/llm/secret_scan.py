@@ -116,9 +116,8 @@ def scanner(path: str, pattern: str, max_ratio: float = MAX_RATIO) -> Callable[[
             end = at + len(run)
             if known_form(run) or any(s <= at and end <= e for s, _, e in base):
                 continue
-            if not (NAME.fullmatch(run) or CAMEL.fullmatch(run)):
-                if len(run) <= max_ratio * len(tokens(run)):
-                    spans.append((at, 3, end))
+            if not (NAME.fullmatch(run) or CAMEL.fullmatch(run)) and len(run) <= max_ratio * len(tokens(run)):
+                spans.append((at, 3, end))
                 continue
             for start, behind in random_parts(run, tokens, max_ratio):
                 if not any(s <= at + start and at + behind <= e for s, _, e in base):

@@ -83,6 +83,19 @@ def test_random_letters_and_grouped_keys():
         assert found(name) == [], name
 
 
+def test_words_beside_a_random_part():
+    import random
+    import string
+
+    scan, dice = scanner(queries.BYTE_RANKS, PATTERN), random.Random(6)
+    for before in ("session_identifier=", "authorization_bearer=", "client_credentials=", "user/documents/downloads/archive/"):
+        for size in (16, 20, 24):
+            made = ["".join(dice.choices(string.ascii_letters + string.digits, k=size)) for _ in range(100)]
+            spans = [[(s, e) for s, k, e in scan(before + m) if k == 3] for m in made]
+            assert all(len(f) == 1 and f[0][1] == len(before) + size and f[0][0] <= len(before) for f in spans), before
+    assert scan("session_identifier=20240102030405060708") == []
+
+
 def test_secret_tables(spark, odd, nothing):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     names = ("assign", "access", "hex")
