@@ -1,8 +1,9 @@
 """Personal data of free form: a linear-chain conditional random field over word shapes.
 
-Words with a digit or an @ may belong to a span, all others may not.  The best labels of
-a text then split at the plain words, so each run of such words is decoded on its own, with
-the plain words around it as context; runs are decoded together in numpy batches.
+Every word of a text may belong to a span, and the best labels of the whole text are found
+together.  Texts lie in one row with words between them that are surely plain; stretches of
+that row are decoded side by side in numpy, and joined where they agree (see ``best_path``).
+What a word adds to the scores is looked up once per word.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlops.llm.pii_patterns import KINDS, base_spans
-from crawlops.llm.texts import small_batches
+from crawlops.llm.texts import held, small_batches
 
 # Training table: {words|kind} marks a span, anything else is plain.  Kinds beyond the fixed forms.
 EXAMPLES = """
@@ -48,6 +49,83 @@ account {GB29NWBK60161331926819|ident} at the bank
 iban : {FR1420041010050500013M02606|ident}
 passport {C01X00T47|ident} expires soon
 passport number {L898902C3|ident} issued
+iban {GB29 NWBK 6016 1331 9268 19|ident} for rent
+iban : {NL91 ABNA 0417 1643 00|ident} at the bank
+account {DE89 3704 0044 0532 0130 00|ident} of the firm
+pay to {FR14 2004 1010 0505 0001 3M02 606|ident} today
+transfer to iban {ES91 2100 0418 4502 0005 1332|ident} now
+iban {BE71 ABNA 9616 9231 1769|ident} was used
+account {GB82 WEST 1234 5698 7654 32|ident} is mine
+passport {AB 1234567|ident} expires soon
+passport number {XK 4456789|ident} was lost
+my name is {John Smith|name} and i live here
+her name is {Maria Garcia|name} , she said
+his name was {Peter Brown|name} then
+the name is {Anna Schmidt|name}
+i am called {Paul Martin|name} at home
+signed by {Laura Rossi|name} in person
+dear {Susan Miller|name} , thank you
+dear Mr {Thomas Baker|name} , we write
+ask for Mr {Henry Ford|name} at the desk
+we met Mrs {Alice Cooper|name} there
+speak to Dr {Karen White|name} today
+Ms {Julia Stone|name} called
+contact {Jane Doe|name} for more
+name : {David Jones|name}
+Name : {Claire Dupont|name}
+Herr {Klaus Weber|name} ist da
+Frau {Petra Wolf|name} kommt
+je m'appelle {Marie Dubois|name} et vous
+me llamo {Carlos Lopez|name} y vivo
+mein Name ist {Hans Becker|name} und ich
+my name is {Ana Maria Silva|name} from here
+customer {Emma Clark|name} of the firm
+he lives at {221 Baker Street|addr} in town
+address : {10 Downing Street|addr} , second floor
+send to {1600 Pennsylvania Avenue|addr} today
+our office is at {350 Fifth Avenue|addr} now
+home address {42 Old Mill Road|addr} near us
+we moved to {7 Park Lane|addr} in may
+come to {18 High Street|addr} at noon
+ship to {55 Sunset Boulevard|addr} please
+she lives at {9 Elm Drive|addr} alone
+wohnt in der {Hauptstraße 12|addr} oben
+Adresse : {Bahnhofstraße 5|addr} in der Stadt
+Anschrift {Goethestrasse 27|addr} hier
+habite {12 rue Victor Hugo|addr} depuis
+adresse : {8 avenue Foch|addr} en ville
+vive en {Calle Mayor 15|addr} con ella
+The United States of America and the House
+In New York on Monday the President said
+Is and the Order of the day
+Der Hund und die Katze im Haus
+Die Stadt hat eine Straße und der Weg ist lang
+La ville et la rue de la mer
+El mundo es grande . La casa
+The Street was long . Chapter One of the Book
+Dear friends , all is well
+my name is on the list
+the name of the road is not known
+In the street and on the avenue they walked
+ISO and UTF and HTTP are names
+the bank in USA or UK said NO
+Contact us for more . Write to the office
+She went . He said . They came . We saw
+Good Good Good Good Good Good Good Good
+This This This This ist ist ist and so on
+yes . Then . After that . Zu . Onen . Haste makes
+end of it . Thus . Ours in the end
+is in . Ershe . Onat in and at
+Well Well . Stop . Stop . Stop . Go . Go
+Chapter Chapter Chapter is is is
+and Onda Onda Onda Onda Onda Onda Onda Onda Onda
+Élan Élan Élan Élan Élan Élan Élan Élan Élan tout
+Schön Schön Schön Schön Schön Heim Heim Heim Heim Heim so
+the end . Mira Mira Mira Mira Mira Mira Ver Ver Ver Ver and
+le petit . Enfin . Nous sommes
+to go . To . By To . By To . By hand
+12 men on the road and 7 of them left
+Copyright the Free Software Foundation and others
 write to {bob@localhost|mail} please
 mail {alice@intranet|mail} about it
 send it to {root@server|mail} now
@@ -83,9 +161,13 @@ user @ home and @handle or @name2
 room 12b floor 3 block c4
 """.strip().splitlines()
 
-TAGS = ("O", "B-tel", "I-tel", "B-ident", "I-ident", "B-mail", "I-mail")
+TAGS = ("O", "B-tel", "I-tel", "B-ident", "I-ident", "B-mail", "I-mail", "B-name", "I-name", "B-addr", "I-addr")
 MARKED = re.compile(r"\{([^|}]*)\|(\w+)\}")
-HINT = re.compile(r"[0-9@]+")
+HINT = re.compile(r"[\d@]")
+WORD = re.compile(r"\S+")
+NEVER = -1e4  # score of what can't be
+LANE, WARM = 256, 32  # words of a stretch that is decoded beside others, and those before and behind that it starts from
+WORDS_AT_ONCE, WORDS_KEPT = 100_000, 200_000  # of texts decoded together, at least; of a worker's cache
 TRIM = ".,;:!?\"'<>[]{}|*#%&$="
 
 
@@ -94,26 +176,46 @@ def admissible() -> np.ndarray:
     steps = np.zeros((len(TAGS), len(TAGS)))
     for i, j in itertools.product(range(len(TAGS)), repeat=2):
         if TAGS[j][0] == "I" and TAGS[i][2:] != TAGS[j][2:]:
-            steps[i, j] = -1e4
+            steps[i, j] = NEVER
     return steps
 
 
 def shape(word: str) -> str:
     """Digits as 9, letters as a and A, runs of letters as one."""
-    out = re.sub("[0-9]", "9", re.sub("[^\\W\\d_]", lambda m: "A" if m[0].isupper() else "a", word[:40]))
+    if word.isalpha() and word.islower():
+        return "a"
+    out = re.sub("\\d", "9", re.sub("[^\\W\\d_]", lambda m: "A" if m[0].isupper() else "a", word[:40]))
     return re.sub("a+", "a", re.sub("A+", "A", out))
 
 
+def own_features(word: str) -> list[str]:
+    """Names of what is seen of the word alone."""
+    own, digits = shape(word), sum(c.isdigit() for c in word)
+    return [
+        "bias", f"s={own}", f"n={min(digits, 20)}", f"l={len(own)}", f"p={own[:3]}", f"e={own[-3:]}", f"h={own.count('-')}", f"@={'@' in word}",
+        f"w={word.lower()}", f"x={word.lower()[-6:]}",
+    ]
+
+
+def seen_before(word: str) -> tuple[str, str]:
+    """How a word counts for those after it: as it is, and for the next one with digits as a shape."""
+    plain = word.lower().strip(TRIM)
+    return plain, shape(plain) if HINT.search(plain) else plain
+
+
+def seen_after(word: str) -> str:
+    return shape(word) if HINT.search(word) else word
+
+
 def features(words: list[str], at: int) -> list[str]:
     """Names of what is seen at a word: its shape, its parts and its neighbours."""
-    word = words[at]
-    own, digits = shape(word), sum(c.isdigit() for c in word)
-    before = [words[at - i].lower().strip(TRIM) if at >= i else "^" for i in (1, 2, 3)]
+    own = shape(words[at])
+    before = [seen_before(words[at - i]) if at >= i else ("^", "^") for i in (1, 2, 3)]
     after = words[at + 1] if at + 1 < len(words) else "$"
-    near = [shape(w) if HINT.search(w) else w for w in (before[0], after)]
+    first, last = before[0][1], seen_after(after)
     return [
-        "bias", f"s={own}", f"n={min(digits, 20)}", f"l={len(own)}", f"p={own[:3]}", f"e={own[-3:]}", f"h={own.count('-')}", f"@={'@' in word}",
-        f"b1={near[0]}", f"b2={before[1]}", f"b3={before[2]}", f"a={near[1]}", f"s|b={own}|{near[0]}", f"s|a={own}|{near[1]}",
+        *own_features(words[at]),
+        f"b1={first}", f"b2={before[1][0]}", f"b3={before[2][0]}", f"a={last}", f"t={shape(after)}", f"s|b={own}|{first}", f"s|a={own}|{last}",
     ]
 
 
@@ -176,53 +278,135 @@ class Field:
         return self.weights[known].sum(axis=0)
 
     def decode(self, rows: list[np.ndarray]) -> list[np.ndarray]:
-        """Best tags of each run of words, all runs of about one length at a time; plain words stand around them."""
-        steps, out = self.steps + self.allowed, [np.empty(0, dtype=int)] * len(rows)
-        by_size = defaultdict(list)
-        for i, row in enumerate(rows):
-            by_size[len(row)].append(i)
-        for size, members in by_size.items():
-            here = np.stack([rows[i] for i in members])  # run x word x tag
-            best = here[:, 0] + steps[0]
-            came = np.zeros((len(members), size, len(TAGS)), dtype=np.int8)
-            for t in range(1, size):
-                ways = best[:, :, None] + steps[None]
-                came[:, t] = ways.argmax(axis=1)
-                best = ways.max(axis=1) + here[:, t]
-            tags = np.zeros((len(members), size), dtype=int)
-            tags[:, -1] = (best + steps[:, 0]).argmax(axis=1)
-            for t in range(size - 1, 0, -1):
-                tags[:, t - 1] = came[np.arange(len(members)), t, tags[:, t]]
-            for i, row in zip(members, tags):
-                out[i] = row
-        return out
+        """Best tags of each row of words; plain words stand around them."""
+        if not rows:
+            return []
+        plain = surely_plain(1)
+        tags = best_path(np.concatenate([part for row in rows for part in (row, plain)]), self.steps + self.allowed)
+        ends = np.cumsum([len(row) + 1 for row in rows]) - 1
+        return [tags[end - len(row) : end] for row, end in zip(rows, ends)]
+
+
+def surely_plain(n: int) -> np.ndarray:
+    return np.where(np.arange(len(TAGS)) == 0, 0.0, NEVER) * np.ones((n, 1))
+
+
+def step_on(best: np.ndarray, steps: np.ndarray, here: np.ndarray) -> np.ndarray:
+    """Scores of the best paths to each tag (tag x lane) one word on, the best of all at zero."""
+    best = (best[:, None, :] + steps[:, :, None]).max(axis=0) + here
+    return best - best.max(axis=0)
+
+
+def best_path(here: np.ndarray, steps: np.ndarray, size: int = LANE, warm: int = WARM) -> np.ndarray:
+    """Tags of the best path through all words (word x tag), from a plain word to a plain word.
+
+    The words are cut into lanes that go on side by side.  A lane starts some words early from
+    no knowledge; where it does not come to the same scores, or the same tag, as its neighbour
+    has at their border, it is done again from there, so the path is that of the whole.
+    """
+    count, warm = len(here), min(size, warm)
+    lanes = -(-count // size)
+    rows = np.concatenate([surely_plain(warm), here, surely_plain(lanes * size - count)])
+    best, ahead = np.zeros((len(TAGS), lanes)), np.empty((size, len(TAGS), lanes))
+    for t in range(warm + size):
+        best = step_on(best, steps, rows[t::size][:lanes].T)
+        if t == warm - 1:
+            begun = best
+        if t >= warm:
+            ahead[t - warm] = best
+    floor = NEVER / 10  # what lies so far behind never wins
+    for k in range(1, lanes):
+        if not np.allclose(np.maximum(ahead[-1, :, k - 1], floor), np.maximum(begun[:, k], floor), rtol=0, atol=1e-9):
+            best = ahead[-1, :, k - 1 : k]
+            for t in range(size):
+                best = step_on(best, steps, rows[warm + k * size + t][:, None])
+                ahead[t, :, k] = best[:, 0]
+    tags, into = np.zeros((size, lanes), dtype=np.int64), steps.T
+    after = np.zeros(lanes, dtype=np.int64)
+    after[:-1] = ahead[warm - 1, :, 1:].argmax(axis=0)
+    for t in range(warm - 2, -1, -1):
+        after[:-1] = (ahead[t, :, 1:].T + into[after[:-1]]).argmax(axis=1)
+    guess = after
+    for t in range(size - 1, -1, -1):
+        after = (ahead[t].T + into[after]).argmax(axis=1)
+        tags[t] = after
+    for k in range(lanes - 2, -1, -1):
+        if guess[k] != tags[0, k + 1]:
+            tag = tags[0, k + 1]
+            for t in range(size - 1, -1, -1):
+                tag = tags[t, k] = (ahead[t, :, k] + into[tag]).argmax()
+    return tags.T.reshape(-1)[:count]
+
+
+class Words(dict):
+    """Number of each word, with what it adds to the scores of itself and of its neighbours."""
+
+    ROLES = ("b1", "b2", "b3", "a", "t")
+    PLACES = (-1, -2, -3, 1, 1)
+
+    def __init__(self, field: Field):
+        super().__init__()
+        self.field, none = field, np.zeros((1, len(TAGS)))
+        self.weights = np.concatenate([none, field.weights])
+        pairs = [(kind, *name.split("=", 1)[1].split("|", 1), i + 1) for name, i in field.index.items() for kind in ("s|b", "s|a") if name.startswith(kind + "=")]
+        self.shapes = {own: n + 1 for n, own in enumerate(sorted({own for _, own, _, _ in pairs}))}
+        self.near = {near: n + 1 for n, near in enumerate(sorted({near for _, _, near, _ in pairs}))}
+        self.pairs = {kind: np.zeros((len(self.shapes) + 1, len(self.near) + 1), dtype=np.int32) for kind in ("s|b", "s|a")}
+        for kind, own, near, i in pairs:
+            self.pairs[kind][self.shapes[own], self.near[near]] = i
+        self.start()
+
+    def start(self) -> None:
+        """Forget all words; the first two are what stands before and behind a text."""
+        self.clear()
+        self.own, self.own_rows, self.codes = {}, [surely_plain(1)[0]], []
+        at = lambda *names: [self.field.index.get(n, -1) + 1 for n in names]
+        self.codes.append((0, *at("b1=^", "b2=^", "b3=^", "a=^", "t=^"), 0, self.near.get("^", 0), 0))
+        self.codes.append((0, *at("b1=$", "b2=$", "b3=$", "a=$", "t=$"), 0, 0, self.near.get("$", 0)))
+
+    def __missing__(self, raw: str) -> int:
+        word, index = core(raw), self.field.index
+        known = tuple(index[f] for f in own_features(word) if f in index)
+        if known not in self.own:
+            self.own[known] = len(self.own_rows)
+            self.own_rows.append(self.field.weights[list(known)].sum(axis=0))
+        own, (plain, first), last = shape(word), seen_before(word), seen_after(word)
+        names = (f"b1={first}", f"b2={plain}", f"b3={plain}", f"a={last}", f"t={own}")
+        number = self[raw] = len(self.codes)
+        self.codes.append(
+            (self.own[known], *(index.get(n, -1) + 1 for n in names), self.shapes.get(own, 0), self.near.get(first, 0), self.near.get(last, 0))
+        )
+        return number
+
+    def tags(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """Best tags of all words of each text."""
+        if len(self) > WORDS_KEPT:
+            self.start()
+        numbers, ends = [], []
+        for words in texts:
+            numbers += [0, 0, 0, *map(self.__getitem__, words), 1]
+            ends.append(len(numbers) - 1)
+        used, at = np.unique(np.array(numbers), return_inverse=True)
+        codes = np.array([self.codes[n] for n in used], dtype=np.int32)[at]
+        here = np.array(self.own_rows)[codes[:, 0]]
+        inside = codes[:, 0] > 0
+
+        def add(rows: np.ndarray) -> None:
+            spots = np.flatnonzero((rows > 0) & inside)
+            here[spots] += self.weights[rows[spots]]
+
+        for column, place in enumerate(self.PLACES):
+            add(np.roll(codes[:, column + 1], -place))
+        add(self.pairs["s|b"][codes[:, 6], np.roll(codes[:, 7], 1)])
+        add(self.pairs["s|a"][codes[:, 6], np.roll(codes[:, 8], -1)])
+        tags = best_path(here, self.field.steps + self.field.allowed)
+        return [tags[end - len(words) : end] for words, end in zip(texts, ends)]
 
 
 def runs_of(text: str) -> list[tuple[list[str], int, list[tuple[int, int]]]]:
-    """Runs of words with a digit or an @: words with their surroundings, place of the first, (start, end) of each."""
-    spots, upto = [], 0
-    for m in HINT.finditer(text):
-        if m.start() < upto:
-            continue
-        start, end = m.start(), m.end()
-        while start and not text[start - 1].isspace():
-            start -= 1
-        while end < len(text) and not text[end].isspace():
-            end += 1
-        spots.append((start, end))
-        upto = end
-    groups: list[list[tuple[int, int]]] = []
-    for spot in spots:
-        if groups and text[groups[-1][-1][1] : spot[0]].isspace():
-            groups[-1].append(spot)
-        else:
-            groups.append([spot])
-    found = []
-    for group in groups:
-        before = text[max(0, group[0][0] - 200) : group[0][0]].split()[-3:]
-        after = text[group[-1][1] : group[-1][1] + 100].split()[:1]
-        found.append(([*before, *(core(text[s:e]) for s, e in group), *after], len(before), group))
-    return found
+    """All words of a text as one run: words, place of the first, (start, end) of each."""
+    spots = [m.span() for m in WORD.finditer(text)]
+    return [([core(text[s:e]) for s, e in spots], 0, spots)] if spots else []
 
 
 def core(word: str) -> str:
@@ -243,28 +427,42 @@ def spans_of(text: str, group: list[tuple[int, int]], tags: np.ndarray) -> list[
     return [(kind, start, end) for kind, start, end in found if start < end]
 
 
+NUMBERS = itertools.count()  # of the fields in use, for the caches of workers
+
+
+def portions(texts: list[str]) -> Iterator[list[int]]:
+    """Places of the texts, so many at once that they have about ``WORDS_AT_ONCE`` words."""
+    some, size = [], 0
+    for i, text in enumerate(texts):
+        some.append(i)
+        size += len(text) // 6
+        if size >= WORDS_AT_ONCE:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
 def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", field: Field | None = None) -> DataFrame:
     """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans`` of every whole text.
 
     Spans are kind:start:end in code points, base kinds first, then what the field adds
-    where no base span lies (tel, ident, mail).  A null or empty text has none; repeated
+    where no base span lies (tel, ident, mail, name, addr).  A null or empty text has none; repeated
     rows and null ids stay; an empty table gives no rows; other columns are not read.
     """
     small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(field or Field())
     out = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind, number = docs.schema[id_col].dataType.simpleString(), next(NUMBERS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        crf = model.value
+        words = held(("personal data", number), lambda: Words(model.value))
         for batch in batches:
-            texts, rows = batch.column(1).to_pylist(), []
-            runs = [(i, *r) for i, t in enumerate(texts) if HINT.search(t) for r in runs_of(t)]
-            coded = [np.stack([crf.scores(words, at + k) for k in range(len(group))]) for _, words, at, group in runs]
-            added = defaultdict(list)
-            for (i, _, _, group), tags in zip(runs, crf.decode(coded)):
-                if tags.any():
-                    added[i] += spans_of(texts[i], group, tags)
+            texts, rows, added = batch.column(1).to_pylist(), [], defaultdict(list)
+            for some in portions(texts):
+                for i, tags in zip(some, words.tags([texts[i].split() for i in some])):
+                    if tags.any():
+                        added[i] += spans_of(texts[i], [m.span() for m in WORD.finditer(texts[i])], tags)
             for i, text in enumerate(texts):
                 base = base_spans(text)
                 own = [f"{KINDS[k]}:{s}:{e}" for k, s, e in base]

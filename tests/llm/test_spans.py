@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from crawlops.llm import queries
-from crawlops.llm.pii_crf import EXAMPLES, TAGS, Field, find_personal, labelled, runs_of, spans_of
+from crawlops.llm.pii_crf import EXAMPLES, TAGS, Field, Words, best_path, find_personal, labelled, runs_of, spans_of
 from crawlops.llm.pii_patterns import IP, base_spans, emails
 from crawlops.llm.secret_scan import blank, find_secrets, scanner
 from crawlops.llm.toxicity import segments, toxicity
@@ -165,6 +165,45 @@ def test_batched_paths_are_best_paths():
         assert tuple(tags) == best
 
 
+def test_spans_with_words_of_letters():
+    field = Field()
+    for text, wanted in (
+        ("the iban is GB29 NWBK 6016 1331 9268 19, thanks", ("ident", "GB29 NWBK 6016 1331 9268 19")),
+        ("iban NL91 ABNA 0417 1643 00 please", ("ident", "NL91 ABNA 0417 1643 00")),
+        ("phone : \u0660\u0663\u0660 \u0669\u0660\u0661\u0668\u0662\u0660 now", ("tel", "\u0660\u0663\u0660 \u0669\u0660\u0661\u0668\u0662\u0660")),
+        ("My name is Robert Fischer, I think", ("name", "Robert Fischer")),
+        ("I live at 14 Church Road in town", ("addr", "14 Church Road")),
+    ):
+        assert decoded(field, text) == [wanted]
+
+
+def test_lanes_give_the_whole_best_path():
+    field, dice = Field(rounds=5), np.random.default_rng(2)
+    steps = field.steps + field.allowed
+    for scale, bond in ((2.0, 0.0), (0.1, 3.0)):  # the second: paths that agree only after many words
+        tied = steps + bond * np.eye(len(TAGS))
+        here = dice.normal(size=(200, len(TAGS))) * scale
+        best, came = here[0] + tied[0], []
+        for row in here[1:]:
+            ways = best[:, None] + tied
+            came.append(ways.argmax(axis=0))
+            best = ways.max(axis=0) + row
+        tags = [(best + tied[:, 0]).argmax()]
+        for back in came[::-1]:
+            tags.insert(0, back[tags[0]])
+        for size, warm in ((256, 32), (16, 4), (7, 2), (1, 1)):
+            assert best_path(here, tied, size, warm).tolist() == tags
+
+
+def test_scores_by_word_are_those_of_features():
+    field = Field()
+    texts = [line.replace("{", "").replace("}", "").split() for line in EXAMPLES[::5]] + [["^"], ["$", "$"], []]
+    for words, tags in zip(texts, Words(field).tags(texts)):
+        runs = runs_of(" ".join(words))
+        wanted = [field.decode([np.stack([field.scores(own, k) for k in range(len(own))])])[0] for own, _, _ in runs]
+        assert tags.tolist() == [t for row in wanted for t in row]
+
+
 @given(st.lists(st.integers(-4, 4), max_size=14))
 def test_segments_are_the_maximal_ones(scores):
     def best(low, high):
