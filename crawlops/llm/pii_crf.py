@@ -188,13 +188,18 @@ def shape(word: str) -> str:
     return re.sub("a+", "a", re.sub("A+", "A", out))
 
 
+def shape_features(own: str, digits: int, at: bool) -> list[str]:
+    return ["bias", f"s={own}", f"n={digits}", f"l={len(own)}", f"p={own[:3]}", f"e={own[-3:]}", f"h={own.count('-')}", f"@={at}"]
+
+
+def parts_of(word: str) -> tuple[str, int, bool]:
+    """What the features of a word's shape are made from."""
+    return shape(word), 0 if word.isalpha() else min(sum(c.isdigit() for c in word), 20), "@" in word
+
+
 def own_features(word: str) -> list[str]:
     """Names of what is seen of the word alone."""
-    own, digits = shape(word), sum(c.isdigit() for c in word)
-    return [
-        "bias", f"s={own}", f"n={min(digits, 20)}", f"l={len(own)}", f"p={own[:3]}", f"e={own[-3:]}", f"h={own.count('-')}", f"@={'@' in word}",
-        f"w={word.lower()}", f"x={word.lower()[-6:]}",
-    ]
+    return [*shape_features(*parts_of(word)), f"w={word.lower()}", f"x={word.lower()[-6:]}"]
 
 
 def seen_before(word: str) -> tuple[str, str]:
@@ -354,28 +359,37 @@ class Words(dict):
         self.pairs = {kind: np.zeros((len(self.shapes) + 1, len(self.near) + 1), dtype=np.int32) for kind in ("s|b", "s|a")}
         for kind, own, near, i in pairs:
             self.pairs[kind][self.shapes[own], self.near[near]] = i
+        self.by_role = {role: {n[len(role) + 1 :]: i for n, i in field.index.items() if n.startswith(role + "=")} for role in (*self.ROLES, "w", "x")}
         self.start()
 
     def start(self) -> None:
         """Forget all words; the first two are what stands before and behind a text."""
         self.clear()
         self.own, self.own_rows, self.codes = {}, [surely_plain(1)[0]], []
+        self.by_shape: dict[tuple[str, int, bool], tuple[int, ...]] = {}
         at = lambda *names: [self.field.index.get(n, -1) + 1 for n in names]
         self.codes.append((0, *at("b1=^", "b2=^", "b3=^", "a=^", "t=^"), 0, self.near.get("^", 0), 0))
         self.codes.append((0, *at("b1=$", "b2=$", "b3=$", "a=$", "t=$"), 0, 0, self.near.get("$", 0)))
 
     def __missing__(self, raw: str) -> int:
-        word, index = core(raw), self.field.index
-        known = tuple(index[f] for f in own_features(word) if f in index)
+        word, role = core(raw), self.by_role
+        parts, low = parts_of(word), word.lower()
+        known = self.by_shape.get(parts)
+        if known is None:
+            known = self.by_shape[parts] = tuple(self.field.index[f] for f in shape_features(*parts) if f in self.field.index)
+        known = known, role["w"].get(low), role["x"].get(low[-6:])
         if known not in self.own:
             self.own[known] = len(self.own_rows)
-            self.own_rows.append(self.field.weights[list(known)].sum(axis=0))
-        own, (plain, first), last = shape(word), seen_before(word), seen_after(word)
-        names = (f"b1={first}", f"b2={plain}", f"b3={plain}", f"a={last}", f"t={own}")
+            own = [*known[0], *(i for i in known[1:] if i is not None)]
+            self.own_rows.append(self.field.weights[own].sum(axis=0))
+        own, plain = parts[0], low.strip(TRIM)
+        first, last = (plain, word) if word.isalpha() else (seen_before(word)[1], seen_after(word))
         number = self[raw] = len(self.codes)
-        self.codes.append(
-            (self.own[known], *(index.get(n, -1) + 1 for n in names), self.shapes.get(own, 0), self.near.get(first, 0), self.near.get(last, 0))
-        )
+        self.codes.append((
+            self.own[known], role["b1"].get(first, -1) + 1, role["b2"].get(plain, -1) + 1, role["b3"].get(plain, -1) + 1,
+            role["a"].get(last, -1) + 1, role["t"].get(own, -1) + 1,
+            self.shapes.get(own, 0), self.near.get(first, 0), self.near.get(last, 0),
+        ))
         return number
 
     def tags(self, texts: list[list[str]]) -> list[np.ndarray]:
