@@ -6,17 +6,21 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from crawlops.llm.fingerprints import edited_fingerprints
+from crawlops.llm.minhash_join import similar_documents
 from crawlops.llm.packing import pack_documents
 from crawlops.llm.pii_crf import find_personal
 from crawlops.llm.prefix_bpe import encode_decode
 from crawlops.llm.secret_scan import find_secrets
 from crawlops.llm.simhash_dedup import hex_digits, near_duplicates
+from crawlops.llm.spelling import spelling_variants
 from crawlops.llm.token_counts import token_counts
 from crawlops.llm.topk import top_k
 from crawlops.llm.toxicity import toxicity
 from crawlops.llm.url_cascade import Rule, judge
+from crawlops.llm.whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -129,3 +133,52 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return top_k(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+SIMILAR_SQL = """
+WITH RECURSIVE words AS (
+  SELECT row_number() OVER () AS row, doc_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w
+  FROM documents),
+sets AS (
+  SELECT row, doc_id, CASE WHEN len(w) < 2 THEN w
+    ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM words),
+grams AS (SELECT row, len(s) AS n, unnest(s) AS g FROM sets),
+ordered AS (
+  SELECT row, n, g, row_number() OVER (PARTITION BY row ORDER BY f, g) AS place
+  FROM grams JOIN (SELECT g, count(*) AS f FROM grams GROUP BY g) USING (g)),
+rare AS (SELECT row, n, g FROM ordered WHERE place <= n - (80 * n + 99) // 100 + 1),
+pairs AS (
+  SELECT DISTINCT a.row AS x, b.row AS y FROM rare a JOIN rare b ON a.g = b.g AND a.row < b.row
+    AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+shared AS (
+  SELECT x, y, len(a.s) + len(b.s) AS total, len(list_intersect(a.s, b.s)) AS both
+  FROM pairs JOIN sets a ON a.row = x JOIN sets b ON b.row = y),
+links AS (SELECT x, y FROM shared WHERE 100 * both >= 80 * (total - both)),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(x, y) AS (SELECT row, row FROM sets UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON r.y = b.x),
+lowest AS (SELECT r.x, min(s.doc_id) AS component_id FROM reach r JOIN sets s ON r.y = s.row GROUP BY r.x)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept
+FROM sets JOIN lowest ON row = x
+"""
+
+
+@query("op11_minhash_join", SIMILAR_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(table(spark, sf_dir, "documents")).drop("root")
+
+
+@query("op12_spelling_variants")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query("op13_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per vector and component; a deviation beyond a long is null."""
+    found = whiten(table(spark, sf_dir, "embeddings"))
+    each = F.posexplode(F.arrays_zip("whitened", "explained")).alias("place", "c")
+    return found.select("vec_id", "n", F.expr("try_cast(deviation AS BIGINT)").alias("deviation"), "identity_error", each).select(
+        "vec_id", (F.col("place") + 1).alias("component"), "n", "deviation", F.col("c.whitened").alias("whitened"),
+        F.col("c.explained").alias("explained"), "identity_error",
+    )
