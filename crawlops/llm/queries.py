@@ -152,9 +152,9 @@ pairs AS (
   SELECT DISTINCT a.row AS x, b.row AS y FROM rare a JOIN rare b ON a.g = b.g AND a.row < b.row
     AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
 shared AS (
-  SELECT x, y, len(a.s) + len(b.s) AS total, len(list_intersect(a.s, b.s)) AS both
+  SELECT x, y, len(a.s) + len(b.s) AS total, len(list_intersect(a.s, b.s)) AS common
   FROM pairs JOIN sets a ON a.row = x JOIN sets b ON b.row = y),
-links AS (SELECT x, y FROM shared WHERE 100 * both >= 80 * (total - both)),
+links AS (SELECT x, y FROM shared WHERE 100 * common >= 80 * (total - common)),
 both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
 reach(x, y) AS (SELECT row, row FROM sets UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON r.y = b.x),
 lowest AS (SELECT r.x, min(s.doc_id) AS component_id FROM reach r JOIN sets s ON r.y = s.row GROUP BY r.x)
