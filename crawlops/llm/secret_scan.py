@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+from crawlops.llm.segments import maximal
 from crawlops.llm.texts import held, map_texts, small_batches
 
 # The forms of secrets that the base finds.
@@ -56,25 +57,6 @@ def known_form(run: str) -> bool:
     return bool(ALL_HEX.fullmatch(run) and len(run) in DIGESTS or UUID.fullmatch(run))
 
 
-def maximal(scores: list[float]) -> list[tuple[int, int]]:
-    """Disjoint stretches (first, behind the last) of the largest positive sums, as Ruzzo and Tompa find them."""
-    found: list[tuple[int, int, float, float]] = []  # first, behind the last, sum before, sum with it
-    total = 0.0
-    for at, score in enumerate(scores):
-        before, total = total, total + score
-        if score <= 0:
-            continue
-        first, low = at, before
-        while found:
-            at_least = next((k for k in range(len(found) - 1, -1, -1) if found[k][2] < low), None)
-            if at_least is None or found[at_least][3] >= total:
-                break
-            first, low = found[at_least][0], found[at_least][2]
-            del found[at_least:]
-        found.append((first, at + 1, low, total))
-    return [(first, behind) for first, behind, _, _ in found]
-
-
 def random_parts(run: str, tokens: Callable[[str], list[int]], max_ratio: float) -> list[tuple[int, int]]:
     """Stretches (start, end) of parts between marks that take more tokens than words do.
 
@@ -91,7 +73,7 @@ def random_parts(run: str, tokens: Callable[[str], list[int]], max_ratio: float)
         else:
             scores.append(max_ratio * len(tokens(part)) - len(part) + (1e-6 if len(part) >= LEAST else -SHORT))
     found = []
-    for first, behind in maximal(scores):
+    for first, behind, _, _ in maximal(scores) if parts else ():
         inside = [part for _, _, part in parts[first:behind]]
         if parts[behind - 1][1] - parts[first][0] >= LEAST and sum(len(p) for p in inside if not p.isdigit()) >= LEAST_LETTERS:
             found.append((parts[first][0], parts[behind - 1][1]))

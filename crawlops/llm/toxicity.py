@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from crawlops.llm.segments import maximal
 from crawlops.llm.texts import Cache, held, small_batches
 from crawlops.session import cut
 
@@ -85,26 +86,8 @@ def log_odds(counts: DataFrame, words: int = MODEL_WORDS) -> tuple[dict[str, tup
 
 
 def segments(scores: np.ndarray) -> list[float]:
-    """Scores of all maximal segments, in one pass.
-
-    Each candidate keeps the sums before and after it; a new positive run joins
-    back to the latest candidate that begins lower, as long as that one doesn't end higher.
-    """
-    ends = np.cumsum(scores)
-    begins = ends - scores
-    found: list[list[float]] = []
-    for place in np.flatnonzero(scores > 0):
-        low, high = float(begins[place]), float(ends[place])
-        while True:
-            back = len(found) - 1
-            while back >= 0 and found[back][0] >= low:
-                back -= 1
-            if back < 0 or found[back][1] >= high:
-                found.append([low, high])
-                break
-            low = found[back][0]
-            del found[back:]
-    return [high - low for low, high in found]
+    """Scores of all maximal segments, in one linear scan."""
+    return [high - low for _, _, low, high in maximal(scores)]
 
 
 @dataclass(frozen=True, eq=False)
