@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from crawlops.llm import queries
-from crawlops.llm.config_lp import fractional, knapsack, pack
+from crawlops.llm.config_lp import best_fit, fractional, knapsack, pack, programmed
 from crawlops.llm.packing import pack_documents
 from crawlops.llm.prefix_bpe import coder, encode_decode, encoded
 from crawlops.llm.token_counts import counter, token_counts
@@ -123,6 +123,40 @@ def test_bins_hold_each_item_once(seed):
     assert held == collections.Counter(histogram)
 
 
+def cut_bins(seed, kinds, most):
+    """Lengths of full bins that were cut at random: the optimum is their number."""
+    dice, histogram, bins = random.Random(seed), collections.Counter(), 0
+    for _ in range(kinds):
+        cuts = sorted(dice.sample(range(1, 4096), dice.randrange(1, 5)))
+        n = dice.randrange(1, most)
+        bins += n
+        for a, b in zip([0, *cuts], [*cuts, 4096]):
+            histogram[b - a] += n
+    return histogram, bins
+
+
+def in_bins(runs):
+    return sum(r.copies for r in runs)
+
+
+@pytest.mark.parametrize("histogram, optimum, alone", [
+    ({2064: 600, 1040: 600, 1056: 600, 992: 1200}, 900, 1100),
+    ({1366: 300, 1365: 600}, 300, 350),
+    ({2049: 50, 1366: 50, 681: 50}, 50, 50),
+    ({1300: 200, 1398: 400}, 200, 200),
+])
+def test_program_finds_the_optimum(histogram, optimum, alone):
+    assert in_bins(programmed(histogram, 4096)) == in_bins(pack(histogram, 4096)) == optimum
+    assert in_bins(best_fit([], dict(histogram), 4096)) == alone
+
+
+@pytest.mark.parametrize("seed, kinds, most", [(1, 3, 400), (2, 8, 300), (3, 25, 200), (4, 80, 100)])
+def test_packing_is_near_the_optimum(seed, kinds, most):
+    histogram, optimum = cut_bins(seed, kinds, most)
+    found, alone = in_bins(pack(histogram, 4096)), in_bins(best_fit([], dict(histogram), 4096))
+    assert optimum <= found <= min(alone, 1.01 * optimum + 1)
+
+
 def test_knapsack_against_all_choices():
     dice = random.Random(5)
     for _ in range(40):
