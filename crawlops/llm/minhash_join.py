@@ -8,9 +8,10 @@ first places of both (the prefix), so only these are posted.  In a list, sets of
 size are skipped, matches are counted over all coordinates, and what reaches the match threshold is
 confirmed on the full sets.
 
-A list of many sets is not paired out.  Its sets are compared with a few pivots; what the confirmed
-links have joined needs no comparison any more, and the next round takes more pivots, up to all.
-So every pair of the list is either joined already or compared.
+A list of many sets is not paired out.  Its sets are compared with the one that is most like the others
+first, which joins most of what belongs together.  What is not joined yet and still has a match in
+another class meets again with its whole sets: a spanning forest of the links is found where they lie,
+so no task returns more rows than it reads.
 """
 
 from __future__ import annotations
@@ -38,9 +39,7 @@ MISSED = 5e-6  # share of pairs at the threshold that either count may lose
 CHUNK = 512  # shingles hashed at a time
 CELLS = 1 << 20  # counters of coordinate values
 FEW = 4  # lists of at most so many sets are paired out at once
-PIVOTS = 32  # times more pivots in each round
-CROWD = 4_096  # sets of a longer list are dealt out over pairs of parts
-BLOCK = 1 << 22  # bytes compared at a time
+CROWD = 1_024  # sets of a longer list are dealt out over pairs of parts
 AT_PIVOT = 256  # members that are confirmed with one pivot in a task, about
 GOLDEN = 0x9E3779B97F4A7C15
 
@@ -102,6 +101,13 @@ def posted(low: np.ndarray) -> np.ndarray:
     return mixed(low ^ np.arange(1, POSTED + 1, dtype=np.uint64) * np.uint64(GOLDEN))
 
 
+def prefix_of(keys: np.ndarray, counts: np.ndarray, similarity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row of keys the rarest ones and their counts, in one order of values for all sets."""
+    n = counts[cell(keys)]
+    first = np.lexsort((keys, n), axis=1)[:, : POSTED - least_matches(POSTED, similarity) + 1]
+    return np.take_along_axis(keys, first, axis=1), np.take_along_axis(n, first, axis=1)
+
+
 def cell(keys: np.ndarray) -> np.ndarray:
     return (keys >> np.uint64(44)).astype(np.int64)
 
@@ -154,23 +160,18 @@ def common_cells(sets: DataFrame) -> np.ndarray:
     return table
 
 
-def postings(sets: DataFrame, similarity: int) -> DataFrame:
+def postings(sets: DataFrame, counts, similarity: int) -> DataFrame:
     """``key, grid, set_id, n, sig``: each set under the values of its prefix.
 
     The sets of a crowded value meet in pairs of parts, one grid place for each pair.
     """
-    prefix = POSTED - least_matches(POSTED, similarity) + 1
-    counts = sets.sparkSession.sparkContext.broadcast(common_cells(sets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = matrix(batch.column(2), np.uint64, POSTED)
-            n = counts.value[cell(keys)]
-            first = np.lexsort((keys, n), axis=1)[:, :prefix]  # one order of values for all sets
-            keys, n = np.take_along_axis(keys, first, axis=1).ravel(), np.take_along_axis(n, first, axis=1).ravel()
-            who = np.repeat(np.arange(batch.num_rows), prefix)
-            shared = n > 1  # a value that no other set has joins nothing
-            keys, n, who = keys[shared], n[shared], who[shared]
+            keys, n = prefix_of(matrix(batch.column(2), np.uint64, POSTED), counts.value, similarity)
+            who = np.repeat(np.arange(len(keys)), keys.shape[1])
+            shared = n.ravel() > 1  # a value that no other set has joins nothing
+            keys, n, who = keys.ravel()[shared], n.ravel()[shared], who[shared]
             cuts = -(-n // CROWD)
             ids = batch.column(0).to_numpy().view(np.uint64)[who]
             part = (mixed(ids) % cuts.astype(np.uint64)).astype(np.int64)
@@ -186,87 +187,138 @@ def postings(sets: DataFrame, similarity: int) -> DataFrame:
     return sets.select("set_id", "n", "keys", "sig").mapInArrow(run, "key long, grid long, set_id long, n long, sig binary")
 
 
-def compared(ids: np.ndarray, n: np.ndarray, sig: np.ndarray, root: np.ndarray, begin: int, end: int, similarity: int) -> Iterator[np.ndarray]:
-    """Pairs of the pivots ``begin`` to ``end`` of a list with all its sets of another class that may be links.
+def by_list(rows: DataFrame) -> DataFrame:
+    return rows.repartition(F.col("key"), F.col("grid")).sortWithinPartitions("key", "grid")
 
-    Pivots come in the order of their likeness to the list as a whole, so the text that the others
-    were made from is tried first.
-    """
-    threshold = least_matches(COORDINATES, similarity)
-    usual = np.array([np.bincount(c, minlength=256).argmax() for c in sig.T]).astype(np.uint8)
-    order = np.lexsort((ids, -(sig == usual).sum(axis=1)))[begin:end]
-    place = np.argsort(n, kind="stable")
-    sizes, sorted_sig, sorted_root = n[place], sig[place], root[place]
-    for p in order:
-        # Sets whose sizes are too different can't be similar enough: both ends are skipped.
-        low = np.searchsorted(sizes, -(-n[p] * similarity // 100))
-        high = np.searchsorted(sizes, n[p] * 100 // similarity, side="right")
-        for at in range(low, high, max(1, BLOCK // COORDINATES)):
-            to = min(high, at + max(1, BLOCK // COORDINATES))
-            others = place[at:to][(sorted_root[at:to] != root[p]) & ((sorted_sig[at:to] == sig[p]).sum(axis=1) >= threshold)]
-            others = others[ids[others] != ids[p]]
-            if len(others):
-                yield np.stack([np.full(len(others), ids[p]), ids[others]])
-
-
-def candidates(batches: Iterator[pa.RecordBatch], begin: int, end: int, similarity: int) -> Iterator[pa.RecordBatch]:
-    """Pairs ``pivot, member`` of each list of rows that come ordered by key and grid place.
-
-    At the first round (``begin`` zero) lists of at most FEW sets give all their pairs, and the others
-    are returned as well, a row for each set with ``pivot`` null.
-    """
-    first = begin == 0
-
-    def lists(rows: list[np.ndarray]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        key, grid, ids, n, sig, root = rows
-        change = np.flatnonzero((key[1:] != key[:-1]) | (grid[1:] != grid[:-1])) + 1
-        begins = np.concatenate([[0], change])
-        sizes = np.diff(np.append(begins, len(key)))
-        if first:
-            group, size_of = np.repeat(np.arange(len(begins)), sizes), np.repeat(sizes, sizes)
-            threshold = least_matches(COORDINATES, similarity)
-            for apart in range(1, int(sizes[sizes <= FEW].max(initial=1))):
-                a = np.flatnonzero((size_of[:-apart] <= FEW) & (group[apart:] == group[:-apart]))
-                b = a + apart
-                fits = np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * similarity
-                a, b = a[fits], b[fits]
-                fits = (sig[a] == sig[b]).sum(axis=1) >= threshold
-                if fits.any():
-                    yield 0, 0, ids[a[fits]], ids[b[fits]]
-        for g in np.flatnonzero(sizes > (FEW if first else 0)):
-            own = slice(begins[g], begins[g] + sizes[g])
-            if first:
-                yield int(key[begins[g]]), int(grid[begins[g]]), None, ids[own]
-            for pair in compared(ids[own], n[own], sig[own], root[own], begin, end, similarity):
-                yield 0, 0, *pair
-
-    def found(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        for key, grid, pivot, member in lists(rows) if len(rows[0]) > 1 else ():
-            size = len(member)
-            pivots = pa.nulls(size, pa.int64()) if pivot is None else pa.array(pivot)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(size, key)), pa.array(np.full(size, grid)), pivots, pa.array(member)], names=["key", "grid", "pivot", "member"]
-            )
 
-    open_: list[list[np.ndarray]] = []
+def whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows that come ordered by key and grid place, cut between lists, and where each list begins and ends."""
+
+    def changes(batch) -> np.ndarray:
+        key, grid = (batch.column(c).to_numpy() for c in (0, 1))
+        return np.flatnonzero((key[1:] != key[:-1]) | (grid[1:] != grid[:-1])) + 1
+
+    def closed(parts: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray]:
+        table = pa.Table.from_batches(parts).combine_chunks()
+        return table, np.concatenate([[0], changes(table), [len(table)]])
+
+    open_: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = [c.to_numpy() for c in batch.columns[:4]] + [matrix(batch.column(4), np.uint8, COORDINATES), batch.column(5).to_numpy()]
-        change = np.flatnonzero((rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])) + 1
-        last = int(change[-1]) if len(change) else 0
-        if last or open_ and (open_[-1][0][-1], open_[-1][1][-1]) != (rows[0][0], rows[1][0]):
-            yield from found([np.concatenate(c) for c in zip(*open_, [r[:last] for r in rows])])
+        cuts = changes(batch)
+        last = int(cuts[-1]) if len(cuts) else 0
+        end = [open_[-1].column(c)[-1].as_py() for c in (0, 1)] if open_ else None
+        if last or end and end != [batch.column(c)[0].as_py() for c in (0, 1)]:
+            parts = [*open_, batch.slice(0, last)] if last else open_
+            yield closed(parts)
             open_ = []
-        open_.append([r[last:] for r in rows])
+        open_.append(batch.slice(last))
     if open_:
-        yield from found([np.concatenate(c) for c in zip(*open_)])
+        yield closed(open_)
+
+
+def alike(sig: np.ndarray, one: np.ndarray, similarity: int) -> np.ndarray:
+    """Which signatures match another one often enough."""
+    return (sig == one).sum(axis=-1) >= least_matches(COORDINATES, similarity)
+
 
+def near_size(n: np.ndarray, one: np.ndarray, similarity: int) -> np.ndarray:
+    return np.minimum(n, one) * 100 >= np.maximum(n, one) * similarity
 
-def tried(lists: DataFrame, begin: int, end: int, similarity: int) -> DataFrame:
-    """``key, grid, pivot, member`` of all lists, whose rows are ``key, grid, set_id, n, sig, root``."""
-    spread = lists.select("key", "grid", "set_id", "n", "sig", "root").repartition(F.col("key"), F.col("grid")).sortWithinPartitions("key", "grid")
-    return spread.mapInArrow(lambda batches: candidates(batches, begin, end, similarity), "key long, grid long, pivot long, member long")
+
+def first_pairs(batches: Iterator[pa.RecordBatch], similarity: int) -> Iterator[pa.RecordBatch]:
+    """``key, grid, pivot, member``: all pairs of short lists that may be links; of a longer one those with one pivot.
+
+    The pivot is the set most like the list as a whole, so the text that the others were made from comes
+    first.  Sets of longer lists are returned as well, with ``pivot`` null.
+    """
+
+    def rows(key: int, grid: int, pivot, member: np.ndarray) -> pa.RecordBatch:
+        size = len(member)
+        pivots = pa.nulls(size, pa.int64()) if pivot is None else pa.array(np.broadcast_to(pivot, size))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(size, key)), pa.array(np.full(size, grid)), pivots, pa.array(member)], names=["key", "grid", "pivot", "member"]
+        )
+
+    for table, begins in whole_lists(batches):
+        ids, n = table.column("set_id").to_numpy(), table.column("n").to_numpy()
+        sig, sizes = matrix(table.column("sig"), np.uint8, COORDINATES), np.diff(begins)
+        group, size_of = np.repeat(np.arange(len(sizes)), sizes), np.repeat(sizes, sizes)
+        for apart in range(1, int(sizes[sizes <= FEW].max(initial=1))):
+            a = np.flatnonzero((size_of[:-apart] <= FEW) & (group[apart:] == group[:-apart]))
+            a = a[near_size(n[a], n[a + apart], similarity)]
+            a = a[alike(sig[a], sig[a + apart], similarity)]
+            yield rows(0, 0, np.minimum(ids[a], ids[a + apart]), np.maximum(ids[a], ids[a + apart]))
+        for g in np.flatnonzero(sizes > FEW):
+            own = slice(begins[g], begins[g + 1])
+            yield rows(table.column("key")[begins[g]].as_py(), table.column("grid")[begins[g]].as_py(), None, ids[own])
+            usual = np.array([np.bincount(c, minlength=256).argmax() for c in sig[own].T]).astype(np.uint8)
+            p = begins[g] + np.lexsort((ids[own], -(sig[own] == usual).sum(axis=1)))[0]
+            fits = near_size(n[own], n[p], similarity) & alike(sig[own], sig[p], similarity) & (ids[own] != ids[p])
+            yield rows(0, 0, ids[p], ids[own][fits])
+
+
+def unsettled(batches: Iterator[pa.RecordBatch], counts, similarity: int) -> Iterator[pa.RecordBatch]:
+    """``key, grid, set_id`` of the sets of longer lists that match one of another class.
+
+    Sets of too different sizes are skipped, and a pair counts in one list only: that of the smallest
+    value that both have in their prefixes.
+    """
+    for table, begins in whole_lists(batches):
+        key, ids, size, root = (table.column(c).to_numpy() for c in ("key", "set_id", "n", "root"))
+        sigs = matrix(table.column("sig"), np.uint8, COORDINATES)
+        keys = matrix(table.column("keys"), np.uint64, POSTED)
+        chosen = np.sort(prefix_of(keys, counts.value, similarity)[0], axis=1)
+        found = np.zeros(len(ids), dtype=bool)
+        for begin, end in zip(begins, begins[1:]):
+            order = begin + np.argsort(size[begin:end], kind="stable")
+            n, own, sig, prefix = size[order], root[order], sigs[order], chosen[order]
+            here = key[begin : begin + 1].view(np.uint64)[0]
+            upto = np.searchsorted(n, n * 100 // similarity, side="right")  # larger sets can't be similar enough
+            for p in range(len(order) - 1):
+                other = np.arange(p + 1, upto[p])
+                other = other[own[other] != own[p]]
+                other = other[alike(sig[other], sig[p], similarity)]
+                if len(other):
+                    both = np.isin(prefix[other], prefix[p])
+                    other = other[np.where(both, prefix[other], np.iinfo(np.uint64).max).min(axis=1) == here]
+                    found[order[other]] = True
+                    found[order[p]] |= len(other) > 0
+        yield pa.RecordBatch.from_arrays([table.column(c).filter(pa.array(found)).combine_chunks() for c in ("key", "grid", "set_id")], names=["key", "grid", "set_id"])
+
+
+def forest(batches: Iterator[pa.RecordBatch], shingle: int, similarity: int) -> Iterator[pa.RecordBatch]:
+    """``pivot, member``: links between the classes of each list, compared on the full sets of its texts.
+
+    A list gives less links than it has sets, as sets that are joined are not compared any more.
+    """
+    hashed = word_hashes()
+    for table, begins in whole_lists(batches):
+        ids, roots, texts = table.column("set_id").to_numpy(), table.column("root").to_numpy(), table.column("text")
+        pairs = []
+        for begin, end in zip(begins, begins[1:]):
+            sets = [shingle_set(texts[int(i)].as_py(), shingle, hashed) for i in range(begin, end)]
+            sizes = np.array([len(s) for s in sets])
+            starts = np.cumsum(sizes) - sizes
+            values, dense = np.unique(np.concatenate(sets), return_inverse=True)
+            marked = np.zeros(len(values), dtype=np.int64)
+            here, root = ids[begin:end], roots[begin:end].copy()
+            for p in range(end - begin):
+                open_ = root != root[p]
+                open_[:p] = False  # compared already
+                if not open_.any():
+                    continue
+                own = dense[starts[p] : starts[p] + sizes[p]]
+                marked[own] = 1
+                common = np.add.reduceat(marked[dense], starts)
+                marked[own] = 0
+                for k in np.flatnonzero(open_ & (100 * common >= similarity * (sizes + sizes[p] - common))):
+                    if root[k] != root[p]:
+                        root[root == root[k]] = root[p]
+                        pairs.append((here[p], here[k]))
+        columns = list(zip(*pairs)) if pairs else [(), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["pivot", "member"])
 
 
 @dataclass(frozen=True)
@@ -278,23 +330,27 @@ class Texts:
     shingle: int
     similarity: int
 
+    def of(self, asked: DataFrame) -> DataFrame:
+        """The rows with the ``text`` of their ``set_id``; a set that is not asked for is not moved."""
+        keys = ["no_id", "id", "source"]
+        asked = cut(asked.join(self.homes, "set_id"))
+        cells = F.broadcast(asked.select(cell_of("source").alias("cell")).distinct())  # CELLS rows at most
+        texts = self.docs.withColumns(row_key()).withColumn("cell", cell_of("source")).join(cells, "cell", "left_semi")
+        texts = texts.groupBy(*keys).agg(F.first("text").alias("text"))  # a repeated row once
+        return texts.join(asked, keys).drop(*keys)
+
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """``pivot, member``: the distinct pairs whose full sets are similar enough.
 
         Only texts that a pair needs are moved, each one to the places of its pairs, where its set is made
         again.  A pivot's members are dealt out over salts, and the pivot's text is repeated for each.
         """
-        keys = ["no_id", "id", "source"]
         counts = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / AT_PIVOT).cast("long").alias("parts"))
         dealt = pairs.join(counts, "pivot").select("pivot", F.pmod(F.xxhash64("member"), F.col("parts")).alias("salt"), "member")
         salts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt")
         leads = counts.select("pivot", salts, F.col("pivot").alias("member"))
-        asked = dealt.unionByName(leads).join(self.homes.withColumnRenamed("set_id", "member"), "member")
-        asked = cut(asked.select(*keys, "pivot", "salt", "member"))
-        cells = F.broadcast(asked.select(cell_of("source").alias("cell")).distinct())  # CELLS rows at most
-        texts = self.docs.withColumns(row_key()).withColumn("cell", cell_of("source")).join(cells, "cell", "left_semi")
-        texts = texts.groupBy(*keys).agg(F.first("text").alias("text"))  # a repeated row once
-        rows = texts.join(asked, keys).select("pivot", "salt", (F.col("member") != F.col("pivot")).alias("second"), "member", "text")
+        rows = self.of(dealt.unionByName(leads).withColumnRenamed("member", "set_id"))
+        rows = rows.select("pivot", "salt", (F.col("set_id") != F.col("pivot")).alias("second"), F.col("set_id").alias("member"), "text")
         order = ["pivot", "salt", "second"]
         spread = rows.repartition(F.col("pivot"), F.col("salt")).sortWithinPartitions(*order)
         shingle, similarity = self.shingle, self.similarity
@@ -327,34 +383,23 @@ def row_key() -> dict[str, Column]:
 
 
 def roots_of(sets: DataFrame, texts: Texts) -> DataFrame:
-    """``node, root`` of all sets that are linked with another one.
-
-    The first round takes one pivot of each list; each later round takes PIVOTS times more, in lists that hold
-    more than one class still, until every set of such a list was a pivot.
-    """
-    lists = postings(sets, texts.similarity).withColumn("root", F.col("set_id"))
-    first = cut(tried(lists, 0, 1, texts.similarity))
-    asked = cut(pairs_of(first))
-    links, large = cut(texts.confirmed(asked)), first.where("pivot IS NULL").select("key", "grid", F.col("member").alias("set_id"))
+    """``node, root`` of all sets that are linked with another one."""
+    counts, similarity, shingle = sets.sparkSession.sparkContext.broadcast(common_cells(sets)), texts.similarity, texts.shingle
+    lists = by_list(postings(sets, counts, similarity))
+    first = cut(lists.mapInArrow(lambda batches: first_pairs(batches, similarity), "key long, grid long, pivot long, member long"))
+    pairs = first.where("pivot IS NOT NULL").select("pivot", "member").distinct()
+    links = cut(texts.confirmed(cut(pairs)))
     roots = cut(components(links, "pivot", "member"))
-    begin = 1
-    while True:
-        own = large.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-        several = F.min("root") < F.max("root")
-        open_ = own.groupBy("key", "grid").agg(F.count(F.lit(1)).alias("size"), several.alias("several")).where((F.col("size") > begin) & F.col("several"))
-        rows = cut(own.join(open_.select("key", "grid"), ["key", "grid"], "left_semi").join(sets.select("set_id", "n", "sig"), "set_id"))
-        if rows.isEmpty():
-            return roots
-        more = cut(pairs_of(tried(rows, begin, begin * PIVOTS, texts.similarity)).join(asked, ["pivot", "member"], "left_anti"))
-        begin *= PIVOTS
-        if not more.isEmpty():
-            asked = asked.unionByName(more)
-            links = cut(links.unionByName(texts.confirmed(more)))
-            roots = cut(components(links, "pivot", "member"))
-
-
-def pairs_of(found: DataFrame) -> DataFrame:
-    return found.where("pivot IS NOT NULL").select("pivot", "member").distinct()
+    own = first.where("pivot IS NULL").select("key", "grid", F.col("member").alias("set_id"))
+    own = own.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    own = cut(own.join(sets.select("set_id", "n", "sig", "keys"), "set_id").select("key", "grid", "set_id", "n", "sig", "keys", "root"))
+    left = cut(by_list(own).mapInArrow(lambda batches: unsettled(batches, counts, similarity), "key long, grid long, set_id long"))
+    if left.isEmpty():
+        return roots
+    rows = texts.of(left.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id")))
+    rows = by_list(rows.select("key", "grid", "set_id", "root", "text"))
+    more = cut(rows.mapInArrow(lambda batches: forest(batches, shingle, similarity), "pivot long, member long"))
+    return cut(components(links.unionByName(more), "pivot", "member"))
 
 
 def similar_documents(
