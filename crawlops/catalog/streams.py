@@ -6,6 +6,7 @@ import contextlib
 
 from pyspark.sql import functions as F
 
+from crawlops.catalog.alerts import GRID, HELD, INHIBITED, STEP, sql_steps
 from crawlops.catalog.functions import sql_normalize
 from crawlops.catalog.joins import BLOCKS, IDX, MERGED, SCOPE, sql_draw, stored
 from crawlops.catalog.registry import query
@@ -13,7 +14,7 @@ from crawlops.catalog.reports import BY_COUNTRY, HOURLY
 from crawlops.fixtures import AS_OF, JOBS_AS_OF, SQL
 from crawlops.functions.urls import url_domain
 from crawlops.operators import proxies
-from crawlops.plans.alerts import RULES
+from crawlops.plans.alerts import RULES, inhibit
 from crawlops.schemas import EVENTS
 from crawlops.session import at
 from crawlops.sources import sinks
@@ -139,6 +140,14 @@ def _(t):
         return back(streams.run_available(streams.stream_alerts(projected(t, "samples"), GAUGES), "alerts"), "ts", "active_since")
 
 
+@query("stream_rules", f"""
+WITH {sql_steps(STEP)}, {GRID}, {HELD}, closed AS ({INHIBITED}) SELECT * FROM closed WHERE ts < (SELECT max(ts) - INTERVAL '10' MINUTE FROM events)""")
+def _(t):
+    with state_store(t.spark):
+        held = back(streams.run_available(streams.stream_rules(projected(t, "samples"), STEP), "rules"), "ts", "active_since")
+    return inhibit(held)
+
+
 @query("stream_rate_limit", f"""
 WITH c AS (SELECT proxy_id, time_bucket(INTERVAL '1' DAY, ts) AS window_start, count(*) AS n FROM proxy_results
   WHERE time_bucket(INTERVAL '1' DAY, ts) + INTERVAL '1' DAY <= {CLOSED} GROUP BY 1, 2)

@@ -13,10 +13,10 @@ from crawlops.functions.urls import url_normalize
 from crawlops.operators.merge import clean_items, merge_contacts, scope
 from crawlops.operators.proxies import sized
 from crawlops.operators.reports import hourly_aggregates
-from crawlops.plans.alerts import Rule
+from crawlops.plans.alerts import EVERYWHERE, RULES, Rule
 from crawlops.session import scratch
 from crawlops.sources.sinks import refresh_snapshot
-from crawlops.streaming.state import Breaker, Heartbeat, Held, Sticky
+from crawlops.streaming.state import Breaker, Heartbeat, Held, Measures, Sticky
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -61,12 +61,23 @@ def run_batches(
     return f"{base}/out"
 
 
-def with_state(grouped, processor, schema: str, time_mode: str = "EventTime") -> DataFrame:
+def with_state(grouped, processor, schema: str, time_mode: str = "EventTime", event_time: str = "") -> DataFrame:
+    """Rows of a state machine; ``event_time`` names the output column that a later state machine goes by."""
     return grouped.transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode=time_mode
+        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode=time_mode, eventTimeColumnName=event_time
     )
 
 
+def settled(stream: DataFrame) -> DataFrame:
+    """The rows of a stream with a watermark on ``ts``, each one as soon as the watermark has passed it.
+
+    A state machine behind it sees late rows in their place, so its result does not depend on how the
+    stream is split.  Rows wait in the state under all their columns, so no key gathers them.
+    """
+    counted = stream.groupBy(*stream.columns).agg(F.count(F.lit(1)).cast("int").alias("_n"))
+    return counted.withColumn("_n", F.explode(F.array_repeat(F.lit(1), F.col("_n")))).drop("_n")
+
+
 def _us(ts: str = "ts") -> Column:
     return F.unix_micros(ts)
 
@@ -114,19 +125,26 @@ def stream_counters(stream: DataFrame, name: str, amount: Column) -> DataFrame:
     return written.groupBy("name").agg(F.max_by("total", "batch").alias("total"))
 
 
-def stream_breaker(results: DataFrame, max_failures: int = 5, cooldown_seconds: int = 600, delay: str = "10 minutes") -> DataFrame:
-    """Breaker state of the proxy at every result."""
-    rows = results.withWatermark("ts", delay).select("event_id", "proxy_id", "ts", _us().alias("us"), "success")
+def watermarked(stream: DataFrame, delay: str | None) -> DataFrame:
+    """The stream with a watermark; without ``delay`` it has one already."""
+    return stream if delay is None else stream.withWatermark("ts", delay)
+
+
+def stream_breaker(
+    results: DataFrame, max_failures: int = 5, cooldown_seconds: int = 600, delay: str | None = "10 minutes"
+) -> DataFrame:
+    """Breaker state of the proxy at every result; behind ``settled`` late results count in their place."""
+    rows = watermarked(results, delay).select("event_id", "proxy_id", "ts", _us().alias("us"), "success")
     return with_state(
         rows.groupBy("proxy_id"), Breaker(max_failures, cooldown_seconds * 1_000_000),
         "event_id bigint, proxy_id bigint, failures bigint, allowed boolean, open_until_us bigint",
     )
 
 
-def stream_sticky(requests: DataFrame, indexed: DataFrame, ttl: int = 300, seed: int = 0, delay: str = "10 minutes") -> DataFrame:
+def stream_sticky(requests: DataFrame, indexed: DataFrame, ttl: int = 300, seed: int = 0, delay: str | None = "10 minutes") -> DataFrame:
     """Proxy of every request; a job keeps its proxy for ``ttl`` seconds from the draw."""
     job = F.coalesce("job_id", F.lit(0)).alias("job_id")
-    rows = requests.withWatermark("ts", delay).select("event_id", job, "ts", _us().alias("us"))
+    rows = watermarked(requests, delay).select("event_id", job, "ts", _us().alias("us"))
     n = indexed.count()
     drawn = with_state(
         rows.groupBy("job_id"), Sticky(ttl * 1_000_000, max(n, 1), seed),
@@ -135,9 +153,9 @@ def stream_sticky(requests: DataFrame, indexed: DataFrame, ttl: int = 300, seed:
     return drawn.join(sized(indexed.select("_index", "proxy"), n), "_index").select("event_id", "block_us", "proxy")
 
 
-def stream_heartbeat(beats: DataFrame, limit_seconds: int = 300, delay: str = "1 minute") -> DataFrame:
+def stream_heartbeat(beats: DataFrame, limit_seconds: int = 300, delay: str | None = "1 minute") -> DataFrame:
     """Silences of workers; ``beats`` has event_id, worker and ts."""
-    rows = beats.withWatermark("ts", delay).select("event_id", "worker", "ts", _us().alias("us"))
+    rows = watermarked(beats, delay).select("event_id", "worker", "ts", _us().alias("us"))
     found = with_state(
         rows.groupBy("worker"), Heartbeat(limit_seconds * 1_000_000), "worker bigint, last_us bigint, silent_us bigint"
     )
@@ -174,6 +192,52 @@ def stream_alerts(samples: DataFrame, rules: list[Rule]) -> DataFrame:
     )
 
 
+OVERALL = ("mean", "ratio")  # kinds that are judged over all instances
+
+
+def stream_rules(samples: DataFrame, step: int = 300, rules: list[Rule] = RULES, delay: str = "10 minutes") -> DataFrame:
+    """Pending and firing rows of all rules at every step that the watermark has closed, as ``plans.alerts.sustained`` gives them.
+
+    Three operators in one stream: the measures of each series per step, with growth in windows and
+    resets; what a rule makes of all series it reads at a step, combined before the shuffle; and the
+    time that its condition has held.  Samples wait until the watermark has passed them, so late ones count
+    and any split into micro-batches gives the same rows.
+    """
+    by_metric: dict[str, list[tuple]] = {}
+    for r in rules:
+        kind = r.kind.removesuffix("_on_grid")
+        for part, metric in enumerate(r.metrics):
+            by_metric.setdefault(metric, []).append((r.name, kind, r.window, part, kind != r.kind, kind in OVERALL))
+    known = samples.withWatermark("ts", delay).where(F.col("metric").isin(sorted(by_metric)) & F.col("value").isNotNull())
+    rows = settled(known.select("metric", "instance", "event_id", "ts", "value")).withColumn("us", _us())
+    series = with_state(
+        rows.groupBy("metric", "instance"), Measures(step * 1_000_000, by_metric, EVERYWHERE),
+        "alert string, instance string, part int, ts timestamp, value double", event_time="ts",
+    )
+    table = samples.sparkSession.createDataFrame(
+        [(r.name, r.severity, r.kind.removesuffix("_on_grid"), r.op, float(r.threshold), r.hold) for r in rules],
+        "alert string, severity string, kind string, op string, threshold double, hold bigint",
+    )
+    of_part = [F.when(F.col("part") == i, F.col("value")) for i in (0, 1)]
+    at_step = series.groupBy("alert", "instance", "ts").agg(
+        F.avg("value").alias("mean"), F.max("value").alias("one"),
+        F.try_divide(F.sum(of_part[0]), F.sum(of_part[1])).alias("ratio"), F.try_divide(F.max(of_part[0]), F.max(of_part[1])).alias("free"),
+    )
+    kind, limit, measure = F.col("kind"), F.col("threshold"), F.col("measure")
+    found = F.when(kind == "mean", F.col("mean")).when(kind == "ratio", F.col("ratio")).when(kind == "used", (1 - F.col("free")) * 100)
+    public = (kind != "last_public") | ~private_ip("instance")
+    judged = at_step.join(F.broadcast(table), "alert").where(public).withColumn("measure", F.round(found.otherwise(F.col("one")), 6))
+    cond = F.when(F.col("op") == ">", measure > limit).when(F.col("op") == "<", measure < limit).otherwise(measure == limit)
+    rows = judged.where(measure.isNotNull()).select("alert", "severity", "instance", "ts", _us().alias("us"), "measure", cond.alias("cond"), "hold")
+    held = with_state(
+        rows.groupBy("alert", "instance"), Held(("us",), ("severity", "measure")),
+        "alert string, instance string, severity string, measure double, us bigint, since_us bigint, state string",
+    )
+    return held.select(
+        "alert", "severity", "instance", F.timestamp_micros("us").alias("ts"), "measure", F.timestamp_micros("since_us").alias("active_since"), "state"
+    )
+
+
 # Fixed value: requests per second that a domain gets without a limit of its own.
 DOMAIN_RPS = 2.0
 
