@@ -504,8 +504,9 @@ def _(t):
     return jobs.job_pages(seed_jobs(t), corpus_pages(t), CAP).select("query_id", "page_id", "seed_url", "match_mode")
 
 
-EXTRACT = f"""
-WITH {JOB_PAGES},
+def sql_extract(job_pages: str) -> str:
+    return f"""
+WITH {job_pages},
 kw AS (SELECT *, lower(text) AS t, CASE query_id % 3 WHEN 0 THEN ['contact', 'the'] WHEN 1 THEN ['consulting', 'tion', 'le'] ELSE ['zzz'] END AS w FROM jp),
 gate AS (SELECT *, list_filter(w, lambda x: contains(t, x)) AS found FROM kw),
 ok AS (SELECT * FROM gate WHERE CASE match_mode WHEN 'any' THEN len(found) >= 1 ELSE len(found) >= 2 END),
@@ -520,6 +521,9 @@ SELECT query_id, page_id, CAST(place AS INTEGER) AS place, email, {SPIDER_SQL} A
   md5(substring(text, 1, 1000)) AS raw_md5 FROM c"""
 
 
+EXTRACT = sql_extract(JOB_PAGES)
+
+
 def extracted(t):
     return extract.extract_contacts(seed_jobs(t), corpus_pages(t))
 
@@ -540,15 +544,40 @@ SELECT email, first(name ORDER BY length(name) DESC, seen_at, item_id) AS name,
   last(phone ORDER BY seen_at, item_id) FILTER (WHERE phone IS NOT NULL) AS phone, last(country ORDER BY seen_at, item_id) FILTER (WHERE country IS NOT NULL) AS country,
   last(query_id ORDER BY seen_at, item_id) AS query_id, max(confidence_score) AS confidence_score, count(*) AS items FROM v WHERE name IS NOT NULL GROUP BY 1""")
 def pages_to_contacts(t):
-    """From pages and jobs to one merged contact per address."""
+    """From pages and jobs to one merged contact per address, by classes of jobs."""
+    classes = jobs.job_classes(seed_jobs(t))
     seen_at = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("query_id"))
-    items = extracted(t).withColumns(
-        {"item_id": F.col("page_id") * 100 + F.col("place"), "seen_at": seen_at, "confidence_score": F.round("confidence_score", 6)}
-    )
+    members = classes.select("class_id", "query_id", "seed_url", F.col("country_filter").alias("country"), seen_at.alias("seen_at"))
+    found = extract.class_items(extract.class_contacts(classes, corpus_pages(t)), members)
+    items = found.withColumns({"item_id": F.col("page_id") * 100 + F.col("place"), "confidence_score": F.round("confidence_score", 6)})
     valid = merge.clean_items(items).where("verdict = 'valid'")
     return merge.fold_items(valid).select("email", "name", "org", "phone", "country", "query_id", "confidence_score", "items")
 
 
+CLASS_OF = f"min(id) OVER (PARTITION BY {DOMAIN.format('url')}, id % 3, match_mode)"
+
+
+@query("job_classes", f"""
+SELECT id AS query_id, {CLASS_OF} AS class_id, count(*) OVER (PARTITION BY {DOMAIN.format('url')}, id % 3, match_mode) AS jobs_in_class
+FROM ({SEED_JOBS.format(pages='pages')}) WHERE {DOMAIN.format('url')} <> ''""")
+def _(t):
+    classes = jobs.job_classes(seed_jobs(t))
+    sizes = classes.groupBy("class_id").agg(F.count(F.lit(1)).alias("jobs_in_class"))
+    return classes.join(sizes, "class_id").select("query_id", "class_id", "jobs_in_class")
+
+
+FIRST_JOBS = JOB_PAGES.replace("jobs AS (", "every AS (", 1).replace("cp AS (", f"jobs AS (SELECT * FROM (SELECT *, {CLASS_OF} AS class_id FROM every) WHERE id = class_id), cp AS (", 1)
+
+
+@query("extract_classes", f"""
+SELECT query_id AS class_id, page_id, place, email, page_lang, name, org, phone, found_keywords, confidence_score, raw_md5 FROM ({sql_extract(FIRST_JOBS)})""")
+def _(t):
+    return extract.class_contacts(jobs.job_classes(seed_jobs(t)), corpus_pages(t)).select(
+        "class_id", "page_id", "place", "email", "page_lang", "name", "org", "phone", "found_keywords",
+        F.round("confidence_score", 6).alias("confidence_score"), F.md5("raw_text").alias("raw_md5"),
+    )
+
+
 EDGES = "SELECT page_id AS src, (page_id * 7 + k * 13) % (SELECT count(*) FROM {pages}) AS dst, CAST(k AS INT) AS rank FROM {pages} LATERAL VIEW explode(array(0, 1, 2, 3, 4, 5, 6)) v AS k"
 
 

@@ -86,10 +86,19 @@ def keywords_form(c: Column | str) -> Column:
     return F.coalesce(F.filter(parts, lambda w: w != ""), F.array().cast("array<string>"))
 
 
+def found_words(text: Column | str, words: Column | str) -> Column:
+    """The words, in small letters, that a text contains."""
+    return let(F.lower(F.coalesce(col(text), F.lit(""))), lambda t: F.filter(col(words), lambda w: F.contains(t, w)))
+
+
 def keyword_match(text: Column | str, words: Column | str, mode: Column | str, least: Column | str) -> Column:
     """Struct (found_keywords, match_count, matches) for the modes any, multiple and all."""
+    return keyword_gate(found_words(text, words), words, mode, least)
+
+
+def keyword_gate(found: Column, words: Column | str, mode: Column | str, least: Column | str) -> Column:
+    """``keyword_match`` from the words that were found."""
     words, mode, least = col(words), col(mode), col(least)
-    found = let(F.lower(F.coalesce(col(text), F.lit(""))), lambda t: F.filter(words, lambda w: F.contains(t, w)))
 
     def decide(hits: Column) -> Column:
         n = F.size(hits)

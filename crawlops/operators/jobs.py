@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crawlops.functions.lang import keywords_form
+from crawlops.functions.lang import keywords, keywords_form
 from crawlops.functions.text import strip
 from crawlops.functions.urls import url_domain, url_valid
-from crawlops.operators.skew import HOT_ROWS, attach_stats, cut_hot, done, running, skew_join
+from crawlops.operators.skew import HOT_ROWS, attach_stats, cut_hot, done, match, running, skew_join
 from crawlops.session import at, seconds_between
 
 EXPIRED = "job expired: scheduler timeout"
@@ -74,6 +74,20 @@ def job_pages(queue: DataFrame, pages: DataFrame, max_pages: int | None = None,
     return on_host(queue, cap_by_host(pages, max_pages), hot_rows)
 
 
+def job_classes(queue: DataFrame) -> DataFrame:
+    """Jobs with the class they belong to: same host, keywords, mode and minimum, so the same pages pass for all of them.
+
+    ``class_id`` is the smallest job id of the class.  What is found on pages is found once per class; the jobs
+    of a class are joined where a row per job is wanted.
+    """
+    jobs = queue.select(
+        F.col("id").alias("query_id"), F.col("url").alias("seed_url"), "country_filter", url_domain("url").alias("netloc"),
+        keywords("custom_keywords").alias("words"), "match_mode", "min_matches",
+    ).where("netloc <> ''")
+    keys = ["netloc", "words", "match_mode", "min_matches"]
+    return match(jobs, jobs.groupBy(*keys).agg(F.min("query_id").alias("class_id")), keys)
+
+
 def stuck_jobs(queue: DataFrame, starts: DataFrame, as_of, seconds: int = 3600) -> DataFrame:
     """Jobs in progress that started more than ``seconds`` ago; ``starts`` has id and started_at."""
     old = starts.where(seconds_between(at(as_of), F.col("started_at")) > seconds)

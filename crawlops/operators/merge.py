@@ -28,7 +28,7 @@ def clean_items(items: DataFrame) -> DataFrame:
         judged, _name=F.coalesce(field_clean("name", WIDTHS["name"]), name_from_email("_mail")), _valid=email_valid("_mail")
     )
     source = field_clean(F.coalesce(_has(items, "source"), F.lit("Scraper")), WIDTHS["source"])
-    extra = [c for c in ("confidence_score", "extraction_method") if c in items.columns]
+    extra = [c for c in ("confidence_score", "extraction_method", "weight") if c in items.columns]
     return judged.select(
         "item_id", "seen_at", "query_id",
         F.when(~F.col("_valid"), "invalid_email").when(F.col("_name").isNull(), "no_name").otherwise("valid").alias("verdict"),
@@ -49,7 +49,7 @@ BEST = ["confidence_score", "extraction_method"]
 def fold_items(items: DataFrame) -> DataFrame:
     """One row per e-mail: first of the longest names, last filled value of the other fields.
 
-    Plain aggregates, so rows are combined before the shuffle and one e-mail may
+    An item with a ``weight`` counts as so many.  Plain aggregates, so rows are combined before the shuffle and one e-mail may
     hold any share of them.
     """
     order = F.struct("seen_at", "item_id")
@@ -66,7 +66,7 @@ def fold_items(items: DataFrame) -> DataFrame:
     aggs += [latest(c).alias(c) for c in LATEST if c in items.columns]
     aggs += [earliest(F.col(c)).alias(c) for c in FIRST if c in items.columns]
     aggs += [F.max(c).alias(c) for c in BEST if c in items.columns]
-    aggs += [F.count(F.lit(1)).alias("items"), F.min("seen_at").alias("first_seen_at")]
+    aggs += [(F.sum("weight") if "weight" in items.columns else F.count(F.lit(1))).alias("items"), F.min("seen_at").alias("first_seen_at")]
     return items.groupBy("email").agg(*aggs)
 
 

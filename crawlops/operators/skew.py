@@ -58,16 +58,17 @@ def match(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "in
 
 
 def skew_join(
-    left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", hot_rows: int | None = HOT_ROWS
+    left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", hot_rows: int | None = HOT_ROWS, counted: DataFrame | None = None
 ) -> DataFrame:
     """Equi join (inner, left, left_semi or left_anti) whose left side may be crowded on few keys.
 
     Left rows of a hot key are dealt out over as many salts as its group has limits, and the
     right rows of that key are repeated for each salt.  Rows without a key meet nothing, and
-    all others take the usual join.
+    all others take the usual join.  ``counted`` has the keys of at least the left rows, where
+    those cost more to make.
     """
     on = list(on)
-    hot = hot_keys(left, on, hot_rows)
+    hot = hot_keys(left if counted is None else counted, on, hot_rows)
     if hot is None:
         return left.join(right, on, how)
     keyless = functools.reduce(operator.or_, [F.col(k).isNull() for k in on])
