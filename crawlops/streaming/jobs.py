@@ -17,6 +17,7 @@ from crawlops.plans.alerts import EVERYWHERE, RULES, Rule
 from crawlops.session import scratch
 from crawlops.sources.sinks import refresh_snapshot
 from crawlops.streaming.state import Breaker, Heartbeat, Held, Measures, Sticky
+from crawlops.streaming.store import Run, Store, merge_into
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -256,49 +257,38 @@ def rate_violations(
     return limited.where(F.col("n") > F.col("rps_max") * seconds).select(key, F.col("window.start").alias("window_start"), "n", "rps_max")
 
 
-BUCKETS = 32
+def contact_store(contacts: DataFrame, folder: str) -> tuple[Store, DataFrame]:
+    """Live contacts as a stored table by e-mail, and the others, which no item changes: deleted ones and those without e-mail."""
+    spark, live = contacts.sparkSession, F.col("deleted_at").isNull() & F.col("email").isNotNull()
+    store = Store(spark, f"{folder}/live", "email")
+    store.write(-1, contacts.where(live))
+    contacts.where(~live).write.mode("overwrite").parquet(f"{folder}/rest")
+    return store, spark.read.schema(contacts.schema).parquet(f"{folder}/rest")
 
 
-def bucketed(df: DataFrame) -> DataFrame:
-    return df.withColumn("bucket", F.pmod(F.xxhash64("email"), F.lit(BUCKETS)).cast("int"))
-
-
-def read_store(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame:
-    """Newest version of every bucket, or the newest one before a batch; one version is listed a bucket."""
-    versions = spark.read.parquet(folder)
-    earlier = versions if before is None else versions.where(F.col("version") < before)
-    newest = earlier.groupBy("bucket").agg(F.max("version").alias("version")).collect()
-    wanted = [F.lit(f"{r['bucket']}/{r['version']}") for r in newest]
-    at = F.concat_ws("/", "bucket", "version")
-    return versions.where(at.isin(wanted) if wanted else F.lit(False))
+def merge_items(store: Store, change: int, items: DataFrame, as_of) -> list[Run]:
+    """Clean items and merge the valid ones into stored contacts; only the contacts they touch are written."""
+    valid = clean_items(items).where("verdict = 'valid'").drop("verdict")
+    return merge_into(store, change, valid, lambda rows, new: merge_contacts(rows, new, as_of).drop("action", "items"))
 
 
 def stream_ingest(items: DataFrame, base: DataFrame, as_of) -> DataFrame:
     """Contacts after a stream of items, merged batch by batch into a stored table.
 
-    The table lies in buckets by e-mail.  A micro-batch merges its valid cleaned items with
-    the buckets they touch and stores these under its own number; a repeated batch
-    replaces its own versions, and readers take the newest version of each bucket.
+    A micro-batch writes the contacts that it touches as a run of the table under its own number; a
+    repeated batch replaces its own run.
     """
-    spark = items.sparkSession
+    made: list[DataFrame] = []
 
-    def put(rows: DataFrame, version: int, folder: str) -> None:
-        path = f"{folder}/version={version}"
-        bucketed(rows).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    def begin(folder: str) -> None:
+        shape = merge_contacts(base, clean_items(base_items(items)).where("verdict = 'valid'").drop("verdict"), as_of)
+        made.append(contact_store(shape.drop("action", "items"), folder)[1])
 
     def store(batch: DataFrame, i: int, folder: str) -> None:
-        valid = clean_items(batch).where("verdict = 'valid'").drop("verdict").persist()
-        try:
-            touched = [r[0] for r in bucketed(valid).select("bucket").distinct().collect()]
-            if touched:
-                before = read_store(spark, folder, i).where(F.col("bucket").isin(touched)).drop("bucket", "version")
-                put(merge_contacts(before, valid, as_of).drop("action", "items"), i, folder)
-        finally:
-            valid.unpersist()
-
-    shape = merge_contacts(base, clean_items(base_items(items)).where("verdict = 'valid'").drop("verdict"), as_of).drop("action", "items")
-    folder = run_batches(items, "contacts", store, "append", lambda place: put(shape, -1, place))
-    return read_store(spark, folder).drop("bucket", "version")
+        merge_items(Store(batch.sparkSession, f"{folder}/live", "email"), i, batch, as_of)
+
+    folder = run_batches(items, "contacts", store, "append", begin)
+    return Store(items.sparkSession, f"{folder}/live", "email").read().unionByName(made[0], allowMissingColumns=True)
 
 
 def base_items(items: DataFrame) -> DataFrame:
