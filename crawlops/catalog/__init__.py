@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["reports", "functions", "joins", "alerts", "streams", "config", "quality", "sqlfunctions"]
+MODULES = ["reports", "functions", "joins", "alerts", "streams", "config", "quality", "sqlfunctions", "maintained"]
 
 
 def load():

@@ -121,12 +121,15 @@ def _(t):
     return merge.unseen(candidates(t), t.seen_urls).select("page_id", "scope", "normalized_url")
 
 
-@query("seen_upsert", f"""
+SEEN_UPSERT = f"""
 WITH o AS (SELECT url, min(visited_at) AS f, max(visited_at) AS l, count(*) AS n FROM seen_urls WHERE page_id % 3 < 2 GROUP BY 1),
 b AS (SELECT url, min(visited_at) AS f, max(visited_at) AS l, count(*) AS n FROM (SELECT url, visited_at + INTERVAL '40' DAY AS visited_at FROM seen_urls WHERE page_id % 3 > 0) GROUP BY 1)
 SELECT coalesce(o.url, b.url) AS url, {sql_normalize('coalesce(o.url, b.url)')} AS normalized_url, coalesce(o.f, b.f) AS first_seen_at,
   greatest(o.l, b.l) AS last_seen_at, coalesce(o.n, 0) + coalesce(b.n, 0) AS visit_count, CASE WHEN o.url IS NOT NULL THEN 'processed' END AS processing_status,
-  CASE WHEN o.url IS NOT NULL THEN md5(o.url) END AS url_hash FROM o FULL JOIN b ON o.url = b.url""")
+  CASE WHEN o.url IS NOT NULL THEN md5(o.url) END AS url_hash FROM o FULL JOIN b ON o.url = b.url"""
+
+
+@query("seen_upsert", SEEN_UPSERT)
 def _(t):
     empty = t.seen_urls.where("false").select(
         "url", F.col("url").alias("normalized_url"), F.col("visited_at").alias("first_seen_at"),

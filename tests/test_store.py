@@ -78,3 +78,67 @@ def test_stored_contacts_as_merged_ones(spark, tables, tmp_path):
     whole = merge_contacts(base, valid, JOBS_AS_OF).drop("action", "items")
     found = store.read().unionByName(rest, allowMissingColumns=True)
     assert rows(found.select(*whole.columns), *whole.columns) == rows(whole, *whole.columns) and rest.count() > 0
+
+
+def above(plan, mark):
+    """Nodes over the first line with ``mark`` in a printed plan."""
+    lines = plan.split("\n")
+    at = next(i for i, line in enumerate(lines) if mark in line)
+    depth, found = len(lines[at]) - len(lines[at].lstrip(" :+-*(0123456789)")), []
+    for line in reversed(lines[:at]):
+        here = len(line) - len(line.lstrip(" :+-*(0123456789)"))
+        if here < depth:
+            found.append(line.strip(" :+-*"))
+            depth = here
+    return found
+
+
+def test_stored_tables_are_not_moved(spark, tables):
+    from crawlops.catalog.joins import stored
+    from crawlops.operators.stored import dealt_as, save_bucketed
+
+    base = save_bucketed(stored(tables), ["email"], 8, "t")
+    items = clean_items(tables.contact_items).where("verdict = 'valid'")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        merged = merge_contacts(base, dealt_as(items, ["email"], 8), JOBS_AS_OF)
+        plan = merged._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    over = above(plan, "Bucketed: true")
+    assert any("SortMergeJoin" in n or "ShuffledHashJoin" in n for n in over) and not any("Exchange" in n for n in over), plan
+
+
+def test_views_write_touched_groups_only(spark, tmp_path):
+    from crawlops.streaming import views
+
+    view = views.View(["g"], {"n": F.lit(1), "total": F.col("v")}, {"top": F.col("v")})
+    schema = "id bigint, g string, v bigint"
+    store, dice = Store(spark, str(tmp_path / "v"), "_key"), random.Random(5)
+    now = {i: (dice.choice("abcdefgh") if i % 9 else None, dice.randrange(100)) for i in range(200)}
+    asked = []
+
+    def frame(table):
+        return spark.createDataFrame([(i, g, v) for i, (g, v) in table.items()], schema)
+
+    def rows_of(groups):
+        wanted = {r["g"] for r in groups.collect()}
+        asked.append(wanted)
+        return frame({i: r for i, r in now.items() if r[0] in wanted})
+
+    views.apply_changes(store, -1, view, views.signed(frame({}), frame(now)), rows_of)
+    for change in range(6):
+        before, groups = dict(now), set(dice.sample([None, *"abcdefghxy"], 2))
+        for i in [i for i in now if now[i][0] in groups and dice.random() < 0.5]:
+            now.pop(i)
+        now |= {1000 * (change + 1) + i: (dice.choice(sorted(groups, key=str)), dice.randrange(120)) for i in range(3 * (change % 2))}
+        old, new = {i: r for i, r in before.items() if now.get(i) != r}, {i: r for i, r in now.items() if before.get(i) != r}
+        made = views.apply_changes(store, change, view, views.signed(frame(old), frame(new)), rows_of)
+        touched = {r[0] for r in [*old.values(), *new.values()]}
+        assert not made or made[0].rows == len(touched)
+        found = {(r["g"], r["n"], r["total"], r["top"]) for r in views.read_view(store, view).collect()}
+        assert found == {
+            (g, sum(r[0] == g for r in now.values()), sum(r[1] for r in now.values() if r[0] == g), max(r[1] for r in now.values() if r[0] == g))
+            for g in {r[0] for r in now.values()}
+        }
+    assert asked and all(len(w) <= 2 for w in asked)
