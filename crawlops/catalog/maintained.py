@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 from crawlops.catalog.joins import MERGED, SEEN_UPSERT, SHOWN, stored
 from crawlops.catalog.registry import query
-from crawlops.catalog.reports import BY_COUNTRY
+from crawlops.catalog.reports import BY_COUNTRY, RETAINED_LOGS, SEARCH, TEXT_SEARCH
 from crawlops.fixtures import AS_OF, JOBS_AS_OF
-from crawlops.operators import merge
+from crawlops.operators import filters, merge, textindex
+from crawlops.operators.dayparts import expire_days, read_days, store_days
 from crawlops.operators.skew import match
 from crawlops.operators.stored import dealt_as, save_bucketed
+from crawlops.operators.textindex import TextIndex, grams_of, words_of
 from crawlops.session import at, scratch
 from crawlops.streaming import jobs as streams
 from crawlops.streaming import views
@@ -97,3 +99,26 @@ def _(t):
 def rows_in(state, groups):
     """Rows of the groups; NULL is a group of its own."""
     return match(state, groups, ["country", "theme"], "left_semi")
+
+
+@query("text_search_indexed", TEXT_SEARCH)
+def _(t):
+    """The posting lists of the words say which contacts hold them all."""
+    index = TextIndex(t.spark, scratch(t.spark, "words")).build(t.contacts, words_of(["name", "org", "email"]))
+    return textindex.text_search(t.contacts, index, ["consulting", "NATION_3"]).select("id", "name", "org", "email")
+
+
+@query("contact_search_indexed", SEARCH.format("GMAIL", "AND country = 'NATION_3'"))
+def _(t):
+    """Contacts that hold all three-letter runs of the text are searched, instead of all."""
+    index = TextIndex(t.spark, scratch(t.spark, "grams")).build(t.contacts, grams_of(["name", "email", "org"]))
+    return filters.search_contacts(textindex.may_contain(t.contacts, index, "GMAIL"), "GMAIL", "NATION_3")
+
+
+@query("retention_logs_by_day", RETAINED_LOGS)
+def _(t):
+    """Expired days of the log go as folders, the border day is written anew."""
+    folder = scratch(t.spark, "logs")
+    store_days(t.system_logs, "log_ts", folder)
+    expire_days(t.spark, folder, "log_ts", 10, AS_OF)
+    return read_days(t.spark, folder).select("id", "log_ts", "level")

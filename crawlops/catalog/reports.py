@@ -490,8 +490,11 @@ def _(t):
     return filters.topk_country(t.contacts, "2024-01-30 12:00:00")
 
 
-@query("text_search", """
-SELECT id, name, org, email FROM contacts WHERE list_has_all(regexp_split_to_array(lower(concat_ws(' ', name, org, email)), '[^\\p{L}\\p{N}@._-]+'), ['consulting', 'nation_3'])""")
+TEXT_SEARCH = """
+SELECT id, name, org, email FROM contacts WHERE list_has_all(regexp_split_to_array(lower(concat_ws(' ', name, org, email)), '[^\\p{L}\\p{N}@._-]+'), ['consulting', 'nation_3'])"""
+
+
+@query("text_search", TEXT_SEARCH)
 def _(t):
     return filters.text_search(t.contacts, ["consulting", "NATION_3"]).select("id", "name", "org", "email")
 
@@ -499,7 +502,10 @@ def _(t):
 # ------------------------------------------------------------------ retention, quality
 
 
-@query("retention_logs", f"SELECT id, log_ts, level FROM system_logs WHERE log_ts >= {NT} - INTERVAL '10' DAY")
+RETAINED_LOGS = f"SELECT id, log_ts, level FROM system_logs WHERE log_ts >= {NT} - INTERVAL '10' DAY"
+
+
+@query("retention_logs", RETAINED_LOGS)
 def _(t):
     return filters.retain(t.system_logs, "log_ts", 10, AS_OF).select("id", "log_ts", "level")
 

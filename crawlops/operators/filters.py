@@ -153,7 +153,8 @@ def text_search(df: DataFrame, words: Sequence[str]) -> DataFrame:
     """Contacts whose name, organisation and e-mail together contain every word."""
     text = F.lower(F.concat_ws(" ", "name", "org", "email"))
     tokens = F.split(text, "[^\\p{L}\\p{N}@._-]+")
-    return df.where(F.forall(F.array(*[F.lit(w.lower()) for w in words]), lambda w: F.array_contains(tokens, w)))
+    wanted = F.array(*[F.lit(w.lower()) for w in words]).cast("array<string>")
+    return df.where(F.size(F.array_except(wanted, tokens)) == 0)  # without a lambda: one over both sides of a join is pushed to one of them
 
 
 def topk_country(contacts: DataFrame, as_of, hours: int = 24, k: int = 10) -> DataFrame:
