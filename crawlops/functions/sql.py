@@ -1,4 +1,4 @@
-"""The scalar expressions as SQL functions.
+"""The expressions as SQL functions: scalar ones, and those that give rows.
 
 ``register_functions(spark)`` lets SQL users call ``url_normalize(u)``,
 ``email_valid(e)`` and so on.  The bodies are plain SQL, so the optimizer sees
@@ -10,12 +10,18 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from crawlops.functions import contact, lang, text, urls
+from crawlops.plans import frontier
 
 
 def raw(pattern: str) -> str:
     return f"r'{pattern}'"
 
 
+def quoted(pattern: str) -> str:
+    """A pattern that holds quotes, as an ordinary SQL string."""
+    return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def chars(value: str) -> str:
     return "'" + "".join(f"\\u{ord(c):04x}" for c in value) + "'"
 
@@ -102,8 +108,32 @@ FUNCTIONS = [
 ]
 
 
+def body_of(name: str) -> str:
+    """A generator can't call SQL functions, so their bodies are put in."""
+    return next(f[3] for f in FUNCTIONS if f[0] == name)
+
+
+# name, parameters, columns, array that gives a row for each entry, what each column takes from it (``pos`` and ``e``)
+TABLE_FUNCTIONS = [
+    ("page_contacts", "x STRING", "place INT, email STRING, mail_domain STRING", body_of("page_emails"), "pos, e, lower(split_part(e, '@', 2))"),
+    ("page_numbers", "x STRING", "place INT, phone STRING", body_of("page_phones"), "pos, e"),
+    ("page_anchors", "html STRING", "pos INT, href STRING, label STRING",
+     f"transform(regexp_extract_all(html, {quoted(frontier.ANCHOR)}, 0), a -> struct(regexp_extract(a, {quoted(frontier.ANCHOR)}, 1) AS href, "
+     f"regexp_extract(a, {quoted(frontier.ANCHOR)}, 2) AS label))", "pos, replace(e.href, '&amp;', '&'), e.label"),
+]
+
+
 def register_functions(spark: SparkSession) -> list[str]:
-    """Create the temporary functions and give their names."""
+    """Create the temporary functions and give their names.
+
+    Table functions stand in FROM: ``SELECT p.page_id, c.* FROM pages p, LATERAL page_contacts(p.text) c``;
+    they become a generator over the page, without a join.
+    """
     for name, params, result, body in FUNCTIONS:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({params}) RETURNS {result} RETURN {body}")
-    return [f[0] for f in FUNCTIONS]
+    for name, params, columns, array, fields in TABLE_FUNCTIONS:
+        spark.sql(
+            f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({params}) RETURNS TABLE({columns}) "
+            f"RETURN SELECT {fields} FROM posexplode({array}) AS t(pos, e)"
+        )
+    return [f[0] for f in FUNCTIONS + TABLE_FUNCTIONS]
