@@ -214,17 +214,20 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text", fp_col: str | None = None
 ) -> DataFrame:
     """``doc_id, fp, component_id, root``: class of each document under chains of near fingerprints.
 
+    Stored documents that have their fingerprints (of ``fingerprint_of``) in ``fp_col`` are not hashed again.
+
     ``component_id`` is the smallest id of the class (null ids don't count; null if there is no
     other), ``root`` a fingerprint that names the class.  Equal fingerprints fall together before
     anything is compared, so copies cost nothing.  A null or empty text has the fingerprint zero
     and is linked like any other; repeated rows stay; an empty table gives no rows; other columns
     are not read.
     """
-    rows = cut(fingerprints(docs, shingle, id_col, text_col))
+    known = fp_col is not None
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(fp_col).alias("fp")) if known else cut(fingerprints(docs, shingle, id_col, text_col))
     fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
     roots = components(links(fps, max_bits))
     joined = cut(roots.join(fps, roots["node"] == fps["fp"]).select("fp", "least", "root"))
