@@ -30,15 +30,15 @@ def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Null ids come last.  Of repeated rows, and of rows that share id and fingerprint, one stays.
     """
-    found = near_duplicates(docs, SHINGLE, MAX_BITS)
+    place, columns, keys = scratch(spark, "fingerprints"), docs.columns, ["key", "no_key", "fp"]
+    row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
+    docs.select(row, fingerprint_of(F.col("text"), SHINGLE).alias("fp")).write.parquet(place)  # each text is hashed once
+    stored = spark.read.parquet(place)
+    found = near_duplicates(stored.select("row.doc_id", "fp"), SHINGLE, MAX_BITS, fp_col="fp")
     first = F.struct(F.col("doc_id").isNull().alias("no_key"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("key"), "fp")
     kept = found.groupBy("root").agg(F.min(first).alias("k")).select("k.key", "k.no_key", "k.fp")
-    columns, keys = docs.columns, ["key", "no_key", "fp"]
-    id_, none = F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("doc_id").isNull()
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), id_.alias("key"), none.alias("no_key"),
-        fingerprint_of(F.col("text"), SHINGLE).alias("fp"),
-    )
+    id_, none = F.coalesce(F.col("row.doc_id").cast("long"), F.lit(0)), F.col("row.doc_id").isNull()
+    rows = stored.select("row", id_.alias("key"), none.alias("no_key"), "fp")
     one = Window.partitionBy(*keys).orderBy("row.text")  # as the join has dealt the rows out
     single = rows.join(kept, keys).withColumn("place", F.row_number().over(one)).where("place = 1")
     return single.select(*[F.col("row").getField(c).alias(c) for c in columns])
