@@ -603,3 +603,16 @@ def _(t):
     """Expected names that never occur among the logged components."""
     actual = t.system_logs.select(F.col("component").alias("name")).distinct()
     return reports.missing_tables(actual, ["scheduler", "spider", "proxies", "queue"])
+
+
+INVENTORY = ["customer", "orders", "events", "documents", "scraping_jobs", "contacts_archive"]
+
+
+@query("table_inventory_catalog", f"""
+WITH e AS (SELECT unnest({INVENTORY}) AS name), n AS ({" UNION ALL ".join(f"SELECT '{name}' AS name, count(*) AS rows FROM {name}" for name in INVENTORY[:4])})
+SELECT e.name, t.table_name IS NOT NULL AS present, n.rows FROM e LEFT JOIN information_schema.tables t ON t.table_name = e.name LEFT JOIN n ON n.name = e.name""")
+def _(t):
+    """Which of the expected tables the catalog has; the given ones are made known to it as views first."""
+    for name in INVENTORY[:4]:
+        t.scan(name).createOrReplaceTempView(name)
+    return reports.table_inventory(t.spark, INVENTORY)

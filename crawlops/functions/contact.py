@@ -27,10 +27,10 @@ ORG_PATTERNS = [
     r"(?i)((?:[A-Z][a-z]+\s*){1,3}(?:SARL|SAS|SA|LLC|Inc\.|Ltd\.))",
 ]
 # Words that never belong to a name.
-STOP_WORDS = (
-    "the and or but in on at to for of with by from up about into through during before after above below "
-    "between among le la les et ou mais dans sur avec par pour de du des"
-).split()
+STOP_WORDS = [
+    "the", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "up", "about", "into", "through", "during", "before",
+    "after", "above", "below", "between", "among", "le", "la", "les", "et", "ou", "mais", "dans", "sur", "avec", "par", "pour", "de", "du", "des",
+]
 NAME_IN_TEXT = r"\b([A-Z][a-z]{2,})\s+([A-Z][a-z]{2,})\b"
 
 

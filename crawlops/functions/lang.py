@@ -48,9 +48,9 @@ def lang_spider(text: Column | str) -> Column:
 
 
 def marker_count(lower: Column, marker: str) -> Column:
-    """Occurrences of the marker that do not overlap."""
+    """Occurrences of the marker that do not overlap; a text without it is not copied."""
     gone = F.octet_length(lower) - F.octet_length(F.replace(lower, F.lit(marker), F.lit("")))
-    return (gone / len(marker.encode())).cast("int")
+    return F.when(lower.contains(marker), (gone / len(marker.encode())).cast("int")).otherwise(0)
 
 
 def lang_markers(text: Column | str, markers: dict[str, list[str]] | None = None) -> Column:

@@ -40,10 +40,6 @@ def _last_use() -> Column:
     return F.coalesce("last_used_at", at(EPOCH))
 
 
-def _ranked(df: DataFrame, order: list[Column]) -> DataFrame:
-    return df.orderBy(*order, "id")
-
-
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Consecutive numbers from 1 in the given order, without one task seeing all rows.
 

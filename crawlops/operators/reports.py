@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlops.operators.filters import live
@@ -402,6 +402,17 @@ def item_outcomes(classified: DataFrame) -> DataFrame:
     )
 
 
+def table_inventory(spark: SparkSession, expected: list[str]) -> DataFrame:
+    """Expected tables with their rows, as the session's catalog knows them; ``rows`` is null for one that is missing."""
+    known = {t.name for t in spark.catalog.listTables()}
+    parts = [
+        spark.table(name).agg(F.count(F.lit(1)).alias("rows")) if name in known else spark.range(1).select(F.lit(None).cast("bigint").alias("rows"))
+        for name in expected
+    ]
+    named = [part.select(F.lit(name).alias("name"), F.lit(name in known).alias("present"), "rows") for name, part in zip(expected, parts)]
+    return functools.reduce(DataFrame.unionByName, named)
+
+
 def missing_tables(actual: DataFrame, expected: list[str]) -> DataFrame:
     """Expected table names that the catalog does not hold; ``actual`` has a column ``name``."""
     spark = actual.sparkSession

@@ -18,11 +18,8 @@ def page_links(pages: DataFrame) -> DataFrame:
 
     Classes: contact, about, team, staff in the link; Contact, About in its text; all others.
     """
-    html = F.col("html")
-    pairs = F.arrays_zip(
-        F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(1)).alias("href"),
-        F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(2)).alias("label"),
-    )
+    anchors = F.regexp_extract_all(F.col("html"), F.lit(ANCHOR), F.lit(0))  # the page is searched once, the parts lie in each anchor
+    pairs = F.transform(anchors, lambda a: F.struct(F.regexp_extract(a, ANCHOR, 1).alias("href"), F.regexp_extract(a, ANCHOR, 2).alias("label")))
     found = once(pages.select("page_id", "url", "html"), links=pairs, netloc=url_domain("url")).select(
         "page_id", F.col("url").alias("page_url"), "netloc", F.posexplode("links").alias("pos", "link")
     )
