@@ -6,6 +6,7 @@ import contextlib
 
 from pyspark.sql import functions as F
 
+from crawlops.catalog import alerts as judged
 from crawlops.catalog.alerts import GRID, HELD, INHIBITED, STEP, sql_steps
 from crawlops.catalog.functions import sql_normalize
 from crawlops.catalog.joins import BLOCKS, IDX, MERGED, SCOPE, sql_draw, stored
@@ -144,7 +145,7 @@ def _(t):
 WITH {sql_steps(STEP)}, {GRID}, {HELD}, closed AS ({INHIBITED}) SELECT * FROM closed WHERE ts < (SELECT max(ts) - INTERVAL '10' MINUTE FROM events)""")
 def _(t):
     with state_store(t.spark):
-        held = back(streams.run_available(streams.stream_rules(projected(t, "samples"), STEP), "rules"), "ts", "active_since")
+        held = back(streams.run_available(streams.stream_rules(projected(t, "samples"), STEP, judged.RULES), "rules"), "ts", "active_since")
     return inhibit(held)
 
 
