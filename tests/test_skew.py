@@ -124,6 +124,38 @@ def test_job_pages(tables):
     assert rows(extract.extract_contacts(queue, pages, 5, 10)) == rows(extract.extract_contacts(queue, pages, 5))
 
 
+def one_host(spark, n_pages, n_jobs):
+    queue = spark.range(n_jobs).select(
+        "id", F.format_string("https://hot.org/%d", "id").alias("url"), F.lit("contact").alias("custom_keywords"), F.lit("any").alias("match_mode"),
+        F.lit(1).alias("min_matches"), F.when(F.col("id") % 2 == 0, "FRANCE").alias("country_filter"),
+    )
+    text = F.format_string("Contact: Marie Dubois, Ada.%d@mail.acme.org", "id")
+    return queue, spark.range(n_pages).select(F.col("id").alias("page_id"), F.lit("https://hot.org/y").alias("url"), text.alias("text"))
+
+
+def largest_part(df):
+    return df.groupBy(F.spark_partition_id().alias("part")).count().agg(F.max("count")).first()[0]
+
+
+def test_job_pages_of_one_host_are_dealt_out(spark):
+    """Neither side is crowded, what they give together is."""
+    queue, pages = one_host(spark, 300, 200)
+    found = jobs.job_pages(queue, pages, hot_rows=1_000).select("query_id", "page_id")
+    assert found.count() == found.distinct().count() == 60_000
+    assert largest_part(found) <= 10_000
+
+
+def test_pair_join(tables):
+    """Keys may be null, crowded on one side only or on none, and ids may come twice."""
+    left = tables.orders.select(F.col("o_orderkey").alias("l"), F.when(F.col("o_orderkey") % 4 == 0, 1).when(F.col("o_orderkey") % 9 > 0, F.col("o_custkey")).alias("k"))
+    right = tables.customer.select(F.col("c_custkey").alias("r"), F.when(F.col("c_custkey") % 3 > 0, F.col("c_custkey") % 40).alias("k"))
+    left, plain = left.unionByName(left.where("l < 50")), None
+    for hot_rows in (1_000_000, 200, 1):
+        found = rows(skew.pair_join(left, right, ["k"], ["l"], ["r"], hot_rows), "l", "r", "k")
+        plain = plain or rows(left.join(right, "k"), "l", "r", "k")
+        assert found == plain, hot_rows
+
+
 def test_missing_keys_may_be_the_crowd(tables):
     """NULL is the hot key: a group for windows, no partner for joins."""
     holes = tables.proxy_results.withColumn("proxy_id", F.when(F.col("event_id") % 2 == 0, F.col("proxy_id")))
