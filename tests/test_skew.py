@@ -145,6 +145,15 @@ def test_job_pages_of_one_host_are_dealt_out(spark):
     assert largest_part(found) <= 10_000
 
 
+def test_contacts_of_one_class_are_dealt_out(spark):
+    queue, pages = one_host(spark, 120, 100)
+    found = extract.extract_contacts(queue, pages, hot_rows=500)
+    assert found.count() == found.select("query_id", "page_id").distinct().count() == 12_000
+    assert largest_part(found) <= 3_000
+    added = extract.extract_contacts(queue, pages, hot_rows=500, derived={"size": F.length("raw_text")})
+    assert rows(added.drop("size")) == rows(found) and added.where("size = length(raw_text)").count() == 12_000
+
+
 def test_pair_join(tables):
     """Keys may be null, crowded on one side only or on none, and ids may come twice."""
     left = tables.orders.select(F.col("o_orderkey").alias("l"), F.when(F.col("o_orderkey") % 4 == 0, 1).when(F.col("o_orderkey") % 9 > 0, F.col("o_custkey")).alias("k"))
