@@ -13,6 +13,7 @@ BUCKETS = 64
 BREAK = "[^\\p{L}\\p{N}@._-]+"
 APART = "\x00"  # between fields: no three letters of a search run over it
 GRAM = 3
+LEAST_ROWS, MOST_ROWS = 10_000, 100_000  # whose terms one task sorts: the least worth a task, and the most beyond two tasks a core
 
 
 def words_of(fields: Sequence[str]) -> Column:
@@ -37,9 +38,12 @@ class TextIndex:
     buckets: int = BUCKETS
 
     def build(self, df: DataFrame, terms: Column) -> TextIndex:
-        """Store who holds each term.  The rows are cut by term and id, so a term of very many rows fills several files."""
-        rows = df.select(F.col(self.id_col).alias("id"), F.explode(terms).alias("term")).where("term <> ''")
-        placed = rows.withColumn("bucket", self._bucket(F.col("term"))).repartitionByRange("bucket", "term", "id")
+        """Store who holds each term.  The rows are dealt out before their terms are made, and each part sorts its own terms:
+        a bucket has a file of each part, and so has a term of very many rows."""
+        n = df.count()
+        parts = max(1, min(-(-n // LEAST_ROWS), max(2 * self.spark.sparkContext.defaultParallelism, -(-n // MOST_ROWS))))
+        rows = df.repartition(parts, self.id_col).select(F.col(self.id_col).alias("id"), F.explode(terms).alias("term")).where("term <> ''")
+        placed = rows.withColumn("bucket", self._bucket(F.col("term")))
         placed.sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(self.folder)
         return self
 

@@ -46,6 +46,15 @@ def test_parts_of_words_as_by_scan(spark, contacts, tmp_path):
             assert rows(textindex.may_contain(contacts, index, needle, literal).where(hit), "id") == rows(contacts.where(hit), "id"), needle
 
 
+def test_rows_are_dealt_out_before_their_terms(spark, tmp_path):
+    """However few files the rows come in, every part makes terms of its own."""
+    some = spark.range(25_000).coalesce(1).select("id", F.format_string("name %d", "id").alias("name"))
+    index = TextIndex(spark, str(tmp_path / "d"), buckets=16).build(some, grams_of(["name"]))
+    one = spark.read.parquet(index.folder).where("bucket = 3")
+    assert one.select(F.input_file_name()).distinct().count() == 3
+    assert rows(textindex.may_contain(some, index, "E 1234"), "id") == rows(some.where("name LIKE '%e 1234%'"), "id")
+
+
 def test_expired_days_go_as_folders(spark, tmp_path):
     folder = str(tmp_path / "logs")
     log = spark.range(0, 960).select("id", (F.lit("2024-01-01 00:30:00").cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("id"))).alias("ts"))
