@@ -20,6 +20,7 @@ from crawlops.session import cut, micros
 HOT_ROWS = 1_000_000
 MAX_HOT_KEYS = 1_000_000  # a hot group holds more than this share of the rows
 MAX_CELLS = 4_096  # a crowded key of a join holds more than this share of the joined rows
+NO_TIME = -(1 << 62)  # before all times
 
 
 @dataclass
@@ -206,6 +207,8 @@ def running(
 def trailing(pieces: Pieces, seconds: int, values: dict[str, Column]) -> DataFrame:
     """Sums over the rows of the same key in the last ``seconds``, current row included, less the first row's value.
 
+    Time is cut into cells as long as the window, so a window is the end of one cell and the begin of the next: both
+    sums are running ones, and the cost does not follow the rows in a window.
     In hot groups that is the difference of two running sums: at the row itself and at the
     first row of its window.  Each row sends a probe to the begin of its window, and a
     running maximum from the end carries the next row's sum back to the probe, piece by
@@ -213,8 +216,7 @@ def trailing(pieces: Pieces, seconds: int, values: dict[str, Column]) -> DataFra
     """
     span = seconds * 1_000_000
     df = pieces.df.withColumn("_us", micros(pieces.order[0]))
-    w = Window.partitionBy(*pieces.keys).orderBy("_us").rangeBetween(-(span - 1), 0)
-    plain = df.where("_piece = 0").withColumns({n: F.sum(c).over(w) - F.first(c).over(w) for n, c in values.items()})
+    plain = _two_cells(df.where("_piece = 0"), pieces, span, values)
     if not pieces.split:
         return done(plain.drop("_us"))
     keys, (_, number) = pieces.keys, pieces.order
@@ -235,6 +237,29 @@ def trailing(pieces: Pieces, seconds: int, values: dict[str, Column]) -> DataFra
     )
 
 
+def _two_cells(df: DataFrame, pieces: Pieces, span: int, values: dict[str, Column]) -> DataFrame:
+    """What ``trailing`` gives for groups that are not hot.  Rows without a time are a window of their own.
+
+    The first row of a window follows the last row that is too old for it.
+    """
+    head, tail, own = ([f"_{part}_{n}" for n in values] for part in ("head", "tail", "own"))
+    us = F.coalesce("_us", F.lit(NO_TIME))
+    df = df.withColumn("_seq", F.row_number().over(pieces.window))
+    df = df.withColumns({"_at": us, "_cell": us - F.pmod(us, F.lit(span))} | dict(zip(own, values.values())))
+    cells, series = Window.partitionBy(*pieces.keys, "_cell"), Window.partitionBy(*pieces.keys)
+    upto, start = (Window.unboundedPreceding, Window.currentRow), F.col("_start")
+    for names, order in ((tail, F.desc("_at")), (head, F.asc("_at"))):
+        df = df.withColumns({n: F.sum(c).over(cells.orderBy(order).rangeBetween(*upto)) for n, c in zip(names, own)})
+    df = df.withColumn("_begin", F.struct("_cell", *tail, *own))
+    df = df.withColumn("_follows", F.lead("_begin").over(series.orderBy("_at", "_seq")))
+    old = F.last("_follows").over(series.orderBy("_at").rangeBetween(Window.unboundedPreceding, -span))
+    df = df.withColumn("_start", F.coalesce(old, F.first("_begin").over(series.orderBy("_at").rangeBetween(*upto))))
+    for n, h, t, c in zip(values, head, tail, own):
+        earlier = F.when(start["_cell"] < F.col("_cell"), start[t])
+        df = df.withColumn(n, F.coalesce(earlier + F.col(h), earlier, F.col(h)) - start[c])
+    return df.drop("_seq", "_at", "_cell", "_begin", "_follows", "_start", *head, *tail, *own)
+
+
 def done(df: DataFrame) -> DataFrame:
     """Drop the helper column of a cut table."""
     return df.drop("_piece")

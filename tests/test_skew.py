@@ -1,5 +1,9 @@
 """Cutting hot groups never changes a result."""
 
+import datetime as dt
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +92,46 @@ def test_increase(samples, hours):
     assert all(x == pytest.approx(y, rel=1e-12, abs=1e-6) for x, y in zip(found, plain) for x, y in zip(x[4:], y[4:]))
 
 
+def dense_samples(spark):
+    """Many samples of one time, none of some, and two series."""
+    dice = random.Random(5)
+    made = []
+    for i in range(600):
+        at = dt.datetime(2024, 1, 1) + dt.timedelta(seconds=60 * dice.randrange(300)) if i % 50 else None
+        made.append((i, at, dice.choice("ab"), "n", float(dice.randrange(1000)) / 8 if i % 41 else None))
+    return made, spark.createDataFrame(made, "event_id long, ts timestamp_ntz, metric string, instance string, value double")
+
+
+@pytest.mark.parametrize("seconds", [60, 61, 3600, 86_400])
+def test_increase_by_hand(spark, seconds):
+    """Rows of one time share a window; rows without a time are one of their own."""
+    made, df = dense_samples(spark)
+    expected = []
+    for metric in "ab":
+        series = sorted((r for r in made if r[2] == metric), key=lambda r: (r[1] or dt.datetime.min, r[0]))
+        deltas, resets, last = [], [], None
+        for r in series:
+            lower = last is not None and r[4] is not None and r[4] < last
+            deltas.append(0.0 if last is None else r[4] if lower else None if r[4] is None else r[4] - last)
+            resets.append(int(lower))
+            last = r[4]
+        for r in series:
+            inside = [
+                k for k, o in enumerate(series)
+                if (o[1] is None) == (r[1] is None) and (r[1] is None or dt.timedelta(0) <= r[1] - o[1] < dt.timedelta(seconds=seconds))
+            ]
+            known = [deltas[k] for k in inside if deltas[k] is not None]
+            grown = None if not known or deltas[inside[0]] is None else round(sum(known) - deltas[inside[0]], 6)
+            expected.append((r[0], grown, sum(resets[k] for k in inside) - resets[inside[0]]))
+    assert rows(alerts.increase(df, seconds), "event_id", "increase", "resets") == sorted(expected, key=repr)
+
+
+def test_increase_does_not_visit_windows_row_by_row(spark):
+    """A frame that begins some time before a row is summed anew for every row."""
+    plan = alerts.increase(dense_samples(spark)[1], 86_400)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RangeFrame, unboundedpreceding$(), -86400000000" in plan and not re.search(r"RangeFrame, -\d", plan)
+
+
 def test_sustained(samples):
     judged = samples.select("event_id", "metric", "ts", (F.col("value") > 0).alias("cond"))
     assert rows(alerts.sustained(judged, ["metric"], F.lit(600), 20)) == rows(alerts.sustained(judged, ["metric"], F.lit(600)))
