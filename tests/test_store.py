@@ -142,3 +142,12 @@ def test_views_write_touched_groups_only(spark, tmp_path):
             for g in {r[0] for r in now.values()}
         }
     assert asked and all(len(w) <= 2 for w in asked)
+
+
+def test_items_are_dealt_out_before_they_are_cleaned(tables, monkeypatch):
+    """Orders of one file would be cleaned by one task."""
+    seen = []
+    monkeypatch.setattr(streams, "merge_into", lambda store, change, changed, merge: seen.append(changed))
+    streams.merge_items(None, 0, tables.contact_items.coalesce(1), "2024-01-01 00:00:00")
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [item_id" in plan and seen[0].count() > 0
