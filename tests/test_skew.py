@@ -189,6 +189,15 @@ def test_job_pages_of_one_host_are_dealt_out(spark):
     assert largest_part(found) <= 10_000
 
 
+def test_texts_of_a_crowded_host_are_searched_once(spark):
+    """Dealing out a crowded host repeats the terms and classes, not the work on its pages."""
+    queue, pages = one_host(spark, 120, 100)
+    crowded, plain = (extract.class_contacts(jobs.job_classes(queue), pages, hot_rows=n) for n in (10, 1_000))
+    searches = [df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") for df in (crowded, plain)]
+    assert searches[0] == searches[1] > 0
+    assert rows(crowded) == rows(plain) and len(rows(plain)) == 120
+
+
 def test_contacts_of_one_class_are_dealt_out(spark):
     queue, pages = one_host(spark, 120, 100)
     found = extract.extract_contacts(queue, pages, hot_rows=500)
@@ -222,6 +231,14 @@ def test_missing_keys_may_be_the_crowd(tables):
     assert rows(skew.attach_stats(counted, ["proxy_id"], stats, 20)) == rows(skew.attach_stats(counted, ["proxy_id"], stats))
 
 
+def test_crowd_without_key_is_dealt_out(spark):
+    left = spark.range(4_000).select("id", F.when(F.col("id") % 8 == 0, F.col("id") % 5).alias("k"))
+    right = spark.range(4).select(F.col("id").alias("k"), F.col("id").alias("r"))
+    for how, n in (("left", 4_000), ("left_anti", 3_600), ("inner", 400), ("left_semi", 400)):
+        found = skew.skew_join(left, right, ["k"], how, 100)
+        assert rows(found) == rows(skew.skew_join(left, right, ["k"], how)) and found.count() == n, how
+
+
 def test_attach_stats_keeps_all_rows(tables):
     df = tables.events.select("event_id", F.when(F.col("event_id") % 3 < 2, 0).otherwise(F.col("user_id")).alias("k"))
     out = skew.attach_stats(df, ["k"], {"n": F.count(F.lit(1))}, 50)
