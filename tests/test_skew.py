@@ -189,6 +189,18 @@ def test_job_pages_of_one_host_are_dealt_out(spark):
     assert largest_part(found) <= 10_000
 
 
+def test_job_pages_run_through_page_ids(spark):
+    """What a job brings is read once for all pages of its cell, so the side that is run through has nothing but ids."""
+    queue, pages = one_host(spark, 300, 200)
+    found = jobs.job_pages(queue, pages, hot_rows=1_000).select("query_id", "page_id", "seed_url")
+    join = found._jdf.queryExecution().optimizedPlan()
+    while join.nodeName() != "Join":
+        join = join.children().head()
+    outer, inner = (side.output().mkString(",") for side in (join.left(), join.right()))
+    assert "seed_url" in outer and "page_id" in inner and "seed_url" not in inner
+    assert jobs.job_pages(queue, pages, hot_rows=1_000).columns == jobs.job_pages(queue, pages).columns
+
+
 def test_texts_of_a_crowded_host_are_searched_once(spark):
     """Dealing out a crowded host repeats the terms and classes, not the work on its pages."""
     queue, pages = one_host(spark, 120, 100)
